@@ -1,0 +1 @@
+"""Empty on purpose: the covered analyses only read finished files, so there is no streaming operator."""
