@@ -4,38 +4,51 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dosewise import lexicons as L
 
 LOG_TYPE = "array<struct<keyword:string,original:string,replacement:string,position:int>>"
 
 
-def _pattern(keyword: str) -> str:
-    return rf"(?iU)\b{re.escape(keyword)}\b"
-
+def _literal(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _like_original(original: Column, synonym: Column) -> Column:
-    """Synonym in the case of the replaced word: all capitals, capitalised, or lower."""
 
-    def is_upper(c: Column) -> Column:
-        return c != F.lower(c)
+def _pattern(keyword: str) -> str:
+    return _literal(rf"(?iU)\b{re.escape(keyword)}\b")
 
-    first, second = F.substring(original, 1, 1), F.substring(original, 2, 1)
-    return (
-        F.when(is_upper(first) & is_upper(second), F.upper(synonym))
-        .when(is_upper(first), F.concat(F.upper(F.left(synonym, F.lit(1))), F.lower(F.substring(synonym, 2, 1000))))
-        .otherwise(F.lower(synonym))
-    )
 
+def _chosen(matches: str, keyword: str, synonyms: Sequence[str], row_id: str, seed: int) -> str:
+    """Replacement of each match: a synonym by the hash of (row, keyword, occurrence, seed), in the case of the match.
 
-def _choice(row_id: Column, keyword: str, occurrence: Column, seed: int, synonyms: Sequence[str]) -> Column:
-    """Synonym by a hash of (row, keyword, occurrence): independent of row order and partitioning."""
-    digest = F.md5(F.concat_ws(":", row_id.cast("string"), F.lit(keyword), occurrence.cast("string"), F.lit(str(seed))))
-    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return F.get(F.array(*[F.lit(s) for s in synonyms]), F.pmod(number, F.lit(len(synonyms))).cast("int"))
+    The hash makes the choice independent of row order and partitioning. Two leading capitals give all capitals, one
+    gives a capitalised word, anything else lower case.
+    """
+    key = f"concat_ws(':', cast(`{row_id}` as string), {_literal(keyword)}, cast(k as string), '{seed}')"
+    number = f"cast(conv(substring(md5({key}), 1, 8), 16, 10) as bigint)"
+    options = ", ".join(_literal(s) for s in synonyms)
+    synonym = f"array({options})[cast(pmod({number}, {len(synonyms)}) as int)]"
+    first = "substring(m, 1, 1) != lower(substring(m, 1, 1))"
+    second = "substring(m, 2, 1) != lower(substring(m, 2, 1))"
+    return f"""transform({matches}, (m, k) -> case
+        when {first} and {second} then upper({synonym})
+        when {first} then concat(upper(left({synonym}, 1)), lower(substring({synonym}, 2)))
+        else lower({synonym}) end)"""
+
+
+def _log(matches: str, chosen: str, pieces: str, keyword: str) -> str:
+    """Array of (keyword, original, replacement, 0-based position in the text the pieces were cut from)."""
+    starts = f"""aggregate(
+        zip_with(slice({pieces}, 1, size({matches})), {matches}, (p, m) -> struct(length(p) as gap, length(m) as len)),
+        named_struct('at', 0, 'starts', cast(array() as array<int>)),
+        (acc, e) -> named_struct('at', acc.at + e.gap + e.len, 'starts', array_append(acc.starts, acc.at + e.gap)),
+        acc -> acc.starts)"""
+    words = f"zip_with({matches}, {chosen}, (m, r) -> struct(m as original, r as replacement))"
+    return f"""zip_with({words}, {starts}, (w, at) -> named_struct(
+        'keyword', {_literal(keyword)}, 'original', w.original, 'replacement', w.replacement, 'position', at))"""
 
 
 def ablate_text(
@@ -52,62 +65,30 @@ def ablate_text(
     again; both are counted. ``replacements`` lists keyword, original, replacement and the 0-based position in the
     text as it was before that keyword's pass.
     """
-    any_keyword = "|".join(re.escape(k) for k in synonyms)
     # Without any keyword in the original text no pass can ever match.
-    touched = F.regexp_like(F.col(text), F.lit(rf"(?iU)\b(?:{any_keyword})\b"))
-    none = F.array().cast("array<string>")
-    out = df.withColumns({"ablated": F.col(text), "_touched": touched})
+    any_keyword = _literal(rf"(?iU)\b(?:{'|'.join(re.escape(k) for k in synonyms)})\b")
+    out = df.withColumns({"ablated": F.col(text), "_touched": F.expr(f"regexp_like(`{text}`, {any_keyword})")})
     if with_log:
         out = out.withColumn("replacements", F.array().cast(LOG_TYPE))
 
+    kept = [*df.columns, "_touched"]
+    counts: list[str] = []
     for i, (keyword, choices) in enumerate(synonyms.items()):
-        pattern = F.lit(_pattern(keyword))
-        current = F.col("ablated")
-        matches, chosen, pieces = f"_m{i}", f"_r{i}", f"_p{i}"
-        out = out.withColumn(
-            matches, F.when(F.col("_touched"), F.regexp_extract_all(current, pattern, F.lit(0))).otherwise(none)
-        ).withColumns(
-            {
-                chosen: F.transform(
-                    F.col(matches),
-                    lambda m, k: _like_original(m, _choice(F.col(row_id), keyword, k, seed, choices)),
-                ),
-                pieces: F.when(F.size(matches) > 0, F.split(current, pattern, -1)).otherwise(F.array(current)),
-            }
+        # Columns used inside a lambda would be evaluated per element, so the arrays are zipped instead.
+        matches, pattern = f"_m{i}", _pattern(keyword)
+        chosen = _chosen(matches, keyword, choices, row_id, seed)
+        pieces = f"if(size({matches}) > 0, split(ablated, {pattern}, -1), array(ablated))"
+        rebuilt = f"array_join(flatten(zip_with({pieces}, {chosen}, (p, w) -> array_compact(array(p, w)))), '')"
+        log = [f"concat(replacements, {_log(matches, chosen, pieces, keyword)}) as replacements"] if with_log else []
+        found = f"if(_touched, regexp_extract_all(ablated, {pattern}, 0), cast(array() as array<string>))"
+        out = out.selectExpr("*", f"{found} as {matches}").selectExpr(
+            *[f"`{c}`" for c in kept + counts], f"{rebuilt} as ablated", *log, f"size({matches}) as _n{i}"
         )
-        new_columns = {
-            "ablated": F.array_join(
-                F.transform(
-                    F.col(pieces), lambda p, k: F.concat(p, F.coalesce(F.get(F.col(chosen), k), F.lit("")))
-                ),
-                "",
-            )
-        }
-        if with_log:
-            new_columns["replacements"] = F.concat(
-                F.col("replacements"),
-                F.transform(
-                    F.col(matches),
-                    lambda m, k: F.struct(
-                        F.lit(keyword).alias("keyword"),
-                        m.alias("original"),
-                        F.get(F.col(chosen), k).alias("replacement"),
-                        F.aggregate(
-                            F.concat(F.slice(F.col(pieces), 1, k + 1), F.slice(F.col(matches), 1, k)),
-                            F.lit(0),
-                            lambda acc, s: acc + F.length(s),
-                        ).alias("position"),
-                    ),
-                ),
-            )
-        out = out.withColumns(new_columns).withColumn(f"_n{i}", F.size(matches)).drop(matches, chosen, pieces)
-
-    counts = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in synonyms]), F.array(*[F.col(f"_n{i}") for i in range(len(synonyms))])
-    )
-    return out.withColumn("keyword_counts", F.map_filter(counts, lambda _, n: n > 0)).drop(
-        "_touched", *[f"_n{i}" for i in range(len(synonyms))]
-    )
+        counts.append(f"_n{i}")
+
+    names = ", ".join(_literal(k) for k in synonyms)
+    found = f"map_filter(map_from_arrays(array({names}), array({', '.join(counts)})), (k, n) -> n > 0)"
+    return out.withColumn("keyword_counts", F.expr(found)).drop("_touched", *counts)
 
 
 def replace_word(

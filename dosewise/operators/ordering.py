@@ -52,10 +52,16 @@ def rank_counts(
     """
     keys, sums = list(keys), dict(sums or {})
     names = list(counts)
+    # NULL values are dropped after the reduction by a condition on an aggregate: a filter on the value itself would be
+    # pushed below it, where it repeats the whole expression that computes the value.
     pairs = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(*[F.expr(f"sum(cast({expr} as bigint)) as `{c}`") for c, expr in counts.items()])
+        df.groupBy(*keys, value)
+        .agg(
+            *[F.expr(f"sum(cast({expr} as bigint)) as `{c}`") for c, expr in counts.items()],
+            F.expr(f"count(`{value}`) as _present"),
+        )
+        .filter("_present > 0")
+        .select(*keys, value, *names)
     )
     placed = pairs.withColumn("_cuts", _cut_points(pairs, value, buckets).scalar()).selectExpr(
         *keys, value, *names, f"{_bucket_of(value, '_cuts', buckets)} as _bucket"
