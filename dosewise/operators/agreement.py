@@ -124,7 +124,7 @@ def histogram(scores: DataFrame, keys: Sequence[str], value: str, bins: int) ->
     A constant column gets a range of one unit around its value. The (group, value) rows are counted first, so both
     the range and the bin totals come from the reduced rows.
     """
-    counted = scores.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counted = scores.groupBy(*keys, value).agg(F.count(value).alias("_n")).filter("_n > 0")
     same = F.min(value) == F.max(value)
     ranges = counted.groupBy(*keys).agg(
         F.when(same, F.min(value) - 0.5).otherwise(F.min(value)).alias("lo"),

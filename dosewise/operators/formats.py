@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from dosewise import lexicons as L
 from dosewise.functions import rules
-from dosewise.functions.text import detect_format
+from dosewise.functions.text import detect_format, preview
 
 
-def format_counts(generations: DataFrame, keys: Sequence[str]) -> DataFrame:
+Terms = Mapping[str, Sequence[str]]
+
+
+def format_counts(generations: DataFrame, keys: Sequence[str], terms: Terms = L.FORMAT_TERMS) -> DataFrame:
     """Texts per (group, format): at most seven rows per group, input of everything below."""
     return (
-        generations.select(*keys, detect_format(F.col("text")).alias("format"))
+        generations.select(*keys, detect_format(F.col("text"), terms).alias("format"))
         .groupBy(*keys, "format")
         .agg(F.count("*").alias("n"))
     )
@@ -46,7 +50,7 @@ def format_diversity(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn(
             "entropy", F.when(F.col("n_formats") == 1, 0.0).otherwise(F.col("_entropy") / F.ln("n_formats"))
         )
-        .withColumn("verdict", rules.variance_verdict(F.col("entropy")))
+        .withColumn("verdict", rules.variance_verdict(F.round("entropy", 9)))
         .drop("_entropy")
     )
 
@@ -76,12 +80,16 @@ def format_set_change(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def format_examples(generations: DataFrame, keys: Sequence[str], order: str = "sample", n: int = 150) -> DataFrame:
+def format_examples(
+    generations: DataFrame,
+    keys: Sequence[str],
+    order: str = "sample",
+    n: int = 150,
+    terms: Terms = L.FORMAT_TERMS,
+) -> DataFrame:
     """Preview of the first text of each format."""
-    from dosewise.functions.text import preview
-
     return (
-        generations.select(*keys, order, "text", detect_format(F.col("text")).alias("format"))
+        generations.select(*keys, order, "text", detect_format(F.col("text"), terms).alias("format"))
         .groupBy(*keys, "format")
         .agg(F.min_by(preview(F.col("text"), n), order).alias("example"))
     )

@@ -141,10 +141,14 @@ def dose_response(
     }
 
 
-def format_variance(generations: DataFrame, keys: Sequence[str] = conditions.SERIES) -> dict[str, DataFrame]:
-    """Formats of the zero-dose texts, overall diversity per model, and the change of formats across doses."""
-    at_zero = formats.format_counts(generations.filter(F.col("alpha") == 0), keys)
-    by_dose = formats.format_counts(generations, ["model", "alpha"])
+def format_variance(
+    generations: DataFrame,
+    keys: Sequence[str] = conditions.SERIES,
+    terms: Mapping[str, Sequence[str]] = L.FORMAT_TERMS,
+) -> dict[str, DataFrame]:
+    """Formats of the zero-dose texts, their diversity per series, and the change of formats across doses."""
+    at_zero = formats.format_counts(generations.filter(F.col("alpha") == 0), keys, terms)
+    by_dose = formats.format_counts(generations, ["model", "alpha"], terms)
     return {
         "share": formats.format_share(at_zero, keys),
         "distinct": formats.format_distinct(at_zero, keys),
