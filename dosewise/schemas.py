@@ -2,8 +2,7 @@
 
 # --- fixed values: field names and layouts of the input files ---
 SCENARIO = (
-    "id string, title string, description string, objective string, empathy_pressure string, "
-    "rubric map<string,string>"
+    "id:string,title:string,description:string,objective:string,empathy_pressure:string,rubric:map<string,string>"
 )
 POSITIVE_FIELDS = ["empathic_text", "empathetic", "empathic"]
 NEGATIVE_FIELDS = ["non_empathic_text", "non_empathetic", "non_empathic"]
@@ -30,9 +29,7 @@ RUN = (
     "struct<model:string,model_key:string,target_layer:int,layers_tested:array<int>,alphas_tested:array<double>,"
     f"layer_results:array<struct<layer:int,experiments:array<{EXPERIMENT}>>>,experiments:array<{EXPERIMENT}>>"
 )
-RATING = (
-    "scenario string, true_score int, probe_score double, expected_category string, text_preview string"
-)
+RATING = "scenario:string,true_score:int,probe_score:double,expected_category:string,text_preview:string"
 SUMMARY_CSV = (
     "model string, layer int, scenario string, steering_success_rate double, baseline_empathy_rate double, "
     "num_alphas int"

@@ -7,21 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dosewise import schemas as S
-from dosewise.functions.text import first_non_empty
+from dosewise.functions.text import first_non_empty, strip
+
+
+def parse_scenarios(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Scenario records of JSON documents that each hold an array of them."""
+    return docs.select(F.inline(F.from_json(F.col(doc), f"array<struct<{S.SCENARIO}>>")))
 
 
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario records from a JSON array (or JSON lines)."""
-    return spark.read.schema(S.SCENARIO).json(path, multiLine=True)
+    """Scenario records of files holding a JSON array."""
+    return parse_scenarios(_documents(spark, path))
 
 
 def read_pair_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pair lines with the text of malformed ones in ``_corrupt`` and the split taken from the file name."""
-    lines = spark.read.schema(f"{S.PAIR}, _corrupt string").json(
-        path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt"
+    """Raw pair lines with the text of malformed ones in ``_corrupt``.
+
+    The split comes from a partition folder ``split=...`` or else from the file name ``{split}_pairs``.
+    """
+    lines = spark.read.text(path)
+    if "split" not in lines.columns:
+        name = F.regexp_extract(F.col("_metadata.file_name"), r"^(\w+?)_pairs", 1)
+        lines = lines.withColumn("split", F.nullif(name, F.lit("")))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return (
+        lines.filter(F.length(strip(F.col("value"))) > 0)
+        .withColumn("_pair", F.from_json("value", f"{S.PAIR}, _corrupt string", options))
+        .select("_pair.*", "split")
     )
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(\w+?)_pairs", 1)
-    return lines.withColumn("split", F.nullif(name, F.lit("")))
 
 
 def normalise_pairs(
@@ -33,6 +46,7 @@ def normalise_pairs(
     return (
         lines.withColumn("positive_text", first_non_empty(*[F.col(c) for c in positive]))
         .withColumn("negative_text", first_non_empty(*[F.col(c) for c in negative]))
+        .withColumn("generated_at", F.try_to_timestamp("generated_at"))
         .drop(*positive, *negative)
         .filter(F.col("positive_text").isNotNull() & F.col("negative_text").isNotNull())
     )
@@ -158,16 +172,12 @@ def merge_metrics(single: DataFrame, multi: DataFrame) -> DataFrame:
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Rated texts of a correlation result file."""
-    nested = spark.read.schema(f"layer_used int, detailed_results array<struct<{_colons(S.RATING)}>>").json(
+    nested = spark.read.schema(f"layer_used int, detailed_results array<struct<{S.RATING}>>").json(
         path, multiLine=True
     )
     return nested.select("layer_used", F.inline("detailed_results"))
 
 
-def _colons(ddl: str) -> str:
-    return ",".join(":".join(part.split()) for part in ddl.split(","))
-
-
 def read_success_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.SUMMARY_CSV).csv(path, header=True)
 
