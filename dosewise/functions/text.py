@@ -27,32 +27,48 @@ def length(text: Column) -> Column:
     return F.length(text)
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words(text))
+def word_count(text: Column, tokens: Column | None = None) -> Column:
+    return F.size(words(text) if tokens is None else tokens)
 
 
-def distinct_word_share(text: Column) -> Column:
-    """Distinct words (case-sensitive) per word; NULL without words."""
-    return F.try_divide(F.size(F.array_distinct(words(text))), F.size(words(text)))
+def distinct_word_share(text: Column, tokens: Column | None = None) -> Column:
+    """Distinct words (case-sensitive) per word; NULL without words.
 
+    ``tokens`` is an existing column with ``words(text)``, here and below, to split a text only once.
+    """
+    tokens = words(text) if tokens is None else tokens
+    return F.try_divide(F.size(F.array_distinct(tokens)), F.size(tokens))
 
-def is_coherent(text: Column, min_length: int = 50, min_words: int = 10, min_share: float = 0.3) -> Column:
+
+def is_coherent(
+    text: Column,
+    min_length: int = 50,
+    min_words: int = 10,
+    min_share: float = 0.3,
+    tokens: Column | None = None,
+) -> Column:
     """Long enough and not repetitive; short texts are incoherent."""
     return (
         (F.length(text) >= min_length)
-        & (word_count(text) >= min_words)
-        & (F.coalesce(distinct_word_share(text), F.lit(0.0)) >= min_share)
+        & (word_count(text, tokens) >= min_words)
+        & (F.coalesce(distinct_word_share(text, tokens), F.lit(0.0)) >= min_share)
     )
 
 
-def is_repetitive(text: Column, threshold: float = 0.3, min_words: int = 10) -> Column:
+def is_repetitive(
+    text: Column, threshold: float = 0.3, min_words: int = 10, tokens: Column | None = None
+) -> Column:
     """Few distinct words; texts below ``min_words`` are never repetitive."""
-    return (word_count(text) >= min_words) & (F.coalesce(distinct_word_share(text), F.lit(1.0)) < threshold)
+    return (word_count(text, tokens) >= min_words) & (
+        F.coalesce(distinct_word_share(text, tokens), F.lit(1.0)) < threshold
+    )
 
 
-def is_coherent_loose(text: Column, min_length: int = 50, threshold: float = 0.3) -> Column:
+def is_coherent_loose(
+    text: Column, min_length: int = 50, threshold: float = 0.3, tokens: Column | None = None
+) -> Column:
     """Variant in which a text longer than ``min_length`` with few words still counts as coherent."""
-    return (F.length(text) > min_length) & ~is_repetitive(text, threshold)
+    return (F.length(text) > min_length) & ~is_repetitive(text, threshold, tokens=tokens)
 
 
 def keyword_hits(text: Column, terms: Sequence[str]) -> Column:

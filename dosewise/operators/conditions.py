@@ -21,15 +21,15 @@ def sample_scores(
     generations: DataFrame, scorers: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """Per-text analysis, one row per sample (kept as rows rather than collected per condition)."""
-    text = F.col("text")
+    text, tokens = F.col("text"), F.col("_tokens")
     columns = {
-        "coherent": T.is_coherent(text),
+        "coherent": T.is_coherent(text, tokens=tokens),
         "has_context": T.contains_markers(text, F.col("scenario")),
         "positive_language": T.lexical_majority(text),
         "length": T.length(text),
-        "word_count": T.word_count(text),
+        "word_count": T.word_count(text, tokens),
     } | dict(scorers or {})
-    return generations.withColumns(columns)
+    return generations.withColumn("_tokens", T.words(text)).withColumns(columns).drop("_tokens")
 
 
 def condition_rates(samples: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -262,7 +262,8 @@ def layer_pivot(cells: DataFrame, value: str, alpha: float, low: int, high: int)
 def coherent_share(generations: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """Coherent texts per condition by the loose rule."""
     return (
-        generations.select(*keys, T.is_coherent_loose(F.col("text")).alias("_ok"))
+        generations.select(*keys, "text", T.words(F.col("text")).alias("_tokens"))
+        .select(*keys, T.is_coherent_loose(F.col("text"), tokens=F.col("_tokens")).alias("_ok"))
         .groupBy(*keys)
         .agg(
             F.count_if("_ok").alias("coherent"),

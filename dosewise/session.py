@@ -40,6 +40,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the session has task slots, e.g. one small unsplittable file.
+
+    Large inputs have more splits than slots and are returned as they are, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a (small) intermediate table to the scratch folder and read it back.
 

@@ -40,12 +40,15 @@ def documents(spark, sf_dir) -> DataFrame:
     FROM documents"""
 )
 def text_stats(spark, sf_dir):
+    text, tokens = F.col("text"), F.col("tokens")
     return rounded(
-        documents(spark, sf_dir).select(
+        documents(spark, sf_dir)
+        .withColumn("tokens", T.words(text))
+        .select(
             "doc_id",
-            T.length(F.col("text")).alias("length"),
-            T.word_count(F.col("text")).alias("word_count"),
-            T.distinct_word_share(F.col("text")).alias("distinct_share"),
+            T.length(text).alias("length"),
+            T.word_count(text, tokens).alias("word_count"),
+            T.distinct_word_share(text, tokens).alias("distinct_share"),
         )
     )
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dosewise.session import spread
+
 ALPHAS = [-20.0, -10.0, -5.0, 0.0, 5.0, 10.0, 20.0]
 GROUP = ["model", "layer"]
 CELL = ["model", "layer", "scenario", "alpha"]
@@ -14,7 +16,8 @@ DIGITS = 9  # scores are rounded to this before they are ranked, in both engines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; each is one file, often with a single row group, hence the redistribution of small scans."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
