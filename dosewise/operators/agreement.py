@@ -61,10 +61,13 @@ def correlation_p_value(r: Column, n: Column) -> Column:
 
 def pearson(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson correlation per group; NULL when a column is constant."""
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return scores.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.when(varies, F.corr(x, y)).alias("pearson")
+    products = scores.groupBy(*keys).agg(
+        F.regr_count(y, x).alias("n"),
+        F.regr_sxy(y, x).alias("_xy"),
+        F.regr_sxx(y, x).alias("_xx"),
+        F.regr_syy(y, x).alias("_yy"),
     )
+    return products.select(*keys, "n", F.expr("try_divide(_xy, sqrt(_xx) * sqrt(_yy)) as pearson"))
 
 
 def spearman(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -91,24 +94,20 @@ def spearman(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
 def line_fit(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Least-squares line y = slope * x + intercept per group, with r, standard error of the slope and p-value."""
     fit = scores.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min(x).alias("_lo"),
-        F.max(x).alias("_hi"),
+        F.regr_count(y, x).alias("n"),
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
         F.regr_sxx(y, x).alias("_sxx"),
         F.regr_syy(y, x).alias("_syy"),
         F.regr_sxy(y, x).alias("_sxy"),
     )
-    usable = F.col("_lo") < F.col("_hi")
-    r = F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx")) * F.sqrt(F.col("_syy")))
-    with_r = fit.withColumn("r", F.when(usable, r))
+    with_r = fit.withColumn("r", F.expr("try_divide(_sxy, sqrt(_sxx) * sqrt(_syy))"))
     residual = F.greatest(F.lit(0.0), 1 - F.col("r") * F.col("r"))
     return with_r.select(
         *keys,
         "n",
-        F.when(usable, F.col("slope")).alias("slope"),
-        F.when(usable, F.col("intercept")).alias("intercept"),
+        "slope",
+        "intercept",
         "r",
         F.when(
             F.col("n") > 2,
