@@ -17,38 +17,46 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _pattern(keyword: str) -> str:
-    return _literal(rf"(?iU)\b{re.escape(keyword)}\b")
-
-
-def _chosen(matches: str, keyword: str, synonyms: Sequence[str], row_id: str, seed: int) -> str:
-    """Replacement of each match: a synonym by the hash of (row, keyword, occurrence, seed), in the case of the match.
-
-    The hash makes the choice independent of row order and partitioning. Two leading capitals give all capitals, one
-    gives a capitalised word, anything else lower case.
-    """
-    key = f"concat_ws(':', cast(`{row_id}` as string), {_literal(keyword)}, cast(k as string), '{seed}')"
-    number = f"cast(conv(substring(md5({key}), 1, 8), 16, 10) as bigint)"
+# Replacement of each match ``w`` (the ``k``-th) of rule ``e``: a synonym by the hash of (row, keyword, occurrence, seed),
+# so that it depends neither on row order nor on partitioning, in the case of the match.
+_CHOSEN = """transform(m, (w, k) -> transform(
+    array(e.options[cast(pmod(cast(conv(substring(md5(
+        concat_ws(':', cast({row_id} as string), e.keyword, cast(k as string), '{seed}')), 1, 8), 16, 10) as bigint),
+        size(e.options)) as int)]),
+    s -> case
+        when substring(w, 1, 1) = lower(substring(w, 1, 1)) then lower(s)
+        when substring(w, 2, 1) = lower(substring(w, 2, 1)) then concat(upper(left(s, 1)), lower(substring(s, 2)))
+        else upper(s) end)[0])"""
+
+# Text pieces between the matches, interleaved with the replacements.
+_REBUILT = "array_join(flatten(zip_with(p.pieces, p.chosen, (x, y) -> array_compact(array(x, y)))), '')"
+
+# 0-based start of each match in the text the pieces were cut from.
+_STARTS = """aggregate(
+    zip_with(slice(p.pieces, 1, size(m)), m, (x, w) -> named_struct('gap', length(x), 'len', length(w))),
+    named_struct('at', 0, 'starts', cast(array() as array<int>)),
+    (a, x) -> named_struct('at', a.at + x.gap + x.len, 'starts', array_append(a.starts, a.at + x.gap)),
+    a -> a.starts)"""
+
+_LOG = f"""concat(acc.log, zip_with(
+    zip_with(m, p.chosen, (w, y) -> named_struct('original', w, 'replacement', y)), {_STARTS},
+    (w, at) -> named_struct(
+        'keyword', e.keyword, 'original', w.original, 'replacement', w.replacement, 'position', at)))"""
+
+# One pass per rule over the text so far. A one-element ``transform`` names an intermediate value.
+_FOLD = """aggregate({rules}, {start}, (acc, e) -> transform(
+    array(regexp_extract_all(acc.text, e.pattern, 0)),
+    m -> if(size(m) = 0,
+        named_struct('text', acc.text, 'counts', array_append(acc.counts, 0), 'log', acc.log),
+        transform(
+            array(named_struct('chosen', {chosen}, 'pieces', split(acc.text, e.pattern, -1))),
+            p -> named_struct('text', {rebuilt}, 'counts', array_append(acc.counts, size(m)), 'log', {log}))[0]))[0])"""
+
+
+def _rule(keyword: str, synonyms: Sequence[str]) -> str:
     options = ", ".join(_literal(s) for s in synonyms)
-    synonym = f"array({options})[cast(pmod({number}, {len(synonyms)}) as int)]"
-    first = "substring(m, 1, 1) != lower(substring(m, 1, 1))"
-    second = "substring(m, 2, 1) != lower(substring(m, 2, 1))"
-    return f"""transform({matches}, (m, k) -> case
-        when {first} and {second} then upper({synonym})
-        when {first} then concat(upper(left({synonym}, 1)), lower(substring({synonym}, 2)))
-        else lower({synonym}) end)"""
-
-
-def _log(matches: str, chosen: str, pieces: str, keyword: str) -> str:
-    """Array of (keyword, original, replacement, 0-based position in the text the pieces were cut from)."""
-    starts = f"""aggregate(
-        zip_with(slice({pieces}, 1, size({matches})), {matches}, (p, m) -> struct(length(p) as gap, length(m) as len)),
-        named_struct('at', 0, 'starts', cast(array() as array<int>)),
-        (acc, e) -> named_struct('at', acc.at + e.gap + e.len, 'starts', array_append(acc.starts, acc.at + e.gap)),
-        acc -> acc.starts)"""
-    words = f"zip_with({matches}, {chosen}, (m, r) -> struct(m as original, r as replacement))"
-    return f"""zip_with({words}, {starts}, (w, at) -> named_struct(
-        'keyword', {_literal(keyword)}, 'original', w.original, 'replacement', w.replacement, 'position', at))"""
+    pattern = _literal(rf"(?iU)\b{re.escape(keyword)}\b")
+    return f"named_struct('keyword', {_literal(keyword)}, 'pattern', {pattern}, 'options', array({options}))"
 
 
 def ablate_text(
@@ -63,32 +71,32 @@ def ablate_text(
 
     Keywords are applied in the order given, each to the result of the ones before, so a replacement can be replaced
     again; both are counted. ``replacements`` lists keyword, original, replacement and the 0-based position in the
-    text as it was before that keyword's pass.
+    text as it was before that keyword's pass. The whole fold is one expression: a later filter on its result can
+    repeat it once, but never once per keyword.
     """
     # Without any keyword in the original text no pass can ever match.
     any_keyword = _literal(rf"(?iU)\b(?:{'|'.join(re.escape(k) for k in synonyms)})\b")
-    out = df.withColumns({"ablated": F.col(text), "_touched": F.expr(f"regexp_like(`{text}`, {any_keyword})")})
-    if with_log:
-        out = out.withColumn("replacements", F.array().cast(LOG_TYPE))
-
-    kept = [*df.columns, "_touched"]
-    counts: list[str] = []
-    for i, (keyword, choices) in enumerate(synonyms.items()):
-        # Columns used inside a lambda would be evaluated per element, so the arrays are zipped instead.
-        matches, pattern = f"_m{i}", _pattern(keyword)
-        chosen = _chosen(matches, keyword, choices, row_id, seed)
-        pieces = f"if(size({matches}) > 0, split(ablated, {pattern}, -1), array(ablated))"
-        rebuilt = f"array_join(flatten(zip_with({pieces}, {chosen}, (p, w) -> array_compact(array(p, w)))), '')"
-        log = [f"concat(replacements, {_log(matches, chosen, pieces, keyword)}) as replacements"] if with_log else []
-        found = f"if(_touched, regexp_extract_all(ablated, {pattern}, 0), cast(array() as array<string>))"
-        out = out.selectExpr("*", f"{found} as {matches}").selectExpr(
-            *[f"`{c}`" for c in kept + counts], f"{rebuilt} as ablated", *log, f"size({matches}) as _n{i}"
-        )
-        counts.append(f"_n{i}")
-
+    start = f"""named_struct('text', `{text}`, 'counts', cast(array() as array<int>),
+        'log', cast(array() as {LOG_TYPE}))"""
+    fold = _FOLD.format(
+        rules=f"array({', '.join(_rule(k, s) for k, s in synonyms.items())})",
+        start=start,
+        chosen=_CHOSEN.format(row_id=f"`{row_id}`", seed=seed),
+        rebuilt=_REBUILT,
+        log=_LOG if with_log else "acc.log",
+    )
     names = ", ".join(_literal(k) for k in synonyms)
-    found = f"map_filter(map_from_arrays(array({names}), array({', '.join(counts)})), (k, n) -> n > 0)"
-    return out.withColumn("keyword_counts", F.expr(found)).drop("_touched", *counts)
+    columns = [
+        "_fold.text as ablated",
+        f"map_filter(map_from_arrays(array({names}), _fold.counts), (k, n) -> n > 0) as keyword_counts",
+    ]
+    if with_log:
+        columns.append("_fold.log as replacements")
+    untouched = f"""named_struct('text', `{text}`, 'counts', array_repeat(0, {len(synonyms)}),
+        'log', cast(array() as {LOG_TYPE}))"""
+    return df.withColumn("_fold", F.expr(f"if(regexp_like(`{text}`, {any_keyword}), {fold}, {untouched})")).selectExpr(
+        *[f"`{c}`" for c in df.columns], *columns
+    )
 
 
 def replace_word(
@@ -140,7 +148,8 @@ def ablation_totals(ablated_pairs: DataFrame) -> DataFrame:
 def keyword_totals(ablated: DataFrame) -> DataFrame:
     """Replacements and affected rows per keyword."""
     return (
-        ablated.select(F.explode("keyword_counts").alias("keyword", "n"))
+        ablated.select(F.explode_outer("keyword_counts").alias("keyword", "n"))
+        .filter(F.col("keyword").isNotNull())
         .groupBy("keyword")
         .agg(F.sum("n").alias("replacements"), F.count("*").alias("texts"))
     )

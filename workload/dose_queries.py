@@ -232,12 +232,12 @@ def dose_delta(spark, sf_dir):
     RATIO_CELLS
     + f""", based AS (
         SELECT *, max(score_mean) FILTER (alpha = 0) OVER (PARTITION BY model, layer, scenario) AS b FROM cells)
-    SELECT model, layer, scenario, alpha, {r('score_mean')} AS score_mean,
-           {r('CASE WHEN b <> 0 THEN (score_mean - b) / b * 100 END')} AS percent_change
+    SELECT model, layer, scenario, alpha, {r('score_mean', 9)} AS score_mean,
+           {r('CASE WHEN b <> 0 THEN (score_mean - b) / b * 100 END', 9)} AS percent_change
     FROM based WHERE b IS NOT NULL"""
 )
 def pct_change(spark, sf_dir):
-    return rounded(C.percent_change(ratio_cells(spark, sf_dir), "score_mean"))
+    return rounded(C.percent_change(ratio_cells(spark, sf_dir), "score_mean"), 9)
 
 
 @query(

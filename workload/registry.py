@@ -92,10 +92,10 @@ VIEWS = {
                 + avg(score) FILTER (label = 0) OVER (PARTITION BY model, layer)) / 2 AS mid
         FROM scores""",
     "aurocs": """
-        SELECT model, layer, count_if(label = 1) AS n_pos, count_if(label = 0) AS n_neg,
-               CASE WHEN count_if(label = 1) * count_if(label = 0) = 0 THEN 0.5 ELSE
-               (sum(rnk) FILTER (label = 1) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0)
-               / (count_if(label = 1)::DOUBLE * count_if(label = 0)) END AS auroc
+        SELECT model, layer, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg,
+               CASE WHEN count(*) FILTER (label = 1) * count(*) FILTER (label = 0) = 0 THEN 0.5 ELSE
+               (sum(rnk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+               / (count(*) FILTER (label = 1)::DOUBLE * count(*) FILTER (label = 0)) END AS auroc
         FROM ranked GROUP BY model, layer""",
     "ratings": "SELECT vec_id AS text_id, label % 3 AS true_score FROM embeddings",
     "rated": """

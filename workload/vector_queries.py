@@ -166,7 +166,7 @@ def projection(spark, sf_dir):
 def shift_project(spark, sf_dir):
     directions = stored_directions(spark, sf_dir)
     test = v.test(spark, sf_dir)
-    before = D.project(test, directions, v.GROUP).withColumn("alpha", (F.col("text_id") % 3) * 5.0)
+    before = D.project(test, directions, v.GROUP, digits=v.DIGITS).withColumn("alpha", (F.col("text_id") % 3) * 5.0)
     moved = D.shift_vectors(test, directions, v.GROUP, (F.col("text_id") % 3) * 5.0)
     after = D.project(moved, directions, v.GROUP, keep=["text_id", "alpha"])
     return rounded(
@@ -309,8 +309,8 @@ RANDOM_SQL = (
                   + (count(*) OVER (PARTITION BY model, layer, trial, score) - 1) / 2.0 AS rnk FROM rscores),
     trials AS (
         SELECT model, layer, trial,
-               (sum(rnk) FILTER (label = 1) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0)
-               / (count_if(label = 1)::DOUBLE * count_if(label = 0)) AS auroc,
+               (sum(rnk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+               / (count(*) FILTER (label = 1)::DOUBLE * count(*) FILTER (label = 0)) AS auroc,
                avg(((score > 0)::INT = label)::INT) AS accuracy
         FROM rranked GROUP BY model, layer, trial),
     summary AS (
@@ -442,15 +442,15 @@ EXTREMES = """
     , sub AS (SELECT model, layer, score, (true_score = 2)::INT AS label FROM rated WHERE true_score IN (0, 2)),
     med AS (SELECT model, layer, quantile_cont(score, 0.5) AS t FROM sub GROUP BY ALL),
     cm AS (
-        SELECT model, layer, count_if(score >= t AND label = 1) AS tp, count_if(score >= t AND label = 0) AS fp,
-               count_if(score < t AND label = 0) AS tn, count_if(score < t AND label = 1) AS fn
+        SELECT model, layer, count(*) FILTER (score >= t AND label = 1) AS tp, count(*) FILTER (score >= t AND label = 0) AS fp,
+               count(*) FILTER (score < t AND label = 0) AS tn, count(*) FILTER (score < t AND label = 1) AS fn
         FROM sub JOIN med USING (model, layer) GROUP BY ALL)"""
 BINARISED = """
     , sub AS (SELECT model, layer, score, (true_score >= 1)::INT AS label FROM rated),
     med AS (SELECT model, layer, quantile_cont(score, 0.5) AS t FROM sub GROUP BY ALL),
     cm AS (
-        SELECT model, layer, count_if(score > t AND label = 1) AS tp, count_if(score > t AND label = 0) AS fp,
-               count_if(score <= t AND label = 0) AS tn, count_if(score <= t AND label = 1) AS fn
+        SELECT model, layer, count(*) FILTER (score > t AND label = 1) AS tp, count(*) FILTER (score > t AND label = 0) AS fp,
+               count(*) FILTER (score <= t AND label = 0) AS tn, count(*) FILTER (score <= t AND label = 1) AS fn
         FROM sub JOIN med USING (model, layer) GROUP BY ALL)"""
 
 
@@ -514,7 +514,8 @@ def rating_agreement(spark, sf_dir):
 
 
 @query(
-    """SELECT count_if(label % 3 = 2) AS n_high, count_if(label % 3 = 1) AS n_medium, count_if(label % 3 = 0) AS n_low
+    """SELECT count(*) FILTER (label % 3 = 2) AS n_high, count(*) FILTER (label % 3 = 1) AS n_medium,
+           count(*) FILTER (label % 3 = 0) AS n_low
     FROM embeddings"""
 )
 def rating_counts(spark, sf_dir):
