@@ -70,6 +70,13 @@ def pearson(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     return products.select(*keys, "n", F.expr("try_divide(_xy, sqrt(_xx) * sqrt(_yy)) as pearson"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join that keeps NULL groups. It infers no filters, so ``left`` stays shareable with other branches."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    condition = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
+    return left.join(renamed, condition).drop(*[f"_right_{c}" for c in on])
+
+
 def spearman(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks per group; NULL when a column is constant.
 
@@ -78,7 +85,7 @@ def spearman(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
     cells = scores.groupBy(*keys, x, y).agg(F.count("*").alias("_w"))
     rank_x = average_ranks(cells, keys, x, "_rx", "_w")
     rank_y = average_ranks(cells, keys, y, "_ry", "_w").drop("n_total")
-    ranked = cells.join(rank_x, [*keys, x]).join(rank_y, [*keys, y])
+    ranked = _join_null_safe(_join_null_safe(cells, rank_x, [*keys, x]), rank_y, [*keys, y])
     centre = (F.col("n_total") + 1) / 2.0
     w, dx, dy = F.col("_w"), F.col("_rx") - centre, F.col("_ry") - centre
     sums = ranked.groupBy(*keys).agg(

@@ -237,10 +237,15 @@ def flag_tally(
     return generations.select(*keys, "alpha", flag.alias("_flag")).groupBy(*keys).agg(*aggs)
 
 
-def first_layer(generations: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    """Rows of the smallest layer per model, by a join on the (tiny) table of first layers."""
-    first = generations.groupBy(*keys).agg(F.min("layer").alias("layer"))
-    return generations.join(first, [*keys, "layer"], "left_semi")
+def first_layer(cells: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+    """Cells of the smallest layer per model; works on aggregated cells, not on texts."""
+    first = F.min("layer").over(Window.partitionBy(*keys))
+    return cells.withColumn("_first", first).filter(F.col("layer") == F.col("_first")).drop("_first")
+
+
+def select_layers(cells: DataFrame, selection: DataFrame) -> DataFrame:
+    """Cells of the chosen (model, layer) pairs, e.g. the best layer of each model."""
+    return cells.join(selection.select("model", "layer"), ["model", "layer"], "left_semi")
 
 
 def layer_pivot(cells: DataFrame, value: str, alpha: float, low: int, high: int) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from dosewise.session import materialize
+
 
 def _explode(df: DataFrame, values: Sequence, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
@@ -32,8 +34,11 @@ def dose_grid(
 
 
 def only_scenarios(df: DataFrame, wanted: DataFrame, scenario: str = "scenario") -> DataFrame:
-    """Rows of the wanted scenarios."""
-    return df.join(wanted.select(scenario).distinct(), scenario, "left_semi")
+    """Rows of the wanted scenarios.
+
+    The distinct names are stored first, so that the planner sees their true size and need not shuffle the texts.
+    """
+    return df.join(materialize(wanted.select(scenario).distinct(), "scenarios"), scenario, "left_semi")
 
 
 def missing_cells(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -70,18 +70,34 @@ def ablation_report(
 
     ``texts`` has ``keys, row_id, label, text``.
     """
-    positive = texts.filter(F.col("label") == 1)
-    replaced = ablation.ablate_text(positive, "text", row_id, synonyms, seed).select(
-        *keys, "label", scorer(F.col("ablated")).alias("score")
+    both = text_ablation_metrics(texts, scorer, keys, synonyms, row_id, seed)
+    original, ablated = (both.filter(F.col("variant") == name) for name in ("original", "ablated"))
+    return ablation.metric_drop(original, ablated, keys, accuracy)
+
+
+def text_ablation_metrics(
+    texts: DataFrame,
+    scorer: Callable[[Column], Column],
+    keys: Sequence[str],
+    synonyms: Mapping[str, Sequence[str]] = L.SYNONYMS,
+    row_id: str = "row_id",
+    seed: int = 42,
+) -> DataFrame:
+    """Stored metrics per group and variant (``original``, ``ablated``); the texts are read once for both."""
+    replaceable = texts.withColumn("_target", F.when(F.col("label") == 1, F.col("text")))
+    scored = ablation.ablate_text(replaceable, "_target", row_id, synonyms, seed).select(
+        *keys,
+        "label",
+        scorer(F.col("text")).alias("_before"),
+        scorer(F.coalesce("ablated", "text")).alias("_after"),
     )
-    unchanged = texts.filter(F.col("label") == 0).select(*keys, "label", scorer(F.col("text")).alias("score"))
-    before = texts.select(*keys, "label", scorer(F.col("text")).alias("score"))
-    return ablation.metric_drop(
-        evaluation.evaluate_scores(before, keys),
-        evaluation.evaluate_scores(replaced.unionByName(unchanged), keys),
-        keys,
-        accuracy,
+    long = scored.withColumn("variant", F.explode(F.array(F.lit("original"), F.lit("ablated")))).select(
+        *keys,
+        "variant",
+        "label",
+        F.when(F.col("variant") == "original", F.col("_before")).otherwise(F.col("_after")).alias("score"),
     )
+    return materialize(evaluation.evaluate_scores(long, [*keys, "variant"]), "ablation_metrics")
 
 
 def vector_ablation_report(
@@ -104,8 +120,13 @@ def vector_ablation_report(
 def rating_agreement(
     scores: DataFrame, ratings: DataFrame, keys: Sequence[str] = GROUP, rating: str = "true_score"
 ) -> DataFrame:
-    """Correlations with p-values and the binary accuracies (0 against 2, and at least 1) per scoring group."""
-    rated = scores.join(ratings.select("text_id", rating), "text_id")
+    """Correlations with p-values and the binary accuracies (0 against 2, and at least 1) per scoring group.
+
+    The rated scores (a few numbers per text) are stored once, so the vectors behind them are projected once.
+    """
+    rated = materialize(
+        scores.select(*keys, "text_id", "score").join(ratings.select("text_id", rating), "text_id"), "rated"
+    )
     linear = agreement.pearson(rated, keys, "score", rating)
     ranked = agreement.spearman(rated, keys, "score", rating).drop("n")
     extremes = agreement.rating_extremes_metrics(rated, keys, rating, "score").select(
@@ -128,8 +149,11 @@ def rating_agreement(
 def dose_response(
     generations: DataFrame, scorers: Mapping[str, Column] | None = None, mode: str = "reference"
 ) -> dict[str, DataFrame]:
-    """Rates, effects, summary, roll-up and failure cases; all lazy, all derived from one aggregation."""
-    rates = conditions.condition_rates(conditions.sample_scores(generations, scorers))
+    """Rates, effects, summary, roll-up and failure cases.
+
+    The texts are read once, for the rates, which are stored; everything else works on that small table.
+    """
+    rates = materialize(conditions.condition_rates(conditions.sample_scores(generations, scorers)), "rates")
     effects = conditions.steering_effects(rates, mode)
     summary = conditions.success_summary(effects)
     return {
@@ -146,9 +170,14 @@ def format_variance(
     keys: Sequence[str] = conditions.SERIES,
     terms: Mapping[str, Sequence[str]] = L.FORMAT_TERMS,
 ) -> dict[str, DataFrame]:
-    """Formats of the zero-dose texts, their diversity per series, and the change of formats across doses."""
-    at_zero = formats.format_counts(generations.filter(F.col("alpha") == 0), keys, terms)
-    by_dose = formats.format_counts(generations, ["model", "alpha"], terms)
+    """Formats of the zero-dose texts, their diversity per series, and the change of formats across doses.
+
+    The texts are read once, for the stored counts per condition and format.
+    """
+    fine = list(dict.fromkeys([*keys, "model", "alpha"]))
+    counts = materialize(formats.format_counts(generations, fine, terms), "formats")
+    at_zero = counts.filter(F.col("alpha") == 0).groupBy(*keys, "format").agg(F.sum("n").alias("n"))
+    by_dose = counts.groupBy("model", "alpha", "format").agg(F.sum("n").alias("n"))
     return {
         "share": formats.format_share(at_zero, keys),
         "distinct": formats.format_distinct(at_zero, keys),
@@ -162,8 +191,9 @@ def format_variance(
 def dose_curve(
     generations: DataFrame, score: Column | None = None, preferred: float | None = None
 ) -> dict[str, DataFrame]:
-    """Score curve over the doses, baseline beside maximum, change from the baseline."""
-    cells = conditions.condition_scores(generations, T.lexical_ratio(F.col("text")) if score is None else score)
+    """Score curve over the doses, baseline beside maximum, change from the baseline; the curve is stored."""
+    scorer = T.lexical_ratio(F.col("text")) if score is None else score
+    cells = materialize(conditions.condition_scores(generations, scorer), "curve")
     return {
         "curve": cells,
         "extremes": conditions.baseline_and_maximum(cells, "score_mean", preferred),
@@ -181,10 +211,10 @@ def experiment_grid(
 
 
 def make_split(pairs: DataFrame, path: str, row_id: str = "pair_id", fraction: float = 0.7, seed: int = 42) -> DataFrame:
-    """Splits the pairs, writes them by split and returns the summary record."""
-    split = splits.hash_split(pairs, row_id, fraction, seed)
-    writers.write_pairs(split, path)
-    return splits.dataset_summary(split)
+    """Splits the pairs, writes them by split and returns the summary record of what was written."""
+    writers.write_pairs(splits.hash_split(pairs, row_id, fraction, seed), path)
+    schema = "scenario_id string, source_model string, run_id int, split string"
+    return splits.dataset_summary(pairs.sparkSession.read.schema(schema).json(path))
 
 
 def run_summary(metrics: DataFrame, agreement_table: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dosewise.functions import text as T
 from dosewise.operators import conditions as C, formats as M, grid as G
+from dosewise.operators.evaluation import best_layer
 from dosewise.plans import analyses as A
 from workload import views as v
 from workload.registry import query, r, rounded, sql_hits, sql_words, with_views
@@ -152,6 +153,17 @@ def failure_cases(spark, sf_dir):
     return rounded(analysis(spark, sf_dir)["failures"])
 
 
+@query(
+    RATES.split(",\n    rates AS")[0].replace("model, layer, scenario, alpha,\n", "model, layer, scenario, alpha, sample,\n")
+    + """ SELECT sample, coherent, has_context, positive_language, length::INT AS length, word_count::INT AS word_count
+          FROM samples"""
+)
+def sample_scores(spark, sf_dir):
+    return C.sample_scores(v.generations(spark, sf_dir), scorers()).select(
+        "sample", "coherent", "has_context", "positive_language", "length", "word_count"
+    )
+
+
 # --- dose curves ---
 
 POOLED = (
@@ -263,8 +275,8 @@ def hit_ratio(spark, sf_dir):
     FROM gen WHERE (model, layer) IN (SELECT (model, min(layer)) FROM gen GROUP BY model) GROUP BY ALL"""
 )
 def flag_tally(spark, sf_dir):
-    first = C.first_layer(v.generations(spark, sf_dir))
-    return C.flag_tally(first, T.any_term(F.col("text"), POSITIVE), [0.0, 10.0])
+    tally = C.flag_tally(v.generations(spark, sf_dir), T.any_term(F.col("text"), POSITIVE), [0.0, 10.0])
+    return C.first_layer(tally)
 
 
 @query(
@@ -279,6 +291,20 @@ def layer_pivot(spark, sf_dir):
     return rounded(C.layer_pivot(ratio_cells(spark, sf_dir), "score_mean", 20.0, 0, 1))
 
 
+@query(
+    RATIO_CELLS
+    + f""", chosen AS (SELECT model, layer FROM cells GROUP BY model, layer
+                      QUALIFY row_number() OVER (PARTITION BY model ORDER BY sum(num_samples) DESC, layer) = 1)
+    SELECT model, layer, scenario, alpha, {r('score_mean')} AS score_mean FROM cells
+    WHERE (model, layer) IN (SELECT (model, layer) FROM chosen)"""
+)
+def layer_selection(spark, sf_dir):
+    cells = A.dose_curve(v.generations(spark, sf_dir), ratio())["curve"]
+    totals = cells.groupBy("model", "layer").agg(F.sum("num_samples").alias("n"))
+    chosen = best_layer(totals, metric="n").withColumnRenamed("best_layer", "layer")
+    return rounded(C.select_layers(cells, chosen).select(*v.CELL, "score_mean"))
+
+
 @query(
     with_views("gen")
     + f""", s AS (SELECT *, length(text) > 50 AND NOT (len({WORDS}) >= 10 AND {SHARE} < 0.3) AS ok FROM gen)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from dosewise.functions import rules, text as T
-from dosewise.operators import ablation as B, evaluation as E, splits as S
+from dosewise.operators import ablation as B, splits as S
 from dosewise.plans import analyses as A
 from workload import views as v
 from workload.registry import SPACE, query, r, rounded, sql_any, sql_hits, sql_strip, sql_words, with_views
@@ -464,17 +464,9 @@ def ablation_report(spark, sf_dir):
     + ") SELECT * FROM long"
 )
 def ablation_metrics_long(spark, sf_dir):
-    texts = v.labelled_texts(spark, sf_dir)
-    before = texts.select("lang", "label", scorer(F.col("text")).alias("score"))
-    positive = B.ablate_text(texts.filter("label = 1"), "text", "doc_id", SYNONYMS)
-    after = positive.select("lang", "label", scorer(F.col("ablated")).alias("score")).unionByName(
-        before.filter("label = 0")
-    )
-    return rounded(
-        B.metrics_long(
-            E.evaluate_scores(before, ["lang"]), E.evaluate_scores(after, ["lang"]), ["lang"], ["auroc", "separation"]
-        )
-    )
+    both = A.text_ablation_metrics(v.labelled_texts(spark, sf_dir), scorer, ["lang"], SYNONYMS, "doc_id")
+    original, ablated = (both.filter(F.col("variant") == name) for name in ("original", "ablated"))
+    return rounded(B.metrics_long(original, ablated, ["lang"], ["auroc", "separation"]))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dosewise.functions import rules, vectors as V
 from dosewise.operators import agreement, directions as D, evaluation as E, random_control as R
 from dosewise.plans import analyses as A
+from dosewise.session import materialize
 from workload import views as v
 from workload.registry import AUROC_VIEWS, SCORE_VIEWS, query, r, rounded, with_views
 
@@ -88,6 +89,20 @@ def top_components(spark, sf_dir):
     return rounded(D.top_components(stored_directions(spark, sf_dir), v.GROUP, 20))
 
 
+@query(
+    with_views(*DIR_VIEWS)
+    + f""", comps AS (SELECT model, layer, unnest(direction) AS x FROM dirs),
+    rng AS (SELECT model, layer, min(x) AS lo, max(x) AS hi FROM comps GROUP BY ALL),
+    binned AS (SELECT model, layer, lo, hi, least(floor((x - lo) / (hi - lo) * 50) + 1, 50)::INT AS bin
+               FROM comps JOIN rng USING (model, layer))
+    SELECT model, layer, bin, {r('min(lo + (bin - 1) * (hi - lo) / 50)')} AS bin_start, count(*) AS n
+    FROM binned GROUP BY model, layer, bin"""
+)
+def component_histogram(spark, sf_dir):
+    parts = stored_directions(spark, sf_dir).select(*v.GROUP, F.explode("direction").alias("x"))
+    return rounded(agreement.histogram(parts, v.GROUP, "x", 50))
+
+
 @query(
     with_views("act")
     + """
@@ -561,7 +576,7 @@ def score_histogram(spark, sf_dir):
     FROM best b JOIN cc c ON b.model = c.model AND b.layer = c.layer"""
 )
 def run_summary(spark, sf_dir):
-    scores = test_scores(spark, sf_dir)
+    scores = materialize(test_scores(spark, sf_dir), "scores")
     rated = scores.join(v.ratings(spark, sf_dir), "text_id")
     return rounded(
         A.run_summary(E.evaluate_scores(scores, v.GROUP), agreement.pearson(rated, v.GROUP, "score", "true_score"))
