@@ -37,7 +37,8 @@ def class_means(activations: DataFrame, keys: Sequence[str], vec: str = "vec", f
     Every map task contributes one buffer per group; the first level spreads the buffers of a hot group over
     ``fanout`` reducers and the second combines their means with row counts as weights.
     """
-    salted = activations.withColumn("_salt", F.spark_partition_id() % fanout)
+    present = activations.filter(F.col(vec).isNotNull())
+    salted = present.withColumn("_salt", F.spark_partition_id() % fanout)
     partial = salted.groupBy(*keys, "_salt").agg(
         Summarizer.mean(array_to_vector(F.col(vec))).alias("_mean"), F.count("*").alias("_n")
     )

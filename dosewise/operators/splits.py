@@ -6,24 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dosewise.functions.text import strip
+
 
 def to_long(
     pairs: DataFrame, keep: Sequence[str], positive: str = "positive_text", negative: str = "negative_text"
 ) -> DataFrame:
     """Two rows per pair: label 1 with the positive text, label 0 with the negative one."""
-    sides = F.array(
-        F.struct(F.lit(1).alias("label"), F.col(positive).alias("text")),
-        F.struct(F.lit(0).alias("label"), F.col(negative).alias("text")),
-    )
-    return pairs.select(*keep, F.inline(sides))
+    return pairs.select(*keep, F.expr(f"stack(2, 1, `{positive}`, 0, `{negative}`) as (label, text)"))
 
 
 def drop_blank_pairs(
     pairs: DataFrame, positive: str = "positive_text", negative: str = "negative_text"
 ) -> DataFrame:
     """Pairs whose both texts are non-empty after stripping."""
-    from dosewise.functions.text import strip
-
     return pairs.filter((F.length(strip(F.col(positive))) > 0) & (F.length(strip(F.col(negative))) > 0))
 
 

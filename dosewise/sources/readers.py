@@ -12,7 +12,9 @@ from dosewise.functions.text import first_non_empty, strip
 
 def parse_scenarios(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Scenario records of JSON documents that each hold an array of them."""
-    return docs.select(F.inline(F.from_json(F.col(doc), f"array<struct<{S.SCENARIO}>>")))
+    # The outer form of a generator has no inferred filter on its input, which would parse every document twice.
+    parsed = F.from_json(F.col(doc), f"array<struct<{S.SCENARIO}>>")
+    return docs.select(F.inline_outer(parsed)).filter(F.col("id").isNotNull())
 
 
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +105,7 @@ def _all_experiments(run: Column) -> Column:
 def flatten_runs(runs: DataFrame, model: str = "model_key", run: str = "run") -> DataFrame:
     """One row per generated text from nested run structs, in a single pass over the input."""
     return (
-        runs.select(F.col(model).alias("model"), F.explode(_all_experiments(F.col(run))).alias("e"))
+        runs.select(F.col(model).alias("model"), F.explode_outer(_all_experiments(F.col(run))).alias("e"))
         .select("model", "e.layer", "e.scenario", "e.title", F.explode("e.conditions").alias("c"))
         .select(
             "model",
@@ -120,7 +122,9 @@ def parse_model_map(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """``(model_key, run)`` rows of JSON documents holding a map by model, with or without a top key ``models``."""
     wrapped = F.from_json(F.col(doc), f"models map<string,{S.RUN}>")["models"]
     plain = F.from_json(F.col(doc), f"map<string,{S.RUN}>")
-    return docs.select(F.explode(F.coalesce(wrapped, plain)).alias("model_key", "run"))
+    return docs.select(F.explode_outer(F.coalesce(wrapped, plain)).alias("model_key", "run")).filter(
+        F.col("model_key").isNotNull()
+    )
 
 
 def parse_single_run(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -157,8 +161,8 @@ def read_validation(spark: SparkSession, path: str, model: str) -> DataFrame:
 
 def parse_model_metrics(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Metric rows of JSON documents that map models to maps of layers."""
-    models = docs.select(F.explode(F.from_json(F.col(doc), S.MODEL_METRICS)).alias("model", "v"))
-    return _layer_rows(models, F.col("v.layers"))
+    models = docs.select(F.explode_outer(F.from_json(F.col(doc), S.MODEL_METRICS)).alias("model", "v"))
+    return _layer_rows(models.filter(F.col("model").isNotNull()), F.col("v.layers"))
 
 
 def read_model_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -154,3 +154,9 @@ def test_fit_validate_and_control_end_to_end(activations):
 def test_group_without_direction_drops_out(activations):
     directions = materialize(D.fit_directions(activations.filter("layer = 0"), KEYS), "directions")
     assert {r["layer"] for r in evaluate_scores(D.project(activations, directions, KEYS), KEYS).collect()} == {0}
+
+
+def test_missing_vectors_are_ignored(spark, activations):
+    extra = spark.createDataFrame([("m", 0, 999, 1, None)], SCHEMA)
+    got = D.fit_directions(activations.unionByName(extra), KEYS).filter("layer = 0").first()
+    assert got["n_pos"] == 30

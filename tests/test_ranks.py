@@ -125,3 +125,18 @@ def test_plan_has_no_window_over_a_whole_group(scores):
     optimized = plan.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
     row_windows = [line for line in optimized.splitlines() if "Window [" in line and "score" in line]
     assert row_windows and all("_bucket" in line for line in row_windows)
+
+
+def test_scores_are_evaluated_once(spark, scores, rows):
+    """Cut points, bucket totals and rows come from one shared exchange."""
+    from pyspark.sql.types import DoubleType
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return x
+
+    counted = scores.withColumn("score", F.udf(touch, DoubleType())("score"))
+    evaluate_scores(counted, ["g"]).collect()
+    assert seen.value == len(rows)
