@@ -44,7 +44,7 @@ def test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five consecutive vectors are the positions of one text."""
     return table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 5).alias("text_id"),
+        F.expr("vec_id div 5").alias("text_id"),
         (F.col("vec_id") % 5).alias("pos"),
         F.col("embedding").alias("vec"),
     )
@@ -63,7 +63,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("model"),
         (F.col("doc_id") % 2).cast("int").alias("layer"),
         F.concat(F.lit("s"), (F.substring("source", 4, 9).cast("int") % 3).cast("string")).alias("scenario"),
-        F.get(alphas, (F.floor(F.col("doc_id") / 2) % 7).cast("int")).alias("alpha"),
+        F.get(alphas, F.expr("cast((doc_id div 2) % 7 as int)")).alias("alpha"),
         F.col("doc_id").alias("sample"),
         "text",
     )
