@@ -12,6 +12,7 @@ from dosewise.functions import vectors as V
 from dosewise.operators.evaluation import evaluate_scores
 
 BLOCK_BYTES = 64 * 1024 * 1024
+CHUNK_SCORES = 4_000_000
 
 
 def _uniform(digest: Column, start: int) -> Column:
@@ -43,20 +44,26 @@ def random_unit_directions(spark: SparkSession, n: int, dim: int, seed: int = 42
 def _project_block(
     vectors: DataFrame, keep: Sequence[str], vec: str, trials: list[int], block: np.ndarray, digits: int | None
 ) -> DataFrame:
-    """Scores of each vector on all directions of a block, one matrix product per Arrow batch."""
+    """Scores of each vector on all directions of a block, by matrix products over slices of the Arrow batches.
+
+    A slice gives at most ``CHUNK_SCORES`` scores, whatever the number of directions.
+    """
+    chunk_scores = CHUNK_SCORES
     shared = vectors.sparkSession.sparkContext.broadcast(block)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
+        step = max(1, chunk_scores // matrix.shape[0])
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
-            product = rows @ matrix.T
-            if digits is not None:
-                product = np.round(product, digits)
-            offsets = np.arange(0, product.size + 1, matrix.shape[0], dtype=np.int32)
-            scores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(product.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*keep, "scores"])
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                flat = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
+                product = flat.astype(np.float64).reshape(-1, matrix.shape[1]) @ matrix.T
+                if digits is not None:
+                    product = np.round(product, digits)
+                offsets = np.arange(0, product.size + 1, matrix.shape[0], dtype=np.int32)
+                scores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(product.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], names=[*keep, "scores"])
 
     slim = vectors.filter(F.col(vec).isNotNull()).select(*keep, vec)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]

@@ -142,6 +142,16 @@ def test_random_projection_in_one_or_many_blocks(activations, data):
     assert got[1, 7, 3] == pytest.approx(float(vec.astype(float) @ hashed_direction(42, 3, 8)), abs=1e-9)
 
 
+def test_small_slices_give_the_same_scores(activations, monkeypatch):
+    def scores():
+        rows = R.project_random(activations, 5, 8, keep=["layer", "text_id"]).collect()
+        return {(r["layer"], r["text_id"], r["trial"]): r["score"] for r in rows}
+
+    whole = scores()
+    monkeypatch.setattr(R, "CHUNK_SCORES", 12)
+    assert scores() == pytest.approx(whole)
+
+
 def test_fit_validate_and_control_end_to_end(activations):
     directions = A.fit_directions(activations)
     metrics = A.validate_directions(activations, directions)

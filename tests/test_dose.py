@@ -94,7 +94,8 @@ def test_whole_analysis_on_texts(spark):
 
 
 def test_formats_across_doses(spark):
-    rows = [("m", 0, "s", 0.0, 1, "a | b"), ("m", 0, "s", 0.0, 2, "short"), ("m", 0, "s", 5.0, 1, "a | b"), ("m", 0, "s", 5.0, 2, "tiny")]
+    texts = [(0.0, 1, "a | b"), (0.0, 2, "short"), (5.0, 1, "a | b"), (5.0, 2, "tiny")]
+    rows = [("m", 0, "s", *t) for t in texts]
     out = A.format_variance(spark.createDataFrame(rows, GEN))
     assert all(r["all_same"] for r in out["set_change"].collect())
     rows.append(("m", 0, "s", 10.0, 1, "a | b"))
