@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dosewise.llm import minhash
+from dosewise.llm import bpe, minhash, simple8b
 
-QUERIES = {f.__name__: f for f in (minhash.op2_circulant_minhash,)}
+QUERIES = {f.__name__: f for f in (minhash.op2_circulant_minhash, bpe.op3_pair_index_bpe, simple8b.op9_simple8b_tokens)}
 ORACLE: dict[str, str] = {}
