@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from dosewise.llm import bpe, minhash, simple8b
+from dosewise.llm import bpe, line_dedup, minhash, simple8b
 
-QUERIES = {f.__name__: f for f in (minhash.op2_circulant_minhash, bpe.op3_pair_index_bpe, simple8b.op9_simple8b_tokens)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        minhash.op2_circulant_minhash,
+        bpe.op3_pair_index_bpe,
+        line_dedup.op5_line_windows,
+        simple8b.op9_simple8b_tokens,
+    )
+}
+ORACLE: dict[str, str] = {"op5_line_windows": line_dedup.OP5_SQL}
