@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dosewise.llm import bpe, line_dedup, minhash, simple8b
+from dosewise.llm import bpe, line_dedup, minhash, mixing, simple8b
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         bpe.op3_pair_index_bpe,
         line_dedup.op5_line_windows,
         simple8b.op9_simple8b_tokens,
+        mixing.op10_golden_ratio_mix,
     )
 }
 ORACLE: dict[str, str] = {"op5_line_windows": line_dedup.OP5_SQL}
