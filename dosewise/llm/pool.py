@@ -10,7 +10,7 @@ import numpy as np
 Encoded = tuple[np.ndarray, np.ndarray]
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Numbers units in the order in which they are first asked for; ``new`` lists those not seen before."""
 
     def __init__(self) -> None:
@@ -30,7 +30,7 @@ class UnitPool:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Numbers()
+        self.known = Numbers()
         self.ids = np.empty(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 

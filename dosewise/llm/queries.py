@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dosewise.llm import bpe, line_dedup, minhash, mixing, simple8b
+from dosewise.llm import bpe, language, line_dedup, minhash, mixing, simple8b
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         minhash.op2_circulant_minhash,
         bpe.op3_pair_index_bpe,
         line_dedup.op5_line_windows,
+        language.op7_crf_language,
         simple8b.op9_simple8b_tokens,
         mixing.op10_golden_ratio_mix,
     )
