@@ -9,9 +9,11 @@ Links are confirmed on the full shingle sets, never on signatures. No group is e
 
 1. documents of equal sets are one class with its smallest id as representative;
 2. in each band bucket every representative is tested against the smallest one, and the links give components;
-3. where a bucket still holds several components, members of different components are tested: all of them at once in a
-   bucket of at most 32, else against eight more pivots per round, until no untested pair is left. The work that remains
-   is that of pairs which share a band and yet are in different components.
+3. the members of buckets that still hold several components are searched exactly, with prefixes of their sets: shingles
+   are ordered from rare to frequent, and two sets of the needed similarity share a shingle near the front of both, in
+   a place that depends on their sizes only. Groups of documents that share such a shingle, by classes of size, are
+   tested where they hold several components: all members of different components at once in a group of at most 64,
+   else against 64 pivots per round, until no untested pair is left.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing. Repeated rows of one id are
 one document (the smallest text decides) and come out once per row. Extra columns do not matter. An empty table gives an
@@ -40,7 +42,9 @@ COORDINATES = BANDS * ROWS
 POSITIONS = 1 << 20
 #: A link needs ``100 * intersection >= PERCENT * union``.
 PERCENT = 75
-SMALL_BUCKET, PIVOTS = 32, 8
+SMALL_GROUP, PIVOTS = 64, 64
+#: Ratio of the largest to the smallest set of a size class.
+CLASS_RATIO = 1.05
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -154,6 +158,40 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "rep"))
 
 
+def _several(labelled: DataFrame) -> DataFrame:
+    """The rows whose bucket has several components."""
+    spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return labelled.join(spread.filter("low < high").select("bucket"), "bucket")
+
+
+def _prefix_groups(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(bucket, rep, n)``: groups of documents that share a shingle near the front of their sets.
+
+    With sizes ``x >= y`` a similarity of PERCENT needs an overlap of ``PERCENT * (x + y) / (100 + PERCENT)``, so from the
+    first common shingle on both sets must be that long. A document enters the group of (shingle, size class) for its own
+    class and for each class of smaller sets for which this holds at the shingle's place.
+    """
+    share = PERCENT / (100 + PERCENT)
+    chosen = sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    chosen = materialize(chosen.distinct(), "minhash-left")
+    each = chosen.selectExpr("id", "explode(shingles) as shingle")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    common = each.join(counts, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    size_class = f"cast(floor(ln({{}}) / ln({CLASS_RATIO}D)) as int)"
+    own, least = size_class.format("size"), size_class.format(f"greatest(1, ceil(size * {PERCENT} / 100D))")
+    placed = chosen.join(common, "id").selectExpr("id", "size(shingles) as size", "common")
+    # Shingles of one document only come first and are in no group, but count as places.
+    placed = placed.selectExpr("id", "size", "posexplode(common) as (at, c)", "size - size(common) as alone")
+    placed = placed.selectExpr("id as rep", "size", "alone + at as at", "c.shingle as shingle")
+    placed = placed.filter(f"size - at >= ceil({share!r}D * (size + ceil(size * {PERCENT} / 100D)) - 1e-6)")
+    rows = placed.selectExpr("*", f"explode(sequence({least}, {own})) as class")
+    smallest = f"greatest(ceil(size * {PERCENT} / 100D), floor(pow({CLASS_RATIO}D, class)))"
+    rows = rows.filter(f"size - at >= ceil({share!r}D * (size + least(size, {smallest})) - 1e-6)")
+    rows = rows.selectExpr("xxhash64(shingle, class) as bucket", "rep")
+    counted = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(counted, "bucket")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, fingerprint, rep, component_id, kept)``, one row per document row.
 
@@ -182,19 +220,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = _confirmed(star, sets, "minhash-links-0")
     components = connected(links, "minhash-0")
 
-    # What is left: buckets with several components. ``open`` members have not been pivots yet.
-    open_members = members.filter("rep <> pivot").select("bucket", "rep", "n")
-    every = members.select("bucket", "rep")
+    # What is left: buckets with several components.
+    left = _several(_labelled(members, components))
+    groups = materialize(_prefix_groups(left, sets), "minhash-groups")
+    every = groups.select("bucket", "rep")
+    open_members = groups
     turn = 0
     while True:
         turn += 1
-        now = _labelled(open_members, components)
-        several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        several = several.filter("low < high").select("bucket")
-        now = materialize(now.join(several, "bucket"), f"minhash-open-{turn}")
+        now = materialize(_several(_labelled(open_members, components)), f"minhash-open-{turn}")
         if now.isEmpty():
             break
-        slot: Column = F.when(F.col("n") <= SMALL_BUCKET, F.xxhash64("rep")).otherwise(
+        slot: Column = F.when(F.col("n") <= SMALL_GROUP, F.xxhash64("rep")).otherwise(
             F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(PIVOTS))
         )
         pivots = now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("rep", "component")).alias("p"))
@@ -207,7 +244,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             links = links.unionAll(found)
             components = connected(links, f"minhash-{turn}")
         done = pivots.select("bucket", F.col("a").alias("rep"))
-        open_members = now.select("bucket", "rep", "n").join(done, ["bucket", "rep"], "left_anti")
+        open_members = now.drop("component").join(done, ["bucket", "rep"], "left_anti")
 
     placed = classes.join(components.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.select("fingerprint", "rep", F.coalesce("component", "rep").alias("component_id"))
