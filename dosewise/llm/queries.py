@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dosewise.llm import bpe, language, line_dedup, minhash, mixing, pii, simple8b
+from dosewise.llm import bpe, language, line_dedup, minhash, mixing, pii, quality, simple8b
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         bpe.op3_pair_index_bpe,
         line_dedup.op5_line_windows,
         language.op7_crf_language,
+        quality.op4_pu_quality,
         pii.op8_disguised_pii,
         simple8b.op9_simple8b_tokens,
         mixing.op10_golden_ratio_mix,
