@@ -1,25 +1,70 @@
-"""Corpus pipeline over the documents table: five stages, each written as Parquet and read again by the next."""
+"""Corpus pipeline over the documents table: five stages, each written as Parquet and read again by the next.
+
+1. Language ID: documents without a letter, or without a language that has half of the posterior, go.
+2. Line dedup: later occurrences of three-line passages are cut from the texts; a document with no word left goes.
+3. MinHash near-dedup: of each group of near-duplicates the document with the smallest id stays.
+4. Mixing: each document comes as often as the mix takes it, the last time perhaps in part; so ids may repeat or be absent.
+5. BPE: one row per document of the mix with its ids, and the text that they decode to.
+
+Null ids and texts, repeated rows and empty tables are treated as the operators' docstrings say. A stage returns the columns
+that it was given, whatever they are beyond ``doc_id``, ``text``, ``lang`` and ``source``; the last adds its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosewise.llm import minhash
+from dosewise.llm import bpe, language, line_dedup, minhash, mixing
 from dosewise.llm.common import documents
 from dosewise.session import materialize
 
+#: Least share of a document's word posteriors that its language must have.
+LEAST_SHARE = 0.5
+_WORD = "[^\\x20\\x09-\\x0D]"
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language the model is sure of."""
+    return language.labelled(docs, language.train(docs)).filter(
+        (F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SHARE)
+    ).select(*docs.columns)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without later occurrences of passages; ``n_chars``, if present, is counted again."""
+    cut = line_dedup.dedup_lines(docs)
+    cut = cut.filter((F.col("_removed") == 0) | F.col("text").rlike(_WORD))
+    if "n_chars" in docs.columns:
+        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col("_removed") > 0, changed).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each component of near-duplicates the document with the smallest id stays."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the smallest id of each component of near-duplicates, and those without an id."""
+    dropped = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's ids and their number, and the decoded text."""
+    return bpe.with_tokens(docs)
 
 
 STAGES = [
+    ("language_id", in_a_language),
+    ("line_dedup", without_repeated_passages),
     ("minhash_near_dedup", one_of_each_group),
+    ("source_mix", mixed),
+    ("bpe", tokenised),
 ]
 
-#: The stages use trained models and hash orders that SQL does not have; the tests compare with brute-force versions.
+#: The stages use a trained model and hash orders that SQL does not have; tests compare with brute-force versions.
 ORACLE_SQL = None
 
 

@@ -27,7 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from dosewise.llm.common import slices
 from dosewise.llm.pool import UnitPool
@@ -260,6 +260,30 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(partial(_decode, path=path or default_vocabulary()), f"doc_id {kind}, text string")
 
 
+def _with_tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    own = codec(path)
+    for batch in slices(batches, "text", SLICE):
+        ids, starts = own.encode(batch.column("text").to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
+        flat = ids.tolist()
+        decoded = [own.decode(flat[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        added = [pa.array(np.diff(starts)), lists, pa.array(decoded, pa.string())]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, *added], names=[*batch.schema.names, "n_tokens", "token_ids", "decoded"]
+        )
+
+
+def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``docs`` (with a column ``text``) with ``n_tokens``, ``token_ids`` and ``decoded``.
+
+    Columns of these names in ``docs`` are replaced.
+    """
+    docs = docs.drop("n_tokens", "token_ids", "decoded")
+    added = T.StructType().add("n_tokens", "long").add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    schema = T.StructType([*docs.schema, *added])
+    return docs.mapInArrow(partial(_with_tokens, path=path or default_vocabulary()), schema)
+
+
 def token_digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Number of ids, and checksums of the ids and of the decoded text, of ``(doc_id, ids)``."""
     kind = encoded.schema["doc_id"].dataType.simpleString()

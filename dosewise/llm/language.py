@@ -30,7 +30,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dosewise.llm.common import slices
 from dosewise.llm.pool import Numbers
@@ -279,10 +279,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
                 scores[filled] = np.minimum(1.0, sums[np.arange(len(filled)), best] / np.diff(starts)[filled])
                 for i, y in zip(filled.tolist(), best.tolist()):
                     names[i] = model.languages[y]
-        kept = [batch.column(c) for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(names, pa.string()), pa.array(scores)],
-            names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"],
+            [*batch.columns, pa.array(names, pa.string()), pa.array(scores)],
+            names=[*batch.schema.names, "_lang_pred", "_score"],
         )
 
 
@@ -309,11 +308,17 @@ def train(docs: DataFrame) -> Model | None:
     return fit([row for lang in taken.values() for row in lang])
 
 
+def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` with ``_lang_pred`` and ``_score``."""
+    schema = T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    return docs.mapInArrow(partial(_predict, model=model), schema)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(partial(_predict, model=model), f"doc_id {kind}, lang_pred string, score double")
+    # The text goes through the workers only to be read there.
+    found = labelled(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def op7_crf_language(spark, sf_dir: str) -> DataFrame:

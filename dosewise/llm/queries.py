@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dosewise.llm import bpe, language, line_dedup, minhash, mixing, pii, quality, simple8b
+from dosewise.llm import bpe, language, line_dedup, minhash, mixing, multi_index, pii, quality, simple8b
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         minhash.op2_circulant_minhash,
         bpe.op3_pair_index_bpe,
         line_dedup.op5_line_windows,
+        multi_index.op6_inverted_multi_index,
         language.op7_crf_language,
         quality.op4_pu_quality,
         pii.op8_disguised_pii,
