@@ -11,9 +11,9 @@ Links are confirmed on the full shingle sets, never on signatures. No group is e
 2. in each band bucket every representative is tested against the smallest one, and the links give components;
 3. the members of buckets that still hold several components are searched exactly, with prefixes of their sets: shingles
    are ordered from rare to frequent, and two sets of the needed similarity share a shingle near the front of both, in
-   a place that depends on their sizes only. Groups of documents that share such a shingle, by classes of size, are
-   tested where they hold several components: all members of different components at once in a group of at most 64,
-   else against 64 pivots per round, until no untested pair is left.
+   a place that depends on their sizes only. Documents joined by such shingles, by classes of size, where these hold
+   several components, form a family. A family is dealt to blocks of about 1,024 documents; a task counts the common
+   shingles of all pairs of two blocks and gives the edges of a spanning forest of their links, never the pairs.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing. Repeated rows of one id are
 one document (the smallest text decides) and come out once per row. Extra columns do not matter. An empty table gives an
@@ -31,9 +31,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dosewise.llm.common import connected, raw_texts, slices, words
+from dosewise.llm.multi_index import forest
 from dosewise.session import materialize
 
 WORDS_PER_SHINGLE = 5
@@ -42,7 +43,10 @@ COORDINATES = BANDS * ROWS
 POSITIONS = 1 << 20
 #: A link needs ``100 * intersection >= PERCENT * union``.
 PERCENT = 75
-SMALL_GROUP, PIVOTS = 64, 64
+#: Documents of a block, and of a family that shares a block with others.
+SIDE, SMALL_FAMILY = 1024, 256
+#: Matches of shingles that are counted at a time.
+MATCHES = 4_000_000
 #: Ratio of the largest to the smallest set of a size class.
 CLASS_RATIO = 1.05
 
@@ -192,6 +196,71 @@ def _prefix_groups(left: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(counted, "bucket")
 
 
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of all pairs of sets of two sides, by matching equal elements."""
+    out = np.zeros(len(x) * len(y), np.int64)
+    flat = np.concatenate([*y, np.empty(0, np.int64)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(y)), [len(s) for s in y])[order]
+    sizes = np.array([len(s) for s in x])
+    each = np.concatenate([*x, np.empty(0, np.int64)])
+    row = np.repeat(np.arange(len(x)), sizes)
+    low, high = np.searchsorted(flat, each, "left"), np.searchsorted(flat, each, "right")
+    keep = high > low
+    row, low, n = row[keep], low[keep], (high - low)[keep]
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MATCHES, "right")))
+        part = n[start:stop]
+        at = np.repeat(low[start:stop] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+        out += np.bincount(np.repeat(row[start:stop], part) * len(y) + owner[at], minlength=len(out))
+        start = stop
+    return out.reshape(len(x), len(y))
+
+
+def _forest(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Edges ``(a, b)`` of a spanning forest of the links between two blocks."""
+    schema = pa.schema([("a", left.schema.field("rep").type), ("b", left.schema.field("rep").type)])
+    if not left.num_rows or not right.num_rows:
+        return schema.empty_table()
+    ids, sets = [], []
+    for table in (left, right):
+        ids.append(table.column("rep").to_pylist())
+        column = table.column("shingles").combine_chunks()
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        sets.append([flat[i:j] for i, j in zip(ends[:-1], ends[1:])])
+    common = common_counts(*sets)
+    x, y = (np.array([len(s) for s in side]) for side in sets)
+    linked = 100 * common >= PERCENT * (x[:, None] + y[None, :] - common)
+    edges = [(ids[0][i], ids[1][j]) for i, j in forest(linked, np.arange(len(x)), np.arange(len(y)))]
+    edges = [e for e in edges if e[0] != e[1]]
+    return pa.Table.from_pydict({"a": [e[0] for e in edges], "b": [e[1] for e in edges]}, schema=schema)
+
+
+def _block_links(groups: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+    """Links within the families that groups of documents form, stored."""
+    least = groups.groupBy("bucket").agg(F.min("rep").alias("a"))
+    families = connected(groups.join(least, "bucket").select("a", F.col("rep").alias("b")), "minhash-families")
+    sizes = families.groupBy("component").agg(F.count("*").alias("n"))
+    bins = max(1, families.count() // SIDE)
+    # Small families share blocks: comparing more pairs than needed finds links only where there are any.
+    dealt = families.join(sizes, "component").selectExpr(
+        "id as rep",
+        f"if(n <= {SMALL_FAMILY}, pmod(xxhash64(component), {bins}), 0) as bin",
+        f"if(n <= {SMALL_FAMILY}, null, component) as family",
+        f"if(n <= {SMALL_FAMILY}, 0L, (n - 1) div {SIDE}) as last",
+    )
+    dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(rep), last + 1)"))
+    dealt = dealt.join(sets.distinct().withColumnRenamed("id", "rep"), "rep")
+    keys = ["bin", "family", "i", "j"]
+    left = dealt.selectExpr("bin", "family", "own as i", "explode(sequence(own, last)) as j", "rep", "shingles")
+    right = dealt.selectExpr("bin", "family", "explode(sequence(0L, own)) as i", "own as j", "rep", "shingles")
+    right = right.toDF(*left.columns)  # columns of its own, as both sides come from one table
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_forest, f"a {kind}, b {kind}")
+    return materialize(found, "minhash-links-1")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, fingerprint, rep, component_id, kept)``, one row per document row.
 
@@ -223,28 +292,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # What is left: buckets with several components.
     left = _several(_labelled(members, components))
     groups = materialize(_prefix_groups(left, sets), "minhash-groups")
-    every = groups.select("bucket", "rep")
-    open_members = groups
-    turn = 0
-    while True:
-        turn += 1
-        now = materialize(_several(_labelled(open_members, components)), f"minhash-open-{turn}")
-        if now.isEmpty():
-            break
-        slot: Column = F.when(F.col("n") <= SMALL_GROUP, F.xxhash64("rep")).otherwise(
-            F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(PIVOTS))
-        )
-        pivots = now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("rep", "component")).alias("p"))
-        pivots = materialize(pivots.selectExpr("bucket", "p.rep as a", "p.component as ca"), f"minhash-pivots-{turn}")
-        others = _labelled(every.join(pivots.select("bucket").distinct(), "bucket", "left_semi"), components)
-        pairs = pivots.join(others, "bucket").filter("ca <> component")
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        found = _confirmed(pairs, sets, f"minhash-links-{turn}")
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            components = connected(links, f"minhash-{turn}")
-        done = pivots.select("bucket", F.col("a").alias("rep"))
-        open_members = now.drop("component").join(done, ["bucket", "rep"], "left_anti")
+    groups = materialize(_several(_labelled(groups, components)).select("bucket", "rep"), "minhash-open")
+    if not groups.isEmpty():
+        links = links.unionAll(_block_links(groups, sets, kind))
+        components = connected(links, "minhash-1")
 
     placed = classes.join(components.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.select("fingerprint", "rep", F.coalesce("component", "rep").alias("component_id"))
