@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dosewise.llm import bpe, language, line_dedup, minhash, mixing, multi_index, pii, quality, simple8b
+from dosewise.llm import bpe, language, line_dedup, minhash, mixing, multi_index, pii, quality, simple8b, webp
 
 QUERIES = {
     f.__name__: f
     for f in (
+        webp.op1_lossless_webp,
         minhash.op2_circulant_minhash,
         bpe.op3_pair_index_bpe,
         line_dedup.op5_line_windows,
