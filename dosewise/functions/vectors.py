@@ -10,6 +10,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def same_size(a: Column, b: Column, result: Column) -> Column:
+    """``result``, or an error where both vectors are there but differ in dimension."""
+    message = F.concat(F.lit("vector of "), F.size(a), F.lit(" components meets a direction of "), F.size(b))
+    return F.when(a.isNull() | b.isNull() | (F.size(a) == F.size(b)), result).otherwise(F.raise_error(message))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 

@@ -44,20 +44,27 @@ _LOG = f"""concat(acc.log, zip_with(
     (w, at) -> named_struct(
         'keyword', e.keyword, 'original', w.original, 'replacement', w.replacement, 'position', at)))"""
 
-# One pass per rule over the text so far. A one-element ``transform`` names an intermediate value.
-_FOLD = """aggregate({rules}, {start}, (acc, e) -> transform(
-    array(regexp_extract_all(acc.text, e.pattern, 0)),
-    m -> if(size(m) = 0,
-        named_struct('text', acc.text, 'counts', array_append(acc.counts, 0), 'log', acc.log),
-        transform(
-            array(named_struct('chosen', {chosen}, 'pieces', split(acc.text, e.pattern, -1))),
-            p -> named_struct('text', {rebuilt}, 'counts', array_append(acc.counts, size(m)), 'log', {log}))[0]))[0])"""
+# One pass per rule over the text so far. A one-element ``transform`` names an intermediate value. The pattern, which is
+# compiled for each text, is only tried where the folded text has the keyword: ``lower(upper())`` folds all letters that
+# a case-insensitive pattern takes for ASCII ones (long s, the Kelvin sign), and the folded text is kept between passes.
+_FOLD = """aggregate({rules}, {start}, (acc, e) -> if(not contains(acc.folded, e.folded),
+    named_struct('text', acc.text, 'folded', acc.folded, 'counts', array_append(acc.counts, 0), 'log', acc.log),
+    transform(
+        array(regexp_extract_all(acc.text, e.pattern, 0)),
+        m -> if(size(m) = 0,
+            named_struct('text', acc.text, 'folded', acc.folded, 'counts', array_append(acc.counts, 0), 'log', acc.log),
+            transform(
+                array(named_struct('chosen', {chosen}, 'pieces', split(acc.text, e.pattern, -1))),
+                p -> transform(
+                    array({rebuilt}),
+                    t -> named_struct('text', t, 'folded', lower(upper(t)), 'counts',
+                        array_append(acc.counts, size(m)), 'log', {log}))[0])[0]))[0]))"""
 
 
 def _rule(keyword: str, synonyms: Sequence[str]) -> str:
     options = ", ".join(_literal(s) for s in synonyms)
     pattern = _literal(rf"(?iU)\b{re.escape(keyword)}\b")
-    return f"named_struct('keyword', {_literal(keyword)}, 'pattern', {pattern}, 'options', array({options}))"
+    return f"named_struct('keyword', {_literal(keyword)}, 'folded', lower(upper({_literal(keyword)})), 'pattern', {pattern}, 'options', array({options}))"
 
 
 def ablate_text(
@@ -77,7 +84,7 @@ def ablate_text(
     """
     # Without any keyword in the original text no pass can ever match.
     any_keyword = _literal(rf"(?iU)\b(?:{'|'.join(re.escape(k) for k in synonyms)})\b")
-    start = f"""named_struct('text', `{text}`, 'counts', cast(array() as array<int>),
+    start = f"""named_struct('text', `{text}`, 'folded', lower(upper(`{text}`)), 'counts', cast(array() as array<int>),
         'log', cast(array() as {LOG_TYPE}))"""
     fold = _FOLD.format(
         rules=f"array({', '.join(_rule(k, s) for k, s in synonyms.items())})",
@@ -93,7 +100,7 @@ def ablate_text(
     ]
     if with_log:
         columns.append("_fold.log as replacements")
-    untouched = f"""named_struct('text', `{text}`, 'counts', array_repeat(0, {len(synonyms)}),
+    untouched = f"""named_struct('text', `{text}`, 'folded', '', 'counts', array_repeat(0, {len(synonyms)}),
         'log', cast(array() as {LOG_TYPE}))"""
     return df.withColumn("_fold", F.expr(f"if(regexp_like(`{text}`, {any_keyword}), {fold}, {untouched})")).selectExpr(
         *[f"`{c}`" for c in df.columns], *columns

@@ -152,15 +152,17 @@ def failure_cases(effects: DataFrame) -> DataFrame:
     )
 
 
-def pooled_positive_doses(generations: DataFrame, hits: Column) -> DataFrame:
-    """Per (layer, positive dose): mean over the series of the share of texts with a hit and of the mean hits."""
+def pooled_positive_doses(
+    generations: DataFrame, hits: Column, keys: Sequence[str] = ("model", "layer", "alpha")
+) -> DataFrame:
+    """Per model, layer and positive dose: mean over the cells of the share of texts with a hit and of the mean hits."""
     per_cell = (
         generations.filter(F.col("alpha") > 0)
         .select(*CELL, hits.alias("_hits"))
         .groupBy(*CELL)
         .agg(F.avg((F.col("_hits") > 0).cast("int")).alias("_rate"), F.avg("_hits").alias("_mean"))
     )
-    return per_cell.groupBy("layer", "alpha").agg(
+    return per_cell.groupBy(*keys).agg(
         F.avg("_rate").alias("success_rate"), F.avg("_mean").alias("mean_hits"), F.count("*").alias("num_cells")
     )
 
@@ -214,11 +216,16 @@ def percent_change(cells: DataFrame, value: str) -> DataFrame:
     )
 
 
-def hit_ratio(generations: DataFrame, task_hits: Column, positive_hits: Column) -> DataFrame:
-    """Mean task hits per mean positive hit for each (layer, dose)."""
+def hit_ratio(
+    generations: DataFrame,
+    task_hits: Column,
+    positive_hits: Column,
+    keys: Sequence[str] = ("model", "layer", "alpha"),
+) -> DataFrame:
+    """Mean task hits per mean positive hit for each model, layer and dose."""
     return (
-        generations.select("layer", "alpha", task_hits.alias("_task"), positive_hits.alias("_pos"))
-        .groupBy("layer", "alpha")
+        generations.select(*keys, task_hits.alias("_task"), positive_hits.alias("_pos"))
+        .groupBy(*keys)
         .agg(F.avg("_task").alias("mean_task_hits"), F.avg("_pos").alias("mean_positive_hits"))
         .withColumn("task_ratio", F.try_divide(F.col("mean_task_hits"), F.col("mean_positive_hits")))
     )
@@ -234,7 +241,8 @@ def flag_tally(
         tag = f"{dose:g}".replace("-", "minus_").replace(".", "_")
         aggs.append(F.count_if((alpha == dose) & F.col("_flag")).alias(f"flagged_{tag}"))
         aggs.append(F.count_if(alpha == dose).alias(f"texts_{tag}"))
-    return generations.select(*keys, "alpha", flag.alias("_flag")).groupBy(*keys).agg(*aggs)
+    counted = F.when(alpha.isin(list(doses)), flag).alias("_flag")  # the flag is not computed for other doses
+    return generations.select(*keys, "alpha", counted).groupBy(*keys).agg(*aggs)
 
 
 def first_layer(cells: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:

@@ -82,10 +82,10 @@ def project(
     """Score of every vector on the direction of its group.
 
     ``directions`` should be a stored table: it is measured and broadcast when small, otherwise joined by shuffle.
-    Groups without a direction are dropped by the inner join. Only ``keys``, ``keep`` and ``score`` leave the operator.
+    Groups without a direction are dropped by the inner join; a vector of another dimension raises an error. Only ``keys``, ``keep`` and ``score`` leave the operator.
     """
     usable = directions.filter(F.col("direction").isNotNull()).select(*keys, "direction")
-    score: Column = V.dot(F.col(vec), F.col("direction"))
+    score: Column = V.same_size(F.col(vec), F.col("direction"), V.dot(F.col(vec), F.col("direction")))
     if digits is not None:
         score = F.round(score, digits)
     return activations.join(broadcast_vectors(usable), list(keys)).select(*keys, *keep, score.alias("score"))
@@ -99,7 +99,9 @@ def shift_vectors(
     return (
         activations.join(broadcast_vectors(usable), list(keys))
         .withColumn("alpha", alpha.cast("double"))
-        .withColumn(vec, V.shift(F.col(vec), F.col("direction"), F.col("alpha")))
+        .withColumn(
+            vec, V.same_size(F.col(vec), F.col("direction"), V.shift(F.col(vec), F.col("direction"), F.col("alpha")))
+        )
         .drop("direction")
     )
 

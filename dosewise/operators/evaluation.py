@@ -18,7 +18,8 @@ def evaluate_scores(
 
     ``label`` is 1 or 0. Per threshold rule the row has ``tp_/fp_/tn_/fn_<rule>`` and ``accuracy_<rule>``:
     ``median`` is ``score >= median``, ``median_strict`` is ``score > median``, ``midpoint`` compares with the mean of
-    the two class means and ``zero`` with 0. AUROC is 0.5 when only one class is present.
+    the two class means and ``zero`` with 0. AUROC is 0.5 when only one class is present, or none. Rows whose label is
+    neither 1 nor 0 count nowhere; a group without any labelled row has NULL accuracies, means and median.
     """
     ranked = rank_counts(
         scores,
@@ -67,7 +68,7 @@ def evaluate_scores(
             f"fp_{rule}",
             f"n_neg - fp_{rule} as tn_{rule}",
             f"n_pos - tp_{rule} as fn_{rule}",
-            f"(tp_{rule} + n_neg - fp_{rule}) / cast(n_pos + n_neg as double) as accuracy_{rule}",
+            f"try_divide(tp_{rule} + n_neg - fp_{rule}, cast(n_pos + n_neg as double)) as accuracy_{rule}",
         ]
     return per_group.selectExpr(
         *keys,

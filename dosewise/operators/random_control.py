@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,12 @@ def random_unit_directions(spark: SparkSession, n: int, dim: int, seed: int = 42
 
 
 def _project_block(
-    vectors: DataFrame, keep: Sequence[str], vec: str, trials: list[int], block: np.ndarray, digits: int | None
+    vectors: DataFrame, keep: Sequence[str], vec: str, first: int, block: np.ndarray, digits: int | None
 ) -> DataFrame:
     """Scores of each vector on all directions of a block, by matrix products over slices of the Arrow batches.
 
-    A slice gives at most ``CHUNK_SCORES`` scores, whatever the number of directions.
+    A slice gives at most ``CHUNK_SCORES`` scores, whatever the number of directions. A vector of another dimension
+    raises an error.
     """
     chunk_scores = CHUNK_SCORES
     shared = vectors.sparkSession.sparkContext.broadcast(block)
@@ -57,6 +59,11 @@ def _project_block(
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
+                sizes = part.column(part.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False)
+                if (sizes != matrix.shape[1]).any():
+                    wrong = int(np.flatnonzero(sizes != matrix.shape[1])[0])
+                    group = {c: part.column(i)[wrong].as_py() for i, c in enumerate(keep)}
+                    raise ValueError(f"{group}: vector of {sizes[wrong]} components, directions of {matrix.shape[1]}")
                 flat = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
                 product = flat.astype(np.float64).reshape(-1, matrix.shape[1]) @ matrix.T
                 if digits is not None:
@@ -68,27 +75,38 @@ def _project_block(
     slim = vectors.filter(F.col(vec).isNotNull()).select(*keep, vec)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
     scored = slim.mapInArrow(multiply, ", ".join([*fields, "scores array<double>"]))
-    ids = F.array(*[F.lit(t).cast("long") for t in trials])
     return scored.select(*keep, F.posexplode("scores").alias("_i", "score")).select(
-        *keep, F.get(ids, F.col("_i")).alias("trial"), "score"
+        *keep, (F.lit(first).cast("long") + F.col("_i")).alias("trial"), "score"
     )
 
 
 def project_random(
     activations: DataFrame,
     n: int,
-    dim: int,
+    dim: int | None = None,
     seed: int = 42,
     keep: Sequence[str] = ("model", "layer", "label"),
     vec: str = "vec",
     digits: int | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``(keep..., trial, score)`` for ``n`` random directions.
+    """``(keep..., trial, score)`` for ``n`` random directions of the vectors' dimension.
+
+    Without ``dim`` the dimensions are found in the data, and there is a set of directions for each of them; the groups
+    of ``keep`` may differ in dimension. With ``dim`` a vector of another dimension raises an error.
 
     The directions travel to the workers in blocks of at most ``block_bytes``; more directions mean more blocks, each
     reading the vectors once.
     """
+    if dim is None:
+        found = activations.filter(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).distinct().orderBy("d").collect()
+        parts = [
+            project_random(activations.filter(F.size(vec) == r["d"]), n, r["d"], seed, keep, vec, digits, block_bytes)
+            for r in found
+        ]
+        if not parts:
+            return project_random(activations.filter(F.col(vec).isNotNull()), n, 1, seed, keep, vec, digits, block_bytes)
+        return reduce(DataFrame.unionByName, parts)
     spark = activations.sparkSession
     per_block = max(1, block_bytes // (8 * dim))
     out = None
@@ -96,7 +114,7 @@ def project_random(
         count = min(per_block, n - first)
         rows = random_unit_directions(spark, count, dim, seed, first).orderBy("trial").collect()
         block = np.array([r["direction"] for r in rows])
-        part = _project_block(activations, keep, vec, [r["trial"] for r in rows], block, digits)
+        part = _project_block(activations, keep, vec, first, block, digits)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -28,42 +28,44 @@ def shuffle_key(row_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")))
 
 
-def hash_split(df: DataFrame, row_id: str, fraction: float = 0.7, seed: int = 42, prefix: int = 4) -> DataFrame:
+#: Counts that one window over the hash order may see.
+WINDOW_COUNTS = 65_536
+
+
+def hash_split(df: DataFrame, row_id: str, fraction: float = 0.7, seed: int = 42, digits: int = 4) -> DataFrame:
     """Adds ``split``: exactly ``floor(fraction * n)`` rows of a seeded shuffle are train, the rest test.
 
     The shuffle position is a hash, so its cut-off value can be found by counting: first per leading hex digits (at
-    most ``16**prefix`` counts), then among the rows of the one digit group that holds the cut-off. The rows themselves
-    are never sorted or moved. ``row_id`` must be unique; equal ids go to the same side.
+    most ``16**digits`` counts), then, among the rows of the one group that holds the cut-off, per ``digits`` more, until
+    that group has at most ``WINDOW_COUNTS`` different keys. The rows themselves are never sorted or moved, and no
+    window sees more counts than that. ``row_id`` must be unique; equal ids go to the same side.
     """
     key = shuffle_key(F.col(row_id), seed)
     keyed = df.select(key.alias("_key"))
-    head = F.substring("_key", 1, prefix)
-    counts = keyed.groupBy(head.alias("_head")).agg(F.count("*").alias("_n"))
     running = Window.orderBy("_head")
-    everything = Window.partitionBy(F.lit(1))
-    target = F.floor(F.lit(fraction) * F.sum("_n").over(everything))
-    located = (
-        counts.select(
-            "_head",
-            "_n",
-            F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-            target.alias("_target"),
-        )
-        .filter((F.col("_upto") > F.col("_target")) & (F.col("_upto") - F.col("_n") <= F.col("_target")))
-        .select("_head", (F.col("_target") - F.col("_upto") + F.col("_n")).alias("_rest"))
-    )
-    # The first key that is not train any more; with fraction 1 there is none and everything is train.
-    within = (
-        keyed.withColumn("_head", head)
-        .join(F.broadcast(located), "_head")  # one row
-        .groupBy("_key", "_rest")
-        .agg(F.count("*").alias("_n"))
-    )
-    upto = F.sum("_n").over(Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
-    cutoff = (
-        within.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_rest")).agg(F.min("_key").alias("_cutoff"))
-    )
-    train = F.coalesce(key < cutoff.scalar(), F.lit(True))
+
+    def located(counts: DataFrame, target) -> tuple[str, int, int] | None:
+        """Group that holds the cut-off, its rows, and how many of them are train."""
+        upto = F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, 0))
+        hit = counts.withColumn("_upto", upto).filter(F.col("_upto") > target).orderBy("_head").first()
+        return None if hit is None else (hit["_head"], hit["_n"], target - (hit["_upto"] - hit["_n"]))
+
+    target = int(fraction * df.count())
+    head, rows, length = "", None, 0
+    while True:
+        length = min(32, length + digits)
+        left = keyed.filter(F.col("_key").startswith(head)) if head else keyed
+        counts = left.groupBy(F.substring("_key", 1, length).alias("_head")).agg(F.count("*").alias("_n"))
+        found = located(counts, target)
+        if found is None:  # everything is train
+            train = F.lit(True)
+            break
+        head, rows, target = found
+        if length == 32:
+            train = key < head
+            break
+        if rows <= WINDOW_COUNTS:
+            length = 32 - digits  # the next level counts whole keys
     return df.withColumn("split", F.when(train, "train").otherwise("test"))
 
 
@@ -72,13 +74,33 @@ def first_n_split(df: DataFrame, row_id: str, n: int = 35) -> DataFrame:
     return df.orderBy(row_id).limit(n)
 
 
-def dataset_summary(pairs: DataFrame, scenario: str = "scenario_id", model: str = "source_model") -> DataFrame:
-    """One record: totals per split, the scenarios, the models and the greatest number of runs."""
-    return pairs.agg(
-        F.count("*").alias("total_pairs"),
-        F.count_if(F.col("split") == "train").alias("train_pairs"),
-        F.count_if(F.col("split") == "test").alias("test_pairs"),
-        F.array_sort(F.collect_set(scenario)).alias("scenarios"),
-        F.array_sort(F.collect_set(model)).alias("models_used"),
-        F.count_distinct("run_id").alias("runs_per_model"),
+def dataset_summary(
+    pairs: DataFrame, scenario: str = "scenario_id", model: str = "source_model", generated_at: Column | None = None
+) -> DataFrame:
+    """One record: totals per split, the scenarios, the models, the runs of each model, and when it was made.
+
+    ``runs_per_model`` maps a model to its greatest number of distinct runs in one scenario. The table has a row per
+    (model, scenario) before the last step, as a dataset has few of both. ``generated_at`` defaults to the current time.
+    """
+    runs = pairs.groupBy(model, scenario).agg(
+        F.count("*").alias("_n"),
+        F.count_if(F.col("split") == "train").alias("_train"),
+        F.count_if(F.col("split") == "test").alias("_test"),
+        F.count_distinct("run_id").alias("_runs"),
+    )
+    by_model = runs.groupBy(model).agg(
+        F.sum("_n").alias("_n"),
+        F.sum("_train").alias("_train"),
+        F.sum("_test").alias("_test"),
+        F.max("_runs").alias("_runs"),
+        F.collect_set(scenario).alias("_scenarios"),
     )
+    made = F.current_timestamp() if generated_at is None else generated_at
+    return by_model.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_pairs"),
+        F.coalesce(F.sum("_train"), F.lit(0)).alias("train_pairs"),
+        F.coalesce(F.sum("_test"), F.lit(0)).alias("test_pairs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_scenarios")))).alias("scenarios"),
+        F.array_sort(F.collect_set(model)).alias("models_used"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(model, "_runs")))).alias("runs_per_model"),
+    ).withColumn("generated_at", made)

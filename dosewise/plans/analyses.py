@@ -46,12 +46,20 @@ def random_baseline(
     activations: DataFrame,
     metrics: DataFrame,
     n: int,
-    dim: int,
+    dim: int | None = None,
     keys: Sequence[str] = GROUP,
     seed: int = 42,
     digits: int | None = None,
 ) -> DataFrame:
-    """Fitted directions against ``n`` random ones on the same vectors."""
+    """Fitted directions against ``n`` random ones on the same vectors.
+
+    Each group has its own dimension, found in the data unless ``dim`` is given; a group whose vectors differ in
+    dimension raises an error.
+    """
+    if dim is None:
+        mixed = D.dimension_check(activations.filter(F.col("vec").isNotNull()), keys).filter("not uniform").first()
+        if mixed is not None:
+            raise ValueError(f"vectors of different dimensions in one group: {mixed.asDict()}")
     scores = random_control.project_random(activations, n, dim, seed, [*keys, "label"], digits=digits)
     summary = random_control.random_summary(random_control.random_metrics(scores, keys), keys)
     return random_control.compare_with_random(metrics, summary, keys)

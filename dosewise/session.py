@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,50 +9,42 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Local session for tests and benchmarks; on a cluster the caller brings a configured one."""
-    return (
+def build_session(
+    master: str = "local[*]", *, scratch: str, shuffle_partitions: int = 8, memory: str = "8g", **config: str
+) -> SparkSession:
+    """Local session for tests and benchmarks; on a cluster the caller brings a configured one.
+
+    ``scratch`` becomes ``spark.checkpoint.dir``; ``config`` holds further settings with ``_`` for ``.``.
+    """
+    builder = (
         SparkSession.builder.master(master)
         .appName("dosewise")
+        .config("spark.checkpoint.dir", scratch)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for name, value in config.items():
+        builder = builder.config(name.replace("_", "."), value)
+    return builder.getOrCreate()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors, as named by ``spark.checkpoint.dir``.
-
-    A temporary folder is only made for a local master, where driver and executors are one process.
-    """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="dosewise-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the session has task slots, e.g. one small unsplittable file.
-
-    Large inputs have more splits than slots and are returned as they are, without a shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    """Folder shared by driver and executors, as named by ``spark.checkpoint.dir`` or by ``setCheckpointDir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a (small) intermediate table to the scratch folder and read it back.
+    """Write an intermediate table to the scratch folder and read it back.
 
     The result has true size statistics, so the planner decides by them whether to broadcast it, and a lost
-    executor re-reads files instead of recomputing the lineage.
+    executor re-reads files instead of recomputing the lineage. ``remove_stored`` deletes all such tables.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
@@ -61,7 +52,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` has stored in the scratch folder; results built on them end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def vectors_size(directions: DataFrame, vec: str = "direction") -> int:
+    """Bytes of a stored vector table as doubles."""
+    return directions.agg(F.coalesce(F.sum(F.size(vec)), F.lit(0)).cast("long").alias("n")).first()["n"] * 8
+
+
 def broadcast_vectors(directions: DataFrame, vec: str = "direction", limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a materialised vector table for broadcast if its measured size is below the limit, else leave it."""
-    size = directions.agg(F.coalesce(F.sum(F.size(vec)), F.lit(0)).cast("long").alias("n")).first()["n"] * 8
-    return F.broadcast(directions) if size <= limit else directions
+    return F.broadcast(directions) if vectors_size(directions, vec) <= limit else directions

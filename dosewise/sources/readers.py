@@ -10,16 +10,40 @@ from dosewise import schemas as S
 from dosewise.functions.text import first_non_empty, strip
 
 
-def parse_scenarios(docs: DataFrame, doc: str = "doc") -> DataFrame:
+def _is_json(doc: str) -> Column:
+    return F.try_parse_json(F.col(doc)).isNotNull()
+
+
+def _is_blank(doc: str) -> Column:
+    return F.col(doc).isNull() | (F.length(strip(F.col(doc))) == 0)
+
+
+def rejected_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """The documents that are neither blank nor JSON, e.g. truncated files."""
+    return docs.filter(~_is_blank(doc) & ~_is_json(doc))
+
+
+def _checked(docs: DataFrame, doc: str, errors: str) -> DataFrame:
+    """The documents to parse. One that is no JSON raises an error, or is left to ``rejected_documents`` ("reject")."""
+    if errors == "reject":
+        return docs.filter(_is_json(doc))
+    if errors != "raise":
+        raise ValueError("errors must be 'raise' or 'reject'")
+    failed = F.raise_error(F.concat(F.lit("not a JSON document: "), F.substring(doc, 1, 80)))
+    return docs.withColumn(doc, F.when(_is_blank(doc) | _is_json(doc), F.col(doc)).otherwise(failed))
+
+
+def parse_scenarios(docs: DataFrame, doc: str = "doc", errors: str = "raise") -> DataFrame:
     """Scenario records of JSON documents that each hold an array of them."""
+    docs = _checked(docs, doc, errors)
     # The outer form of a generator has no inferred filter on its input, which would parse every document twice.
     parsed = F.from_json(F.col(doc), f"array<struct<{S.SCENARIO}>>")
     return docs.select(F.inline_outer(parsed)).filter(F.col("id").isNotNull())
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario records of files holding a JSON array."""
-    return parse_scenarios(_documents(spark, path))
+def read_scenarios(spark: SparkSession, path: str, lines: bool = False, errors: str = "raise") -> DataFrame:
+    """Scenario records of files holding a JSON array, or an array per line."""
+    return parse_scenarios(read_documents(spark, path, lines), errors=errors)
 
 
 def read_pair_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -66,8 +90,9 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     return lines.select("split", "_corrupt").filter(F.col("_corrupt").isNotNull())
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc")
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON documents as text: one per file, or with ``lines`` one per line, so that no file has to fit one task."""
+    return spark.read.text(path, wholetext=not lines).withColumnRenamed("value", "doc")
 
 
 def _all_experiments(run: Column) -> Column:
@@ -118,8 +143,9 @@ def flatten_runs(runs: DataFrame, model: str = "model_key", run: str = "run") ->
     )
 
 
-def parse_model_map(docs: DataFrame, doc: str = "doc") -> DataFrame:
+def parse_model_map(docs: DataFrame, doc: str = "doc", errors: str = "raise") -> DataFrame:
     """``(model_key, run)`` rows of JSON documents holding a map by model, with or without a top key ``models``."""
+    docs = _checked(docs, doc, errors)
     wrapped = F.from_json(F.col(doc), f"models map<string,{S.RUN}>")["models"]
     plain = F.from_json(F.col(doc), f"map<string,{S.RUN}>")
     return docs.select(F.explode_outer(F.coalesce(wrapped, plain)).alias("model_key", "run")).filter(
@@ -127,21 +153,21 @@ def parse_model_map(docs: DataFrame, doc: str = "doc") -> DataFrame:
     )
 
 
-def parse_single_run(docs: DataFrame, doc: str = "doc") -> DataFrame:
+def parse_single_run(docs: DataFrame, doc: str = "doc", errors: str = "raise") -> DataFrame:
     """``(model_key, run)`` rows of JSON documents that each hold one run."""
-    return docs.select(F.from_json(F.col(doc), S.RUN).alias("run")).select(
+    return _checked(docs, doc, errors).select(F.from_json(F.col(doc), S.RUN).alias("run")).select(
         F.coalesce("run.model_key", "run.model").alias("model_key"), "run"
     )
 
 
-def read_generations(spark: SparkSession, path: str) -> DataFrame:
+def read_generations(spark: SparkSession, path: str, lines: bool = False, errors: str = "raise") -> DataFrame:
     """Texts of files that map models to runs."""
-    return flatten_runs(parse_model_map(_documents(spark, path)))
+    return flatten_runs(parse_model_map(read_documents(spark, path, lines), errors=errors))
 
 
-def read_single_run(spark: SparkSession, path: str) -> DataFrame:
+def read_single_run(spark: SparkSession, path: str, lines: bool = False, errors: str = "raise") -> DataFrame:
     """Texts of files with one run: conditions, layer on the experiment, or baseline plus steered completions."""
-    return flatten_runs(parse_single_run(_documents(spark, path)))
+    return flatten_runs(parse_single_run(read_documents(spark, path, lines), errors=errors))
 
 
 def _layer_rows(df: DataFrame, layers: Column) -> DataFrame:
@@ -159,14 +185,15 @@ def read_validation(spark: SparkSession, path: str, model: str) -> DataFrame:
     return _layer_rows(df, F.col("layer_results"))
 
 
-def parse_model_metrics(docs: DataFrame, doc: str = "doc") -> DataFrame:
+def parse_model_metrics(docs: DataFrame, doc: str = "doc", errors: str = "raise") -> DataFrame:
     """Metric rows of JSON documents that map models to maps of layers."""
+    docs = _checked(docs, doc, errors)
     models = docs.select(F.explode_outer(F.from_json(F.col(doc), S.MODEL_METRICS)).alias("model", "v"))
     return _layer_rows(models.filter(F.col("model").isNotNull()), F.col("v.layers"))
 
 
 def read_model_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return parse_model_metrics(_documents(spark, path))
+    return parse_model_metrics(read_documents(spark, path))
 
 
 def merge_metrics(single: DataFrame, multi: DataFrame) -> DataFrame:
@@ -188,4 +215,4 @@ def read_success_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_directions(spark: SparkSession, path: str) -> DataFrame:
     """Stored directions; groups without one are simply absent and drop out of later inner joins."""
-    return spark.read.schema(S.DIRECTION).parquet(path)
+    return spark.read.parquet(path)

@@ -50,7 +50,8 @@ def write_summary_csv(summary: DataFrame, path: str) -> None:
 
 
 def write_directions(directions: DataFrame, path: str) -> None:
-    directions.select("model", "layer", "direction").write.mode("overwrite").parquet(path)
+    """All columns, whatever the keys are, so that the stored table is the fitted one."""
+    directions.write.mode("overwrite").parquet(path)
 
 
 def write_ablated_pairs(pairs: DataFrame, path: str) -> None:

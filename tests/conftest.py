@@ -6,11 +6,14 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])  # for Spark's workers
+
+
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from dosewise.session import build_session
 
-    session = build_session("local[8]")
+    session = build_session("local[8]", scratch=str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -170,3 +170,25 @@ def test_missing_vectors_are_ignored(spark, activations):
     extra = spark.createDataFrame([("m", 0, 999, 1, None)], SCHEMA)
     got = D.fit_directions(activations.unionByName(extra), KEYS).filter("layer = 0").first()
     assert got["n_pos"] == 30
+
+
+def test_other_dimensions_raise(spark):
+    rows = [("m", 0, i, i % 2, [1.0, 2.0, 3.0, 4.0]) for i in range(4)] + [("m", 0, 9, 1, [1.0, 2.0])]
+    activations = spark.createDataFrame(rows, SCHEMA)
+    directions = materialize(
+        spark.createDataFrame([("m", 0, [1.0, 0.0, 0.0, 0.0])], "model string, layer int, direction array<double>"), "d"
+    )
+    with pytest.raises(Exception, match="components"):
+        D.project(activations, directions, KEYS).collect()
+    with pytest.raises(Exception, match="components"):
+        D.shift_vectors(activations, directions, KEYS, F.lit(1.0)).collect()
+    with pytest.raises(Exception, match="components"):
+        R.project_random(activations, 3, 4, keep=["text_id"]).collect()
+    with pytest.raises(ValueError, match="different dimensions"):
+        A.random_baseline(activations, directions, 3, keys=KEYS)
+
+
+def test_models_of_different_dimension(spark):
+    rows = [("a", 0, i, i % 2, [float(i), 1.0]) for i in range(6)] + [("b", 0, i, i % 2, [1.0, 2.0, float(i)]) for i in range(6)]
+    scores = R.project_random(spark.createDataFrame(rows, SCHEMA), 4, keep=["model", "text_id"])
+    assert {(r["model"], r["count"]) for r in scores.groupBy("model").count().collect()} == {("a", 24), ("b", 24)}

@@ -117,7 +117,7 @@ def test_dynamic_layer_overwrite(spark, folder):
 @pytest.mark.parametrize("n, fraction", [(50, 0.7), (1, 0.7), (10, 0.0), (10, 1.0), (333, 0.31)])
 def test_split_is_exact_and_independent_of_partitioning(spark, n, fraction):
     df = spark.range(n).withColumnRenamed("id", "pair_id")
-    got = {r["pair_id"]: r["split"] for r in S.hash_split(df, "pair_id", fraction, prefix=1).collect()}
+    got = {r["pair_id"]: r["split"] for r in S.hash_split(df, "pair_id", fraction, digits=1).collect()}
     assert sum(s == "train" for s in got.values()) == int(n * fraction)
     again = S.hash_split(df.repartition(7), "pair_id", fraction).collect()
     assert got == {r["pair_id"]: r["split"] for r in again}
@@ -130,11 +130,35 @@ def test_make_split_summary_and_files(spark, folder):
     )
     r = A.make_split(pairs, str(folder / "pairs")).first()
     assert (r["total_pairs"], r["train_pairs"], r["test_pairs"]) == (50, 35, 15)
-    assert r["scenarios"] == [f"s{i}" for i in range(5)] and r["models_used"] == ["m0", "m1"] and r["runs_per_model"] == 5
+    assert r["scenarios"] == [f"s{i}" for i in range(5)] and r["models_used"] == ["m0", "m1"] and r["runs_per_model"] == {"m0": 1, "m1": 1}
     back = R.read_pairs(spark, str(folder / "pairs"))
     assert back.filter(F.col("split") == "test").count() == 15
 
 
+def test_split_goes_down_to_whole_keys(spark, monkeypatch):
+    monkeypatch.setattr(S, "WINDOW_COUNTS", 3)
+    got = S.hash_split(spark.range(500).withColumnRenamed("id", "pair_id"), "pair_id", 0.7, digits=1).collect()
+    assert sum(r["split"] == "train" for r in got) == 350
+
+
+def test_broken_documents_raise_or_are_rejected(spark):
+    docs = spark.createDataFrame([('{"m": {"layer_results": []}}',), ('{"m": {"layer_res',), ("  ",)], "doc string")
+    with pytest.raises(Exception, match="not a JSON document"):
+        R.parse_model_map(docs).collect()
+    assert R.parse_model_map(docs, errors="reject").count() == 1
+    assert [r["doc"] for r in R.rejected_documents(docs).collect()] == ['{"m": {"layer_res']
+    with pytest.raises(Exception, match="not a JSON document"):
+        R.parse_single_run(docs).collect()
+
+
+def test_stored_directions_keep_their_columns(spark, folder):
+    rows = [("k", 1, [1.0, 0.0]), ("k", 0, [0.0, 1.0])]
+    activations = spark.createDataFrame(rows, "concept string, label int, vec array<double>")
+    stored = A.fit_directions(activations, keys=["concept"])
+    filed = A.fit_directions(activations, keys=["concept"], path=str(folder / "directions"))
+    assert stored.columns == filed.columns and stored.collect() == filed.collect()
+
+
 def test_long_form(spark):
     pairs = spark.createDataFrame([("p", "good", "bad")], "pair_id string, positive_text string, negative_text string")
     assert {tuple(r) for r in S.to_long(pairs, ["pair_id"]).collect()} == {("p", 1, "good"), ("p", 0, "bad")}

@@ -172,8 +172,8 @@ POOLED = (
         SELECT model, layer, scenario, alpha, avg(({sql_hits(POSITIVE)} > 0)::INT) AS rate,
                avg({sql_hits(POSITIVE)}) AS hits
         FROM gen WHERE alpha > 0 GROUP BY ALL),
-    pooled AS (SELECT layer, alpha, avg(rate) AS success_rate, avg(hits) AS mean_hits, count(*) AS num_cells
-               FROM cell GROUP BY layer, alpha)"""
+    pooled AS (SELECT model, layer, alpha, avg(rate) AS success_rate, avg(hits) AS mean_hits, count(*) AS num_cells
+               FROM cell GROUP BY model, layer, alpha)"""
 )
 
 
@@ -183,7 +183,7 @@ def pooled(spark, sf_dir) -> DataFrame:
 
 @query(
     POOLED
-    + f" SELECT layer, alpha, {r('success_rate')} AS success_rate, {r('mean_hits')} AS mean_hits, num_cells FROM pooled"
+    + f" SELECT model, layer, alpha, {r('success_rate')} AS success_rate, {r('mean_hits')} AS mean_hits, num_cells FROM pooled"
 )
 def pooled_positive(spark, sf_dir):
     return rounded(pooled(spark, sf_dir))
@@ -191,13 +191,13 @@ def pooled_positive(spark, sf_dir):
 
 @query(
     POOLED
-    + f""" SELECT layer, {r('arg_min(mean_hits, alpha)')} AS first_value, {r('arg_max(mean_hits, alpha)')} AS last_value,
+    + f""" SELECT model, layer, {r('arg_min(mean_hits, alpha)')} AS first_value, {r('arg_max(mean_hits, alpha)')} AS last_value,
                   {r('CASE WHEN arg_min(mean_hits, alpha) > 0 THEN arg_max(mean_hits, alpha) / arg_min(mean_hits, alpha) END')}
                   AS fold_change
-           FROM pooled GROUP BY layer"""
+           FROM pooled GROUP BY model, layer"""
 )
 def fold_change(spark, sf_dir):
-    return rounded(C.fold_change(pooled(spark, sf_dir), ["layer"], "mean_hits"))
+    return rounded(C.fold_change(pooled(spark, sf_dir), ["model", "layer"], "mean_hits"))
 
 
 @query(
@@ -254,8 +254,8 @@ def pct_change(spark, sf_dir):
 
 @query(
     with_views("gen")
-    + f""", m AS (SELECT layer, alpha, avg({sql_hits(TASK)}) AS t, avg({sql_hits(POSITIVE)}) AS p FROM gen GROUP BY ALL)
-    SELECT layer, alpha, {r('t')} AS mean_task_hits, {r('p')} AS mean_positive_hits,
+    + f""", m AS (SELECT model, layer, alpha, avg({sql_hits(TASK)}) AS t, avg({sql_hits(POSITIVE)}) AS p FROM gen GROUP BY ALL)
+    SELECT model, layer, alpha, {r('t')} AS mean_task_hits, {r('p')} AS mean_positive_hits,
            {r('CASE WHEN p <> 0 THEN t / p END')} AS task_ratio FROM m"""
 )
 def hit_ratio(spark, sf_dir):

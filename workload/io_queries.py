@@ -28,7 +28,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 # --- nested experiment documents ---
 
 
-def run_documents(spark, sf_dir, wrapped: bool) -> DataFrame:
+def run_documents(spark, sf_dir, wrapped: bool, change=lambda doc: doc) -> DataFrame:
     """One document per text: model -> run -> layer -> experiment -> condition -> two samples."""
     condition = F.struct("alpha", F.array("text", "scenario").alias("samples"))
     experiment = F.struct("scenario", F.lit("t").alias("title"), F.array(condition).alias("conditions"))
@@ -40,7 +40,7 @@ def run_documents(spark, sf_dir, wrapped: bool) -> DataFrame:
     doc = F.to_json(by_model)
     if wrapped:
         doc = F.when(F.col("sample") % 2 == 0, F.to_json(F.struct(by_model.alias("models")))).otherwise(doc)
-    return v.generations(spark, sf_dir).select(doc.alias("doc"))
+    return v.generations(spark, sf_dir).select(change(doc).alias("doc"))
 
 
 FLAT_SQL = with_views("gen") + """
@@ -310,3 +310,42 @@ def directions_roundtrip(spark, sf_dir):
     W.write_directions(stored_directions(spark, sf_dir), path)
     scores = D.project(v.test(spark, sf_dir), R.read_directions(spark, path), v.GROUP, digits=v.DIGITS)
     return rounded(scores.groupBy(*v.GROUP).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")))
+
+
+def broken(doc):
+    """Every tenth document cut in the middle."""
+    return F.when(F.col("sample") % 10 == 3, F.substring(doc, 1, 20)).otherwise(doc)
+
+
+@query(
+    with_views("gen")
+    + """ SELECT count(*) FILTER (sample % 10 <> 3) AS accepted, count(*) FILTER (sample % 10 = 3) AS rejected,
+          2 * count(*) FILTER (sample % 10 <> 3) AS texts FROM gen"""
+)
+def malformed_documents(spark, sf_dir):
+    """Truncated run documents in files: none gets lost, each is accepted or rejected."""
+    path = fresh_path(spark, "truncated")
+    run_documents(spark, sf_dir, wrapped=True, change=broken).write.text(path)
+    docs = R.read_documents(spark, path, lines=True)
+    runs = R.parse_model_map(docs, errors="reject")
+    return runs.agg(F.count("*").alias("accepted")).crossJoin(  # three tables of one row
+        R.rejected_documents(docs).agg(F.count("*").alias("rejected"))
+    ).crossJoin(R.flatten_runs(runs).agg(F.count("*").alias("texts")))
+
+
+@query(FLAT_SQL)
+def generation_files(spark, sf_dir):
+    """Run documents, one per line, through files."""
+    path = fresh_path(spark, "runs")
+    run_documents(spark, sf_dir, wrapped=True).write.text(path)
+    return flat(R.read_generations(spark, path, lines=True))
+
+
+@query("SELECT 's' || doc_id AS id, md5(text) AS description_md5 FROM documents")
+def scenario_files(spark, sf_dir):
+    """Scenario arrays, one per line, through files."""
+    path = fresh_path(spark, "scenarios")
+    fields = F.struct("id", "title", "description", "objective")
+    v.scenarios(spark, sf_dir).select(F.to_json(F.array(fields))).write.text(path)
+    read = R.read_scenarios(spark, path, lines=True)
+    return read.select("id", F.md5("description").alias("description_md5"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from dosewise import lexicons as L
 from dosewise.functions import rules, text as T
 from dosewise.operators import ablation as B, splits as S
 from dosewise.plans import analyses as A
@@ -278,12 +279,18 @@ def split_70_30(spark, sf_dir):
            count(*) FILTER (split = 'test') AS test_pairs,
            array_to_string(list_sort(list_distinct(list(scenario_id))), ',') AS scenarios,
            array_to_string(list_sort(list_distinct(list(source_model))), ',') AS models_used,
-           count(DISTINCT run_id) AS runs_per_model
+           (SELECT string_agg(source_model || ':' || n, ',' ORDER BY source_model) FROM (
+              SELECT source_model, max(n) AS n FROM (
+                SELECT source_model, count(DISTINCT run_id) AS n FROM numbered GROUP BY source_model, scenario_id)
+              GROUP BY source_model)) AS runs_per_model, '2024-01-01' AS generated_at
     FROM numbered"""
 )
 def split_summary(spark, sf_dir):
-    summary = S.dataset_summary(S.hash_split(v.pairs(spark, sf_dir), "pair_id"))
-    return summary.withColumns({c: F.array_join(c, ",") for c in ("scenarios", "models_used")})
+    made = F.lit("2024-01-01")
+    summary = S.dataset_summary(S.hash_split(v.pairs(spark, sf_dir), "pair_id"), generated_at=made)
+    runs = F.transform(F.map_entries("runs_per_model"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    summary = summary.withColumn("runs_per_model", runs)
+    return summary.withColumns({c: F.array_join(c, ",") for c in ("scenarios", "models_used", "runs_per_model")})
 
 
 @query(with_views("pairs") + " SELECT pair_id FROM pairs ORDER BY pair_id LIMIT 35")
@@ -373,6 +380,25 @@ def keyword_totals(spark, sf_dir):
     return B.keyword_totals(B.ablate_text(documents(spark, sf_dir), "text", "doc_id", SYNONYMS))
 
 
+KEYWORDS = list(L.SYNONYMS)
+
+
+@query(
+    "WITH led AS (SELECT doc_id, (["
+    + ", ".join(f"'{k}'" for k in KEYWORDS)
+    + f"])[(doc_id % {len(KEYWORDS)} + 1)::INT] || ' ' || text AS text FROM documents), "
+    + ablation_sql("led", "doc_id", L.SYNONYMS, "doc_id")
+    + f""" SELECT doc_id, md5(t) AS ablated_md5, ({' + '.join(f'n{k}' for k in range(len(KEYWORDS)))})::INT AS total_replacements
+    FROM step{len(KEYWORDS)}"""
+)
+def default_ablation(spark, sf_dir):
+    """The whole default table on documents that each begin with one of its keywords."""
+    lead = F.get(F.array(*map(F.lit, KEYWORDS)), (F.col("doc_id") % len(KEYWORDS)).cast("int"))
+    led = documents(spark, sf_dir).select("doc_id", F.concat(lead, F.lit(" "), "text").alias("text"))
+    done = B.ablation_stats(B.ablate_text(led, "text", "doc_id"))
+    return done.select("doc_id", F.md5("ablated").alias("ablated_md5"), "total_replacements")
+
+
 PAIRS_ABLATED = (
     with_views("pairs")
     + ", src AS (SELECT pair_id, positive_text AS text, negative_text FROM pairs), "

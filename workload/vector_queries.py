@@ -338,8 +338,7 @@ RANDOM_SQL = (
 
 def random_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = v.test(spark, sf_dir)
-    dim = test.select(F.size("vec")).first()[0]
-    scores = R.project_random(test, RANDOM_TRIALS, dim, keep=[*v.GROUP, "label"], digits=v.DIGITS)
+    scores = R.project_random(test, RANDOM_TRIALS, keep=[*v.GROUP, "label"], digits=v.DIGITS)
     return R.random_metrics(scores, v.GROUP)
 
 
@@ -376,11 +375,71 @@ def random_summary(spark, sf_dir):
 )
 def random_compare(spark, sf_dir):
     test = v.test(spark, sf_dir)
-    dim = test.select(F.size("vec")).first()[0]
-    compared = A.random_baseline(test, test_metrics(spark, sf_dir), RANDOM_TRIALS, dim, digits=v.DIGITS)
+    compared = A.random_baseline(test, test_metrics(spark, sf_dir), RANDOM_TRIALS, digits=v.DIGITS)
     return rounded(compared.drop("mean_auroc", "std_auroc", "p95_auroc"))
 
 
+MIXED_TRIALS = 5
+
+
+@query(
+    with_views("act")
+    + f""", parts AS (
+        SELECT t AS trial, i,
+               sqrt(-2 * ln((('0x' || substr(h, 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE))
+               * cos(2 * pi() * ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0::DOUBLE) AS x
+        FROM (SELECT t, i, md5('42:' || t || ':' || i) AS h FROM range(0, {MIXED_TRIALS}) a(t), range(0, 128) b(i))),
+    rdirs AS (SELECT d, trial, list(x ORDER BY i) AS v, sqrt(sum(x * x)) AS n
+              FROM parts, (SELECT unnest([64, 128]) AS d) WHERE i < d GROUP BY d, trial),
+    vecs AS (SELECT *, CASE WHEN model = 'm1' THEN list_concat(vec, vec) ELSE vec END AS w FROM act WHERE split = 'test'),
+    rscores AS (
+        SELECT a.model, a.layer, a.label, r.trial,
+               round(list_dot_product(a.w, list_transform(r.v, lambda x: x / r.n)), 9) AS score
+        FROM vecs a JOIN rdirs r ON r.d = len(a.w)),
+    rranked AS (
+        SELECT *, rank() OVER (PARTITION BY model, layer, trial ORDER BY score)
+                  + (count(*) OVER (PARTITION BY model, layer, trial, score) - 1) / 2.0 AS rnk FROM rscores)
+    SELECT model, layer, trial, round(
+               (sum(rnk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+               / (count(*) FILTER (label = 1)::DOUBLE * count(*) FILTER (label = 0)), 6) + 0.0 AS auroc
+    FROM rranked GROUP BY model, layer, trial"""
+)
+def random_mixed_dims(spark, sf_dir):
+    """Random directions for models of different dimension: the vectors of one model are joined to themselves."""
+    longer = F.when(F.col("model") == "m1", F.concat("vec", "vec")).otherwise(F.col("vec"))
+    test = v.test(spark, sf_dir).withColumn("vec", longer)
+    scores = R.project_random(test, MIXED_TRIALS, keep=[*v.GROUP, "label"], digits=v.DIGITS)
+    return rounded(R.random_metrics(scores, v.GROUP).select(*v.GROUP, "trial", "auroc"))
+
+
+@query(
+    with_views(*AUROC_VIEWS)
+    + f""" SELECT model, layer, {r('auroc')} AS auroc, n_pos, n_neg FROM aurocs
+    UNION ALL SELECT 'none', 0, 0.5, 0, 0"""
+)
+def unlabelled_group(spark, sf_dir):
+    """AUROC with a further group whose labels are all NULL; it has no accuracy and does not disturb the others."""
+    scores = test_scores(spark, sf_dir).select(*v.GROUP, "label", "score")
+    without = scores.select(
+        F.lit("none").alias("model"), F.lit(0).alias("layer"), F.lit(None).cast("int").alias("label"), "score"
+    )
+    metrics = E.evaluate_scores(scores.unionByName(without), v.GROUP)
+    return rounded(metrics.select(*v.GROUP, "auroc", "n_pos", "n_neg"))
+
+
+@query(
+    with_views(*AUROC_VIEWS)
+    + f""" SELECT model, string_agg(layer || '=' || printf('%.3f', auroc), ' ' ORDER BY layer) AS layers
+    FROM aurocs GROUP BY model"""
+)
+def ordered_layers(spark, sf_dir):
+    """Metrics of each model's layers in order of the layer, in one field per model: a model has few layers."""
+    entry = F.struct("layer", rules.three_decimals(F.col("auroc")).alias("text"))
+    layers = test_metrics(spark, sf_dir).groupBy("model").agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    text = F.transform("l", lambda e: F.concat_ws("=", e["layer"].cast("string"), e["text"]))
+    return layers.select("model", F.array_join(text, " ").alias("layers"))
+
+
 # --- ratings ---
 
 RATED = with_views(*SCORE_VIEWS, "ratings", "rated")

@@ -1,14 +1,12 @@
 """The analysis inputs (activations, texts under a dose, ratings, pairs) as views of the test tables.
 
-The matching SQL views are in ``workload/oracle.py``.
+The matching SQL views are in ``workload/registry.py``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosewise.session import spread
-
 ALPHAS = [-20.0, -10.0, -5.0, 0.0, 5.0, 10.0, 20.0]
 GROUP = ["model", "layer"]
 CELL = ["model", "layer", "scenario", "alpha"]
@@ -16,8 +14,14 @@ DIGITS = 9  # scores are rounded to this before they are ranked, in both engines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; each is one file, often with a single row group, hence the redistribution of small scans."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A table, scanned as its files are.
+
+    Only if the session asks for it with ``spark.workload.partitions`` (the benchmark does, as its tables are single files
+    of one row group) the rows are dealt to that many tasks first.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    wanted = spark.conf.get("spark.workload.partitions", None)
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
