@@ -187,7 +187,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word = re.compile("[^\x20\x09-\x0d]+")
     for batch in slices(batches, "text"):
         out = []
-        for text, size, low, high in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "from_word", "to_word"))):
+        for text, size, low, high in zip(*(batch.column(c).to_pylist() for c in ("text", "_size", "_from", "_to"))):
             if high - low < size:
                 places = [m.span() for m in word.finditer(text)]
                 text = text[places[low][0] : places[high - 1][1]]
@@ -204,11 +204,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     _, _, taken = mix(docs)
     copies = taken.filter("from_word < to_word").groupBy("doc_id", "order", "size", "start", "source_no", "pass")
     copies = copies.agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"))
-    copies = copies.select(F.col("doc_id").alias("_doc_id"), "order", "size", "from_word", "to_word")
+    copies = copies.selectExpr(
+        "doc_id as _doc_id", "order as _place", "size as _size", "from_word as _from", "to_word as _to"
+    )
     rows = docs.withColumn("_order", F.xxhash64(F.lit(SEED), "doc_id", "text"))
     rows = rows.dropDuplicates(["doc_id", "source", "_order"])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_order") == F.col("order"))
-    joined = rows.join(copies, same).select(*docs.columns, "size", "from_word", "to_word")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_order") == F.col("_place"))
+    joined = rows.join(copies, same).select(*docs.columns, "_size", "_from", "_to")
     cut = joined.mapInArrow(_cut, joined.schema).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
 
