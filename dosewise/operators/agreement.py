@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from dosewise.functions import rules
 from dosewise.operators.evaluation import evaluate_scores
 from dosewise.operators.ordering import average_ranks
+from dosewise.session import broadcast_rows, materialize
 
 
 def correlation_p_value(r: Column, n: Column) -> Column:
@@ -80,11 +81,14 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Dat
 def spearman(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks per group; NULL when a column is constant.
 
-    Works on distinct (x, y) pairs with counts. Ranks are centred on their known mean before the products are summed.
+    Works on distinct (x, y) pairs with counts, which are stored, as are the ranks of the distinct values. A value that
+    many pairs share comes from a column of few distinct values, whose ranks are broadcast after their number has been
+    measured; the ranks of a column of many values are joined by values that no group holds often. Ranks are centred on
+    their known mean before the products are summed.
     """
-    cells = scores.groupBy(*keys, x, y).agg(F.count("*").alias("_w"))
-    rank_x = average_ranks(cells, keys, x, "_rx", "_w")
-    rank_y = average_ranks(cells, keys, y, "_ry", "_w").drop("n_total")
+    cells = materialize(scores.groupBy(*keys, x, y).agg(F.count("*").alias("_w")), "rank-cells")
+    rank_x = broadcast_rows(materialize(average_ranks(cells, keys, x, "_rx", "_w"), "ranks-x"))
+    rank_y = broadcast_rows(materialize(average_ranks(cells, keys, y, "_ry", "_w").drop("n_total"), "ranks-y"))
     ranked = _join_null_safe(_join_null_safe(cells, rank_x, [*keys, x]), rank_y, [*keys, y])
     centre = (F.col("n_total") + 1) / 2.0
     w, dx, dy = F.col("_w"), F.col("_rx") - centre, F.col("_ry") - centre
@@ -127,21 +131,24 @@ def line_fit(scores: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
 def histogram(scores: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Equal-width bins between the group's minimum and maximum; the maximum falls into the last bin.
 
-    A constant column gets a range of one unit around its value. The (group, value) rows are counted first, so both
-    the range and the bin totals come from the reduced rows.
+    A constant column gets a range of one unit around its value. The range of each group is found first and stored; its
+    rows are broadcast after their number has been measured, so that bins are counted where the scores are and at most
+    ``bins`` rows per group and task are shuffled. ``scores`` is read twice: store it first if that is dear.
     """
-    counted = scores.groupBy(*keys, value).agg(F.count(value).alias("_n")).filter("_n > 0")
     same = F.min(value) == F.max(value)
-    ranges = counted.groupBy(*keys).agg(
+    ranges = scores.groupBy(*keys).agg(
         F.when(same, F.min(value) - 0.5).otherwise(F.min(value)).alias("lo"),
         F.when(same, F.max(value) + 0.5).otherwise(F.max(value)).alias("hi"),
     )
+    ranges = broadcast_rows(materialize(ranges, "histogram-ranges"))
     slot = F.least(F.width_bucket(F.col(value), F.col("lo"), F.col("hi"), F.lit(bins)), F.lit(bins))
     return (
-        counted.join(ranges, list(keys))
-        .select(*keys, "lo", ((F.col("hi") - F.col("lo")) / bins).alias("_width"), slot.cast("int").alias("bin"), "_n")
+        scores.select(*keys, value)
+        .join(ranges, list(keys))
+        .select(*keys, "lo", ((F.col("hi") - F.col("lo")) / bins).alias("_width"), slot.cast("int").alias("bin"))
         .groupBy(*keys, "bin", "lo", "_width")
-        .agg(F.sum("_n").alias("n"))
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("bin").isNotNull())
         .select(*keys, "bin", (F.col("lo") + (F.col("bin") - 1) * F.col("_width")).alias("bin_start"), "n")
     )
 

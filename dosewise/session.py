@@ -67,3 +67,8 @@ def vectors_size(directions: DataFrame, vec: str = "direction") -> int:
 def broadcast_vectors(directions: DataFrame, vec: str = "direction", limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a materialised vector table for broadcast if its measured size is below the limit, else leave it."""
     return F.broadcast(directions) if vectors_size(directions, vec) <= limit else directions
+
+
+def broadcast_rows(stored: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Hint a stored table of narrow rows for broadcast if its measured number of rows is below the limit, else leave it."""
+    return F.broadcast(stored) if stored.count() <= limit else stored

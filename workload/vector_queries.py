@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dosewise.functions import rules, vectors as V
 from dosewise.operators import agreement, directions as D, evaluation as E, random_control as R
 from dosewise.plans import analyses as A
-from dosewise.session import materialize
+from dosewise.session import broadcast_rows, materialize
 from workload import views as v
 from workload.registry import AUROC_VIEWS, SCORE_VIEWS, query, r, rounded, with_views
 
@@ -266,7 +266,8 @@ def average_rank(spark, sf_dir):
     from dosewise.operators.ordering import average_ranks
 
     scores = test_scores(spark, sf_dir).withColumn("score", F.round("score", 1))
-    ranks = average_ranks(scores, v.GROUP, "score", "rank")
+    scores = materialize(scores, "rounded-scores")
+    ranks = broadcast_rows(materialize(average_ranks(scores, v.GROUP, "score", "rank"), "ranks"))
     return scores.join(ranks, [*v.GROUP, "score"]).select(*v.GROUP, "text_id", "rank")
 
 
