@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from dosewise.llm.common import slices
 from dosewise.llm.pool import UnitPool
 
-SLICE = 8 << 20
-CACHED_UNITS = 600_000
+SLICE = 4 << 20
+CACHED_UNITS = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -262,7 +262,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def _with_tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
-    for batch in slices(batches, "text", SLICE):
+    for batch in slices(batches, "text", SLICE // 4):
         ids, starts = own.encode(batch.column("text").to_pylist())
         lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
         flat = ids.tolist()

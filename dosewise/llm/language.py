@@ -43,7 +43,7 @@ STEPS, RATE, PENALTY = 40, 0.1, 1e-5
 #: Of the ids, those whose checksum leaves 0 on division by this are held out.
 FOLDS = 5
 RUN = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 UNKNOWN = "und"
 
 _FIND = regex.compile(r"\p{L}[\p{L}\p{M}'’]*").findall
