@@ -5,8 +5,9 @@ a bounded sample; the pairs of centroids are the cells of a grid, and every vect
 centroids. A query visits cells in ascending order of the sum of its halves' squared distances to the centroids (the
 multi-sequence order) and is compared in double precision with all vectors there; links need a cosine of ``COSINE``.
 
-Number of cells visited: on the sample, vectors turned by exactly the angle of ``COSINE`` in random directions must be in the
-first cells visited by the vector they came from, for a share ``RECALL`` of them. Closer pairs are found more often. All
+Number of cells visited: one in ``HELD_OUT`` sample rows has no part in the codebooks; these rows, turned by exactly the
+angle of ``COSINE`` in random directions, must be in the first cells visited by the row they came from, for a share
+``RECALL`` of them. Closer pairs are found more often. A sample too small to hold a row out has all cells visited. All
 rows are queries and all are indexed. ``k`` is the square root of a 32nd of the number of vectors, at least 4.
 
 Scale. The vectors of a cell and the queries that visit it are dealt to blocks of about ``SIDE`` rows, so a hot cell is many
@@ -33,8 +34,10 @@ from dosewise.llm.common import connected
 from dosewise.session import materialize
 
 COSINE, RECALL = 0.95, 0.99
-#: Vectors per cell on average, sample rows per centroid and at most, and turns per sample row for the number of cells.
-PER_CELL, SAMPLE_PER_CENTROID, SAMPLE, TURNS = 32, 64, 40_000, 4
+#: Vectors per cell on average, sample rows per centroid and at most.
+PER_CELL, SAMPLE_PER_CENTROID, SAMPLE = 32, 64, 40_000
+#: For the number of cells: of the sample, one row in so many; turns per row, and at least in all.
+HELD_OUT, TURNS, LEAST_TURNS = 8, 4, 2000
 ROUNDS = 8
 SIDE = 2048
 
@@ -104,15 +107,20 @@ class Grid:
 
 
 def fit(x: np.ndarray, n: int) -> Grid:
-    """The grid of a sample of the ``n`` vectors, with the number of cells to visit."""
+    """The grid of a sample of the ``n`` vectors, in an order that has nothing to do with them, with the number of cells to visit."""
+    held = x[HELD_OUT - 1 :: HELD_OUT]
+    x = x[np.arange(len(x)) % HELD_OUT != HELD_OUT - 1]
     k = max(1, min(len(x), max(4, math.ceil(math.sqrt(n / PER_CELL)))))
     half = x.shape[1] // 2
     grid = Grid(k_means(x[:, :half], k), k_means(x[:, half:], k))
+    if not len(held):
+        grid.visits = k * k
+        return grid
     rng = np.random.Generator(np.random.PCG64(6))
-    chosen = x[:: max(1, len(x) // 500)]
+    chosen = held[:: max(1, len(held) // 500)]
     ranks = []
     most = min(k * k, 1024)
-    for _ in range(TURNS):
+    for _ in range(max(TURNS, math.ceil(LEAST_TURNS / len(chosen)))):
         side = rng.normal(size=chosen.shape)
         side -= (side * chosen).sum(axis=1)[:, None] * chosen
         norm = np.sqrt((side * side).sum(axis=1))[:, None]

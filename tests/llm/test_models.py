@@ -223,3 +223,25 @@ def test_multi_sequence_order():
     cells = grid.traverse(x, 12)
     assert np.allclose(np.take_along_axis(d.reshape(20, -1), cells, axis=1), want)
     assert grid.traverse(x, 1000).shape == (20, 35)
+
+
+def turned(x, rng):
+    """Unit vectors at exactly the least cosine from those of ``x``."""
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    return 0.95 * x + np.sqrt(1 - 0.95**2) * side
+
+
+def share_met(grid, x, rng):
+    """Share of turned vectors whose home cell is visited by the vector they came from."""
+    return (grid.traverse(x, grid.visits) == grid.traverse(turned(x, rng), 1)).any(axis=1).mean()
+
+
+def test_visits_hold_for_vectors_outside_the_sample():
+    rng = np.random.default_rng(5)
+    rows, k = 5000, 500
+    x = rng.normal(size=(rows + 1500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    grid = multi_index.fit(x[:rows], multi_index.PER_CELL * k * k)
+    assert len(grid.left) == k and share_met(grid, x[rows:], rng) >= 0.975
