@@ -42,18 +42,18 @@ ROUNDS = 8
 SIDE = 2048
 
 
-def clean(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def clean(vectors: list, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """Matrix of the usable vectors, scaled to length 1, and their places in the list.
 
-    Usable ones have finite components, a length above 0 and the same number of components as the first such vector.
+    Usable ones have ``dimension`` components, all of them finite, and a length above 0.
     """
     rows, places = [], []
     for i, v in enumerate(vectors):
-        if not v or None in v:
+        if not v or len(v) != dimension or None in v:
             continue
         x = np.array(v, np.float64)
         scale = np.abs(x).max()
-        if np.isfinite(x).all() and scale > 0 and (not rows or len(x) == len(rows[0])):
+        if np.isfinite(x).all() and scale > 0:
             x = x / scale
             rows.append(x / math.sqrt(x @ x))
             places.append(i)
@@ -136,8 +136,8 @@ def _assign(batches: Iterator[pa.RecordBatch], grid: Grid, visits: int) -> Itera
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
             part = batch.slice(start, 1024)
-            x, places = clean(part.column("embedding").to_pylist())
-            if not len(x) or x.shape[1] != grid.dimension:
+            x, places = clean(part.column("embedding").to_pylist(), grid.dimension)
+            if not len(x):
                 continue
             cells = grid.traverse(x, visits)
             row = np.repeat(np.arange(len(x)), cells.shape[1])
@@ -205,7 +205,7 @@ def sample(vectors: DataFrame, n: int) -> np.ndarray:
     found = sorted(rows.collect(), key=lambda r: r["place"])[:SAMPLE]
     lengths = [len(r["embedding"]) for r in found if r["embedding"]]
     usual = max(sorted(set(lengths)), key=lengths.count) if lengths else 0
-    return clean([r["embedding"] if r["embedding"] and len(r["embedding"]) == usual else None for r in found])[0]
+    return clean([r["embedding"] for r in found], usual)[0]
 
 
 def linked_vectors(table: DataFrame) -> DataFrame:

@@ -245,3 +245,18 @@ def test_visits_hold_for_vectors_outside_the_sample():
     x /= np.linalg.norm(x, axis=1)[:, None]
     grid = multi_index.fit(x[:rows], multi_index.PER_CELL * k * k)
     assert len(grid.left) == k and share_met(grid, x[rows:], rng) >= 0.975
+
+
+def test_strays_take_no_others_along(spark):
+    """Vectors of another dimension, first in their slice or not, stand alone; all others keep their links."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16))
+    vectors = {i: (centres[i % 30] + 0.01 * rng.normal(size=16)).tolist() for i in range(10, 310)}
+    strays = {i: rng.normal(size=(5, 17)[i % 2]).tolist() for i in (*range(10), 400, 401)}
+    rows = sorted({**vectors, **strays}.items())
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {**brute_links(vectors), **{i: (0, i) for i in strays}}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.linked_vectors(table).collect()}
+    assert got == want
+    x, places = multi_index.clean([[1.0, 2.0], [3.0, 0.0, 4.0], None, [0.0, 0.0, 2.0]], 3)
+    assert x.tolist() == [[0.6, 0.0, 0.8], [0.0, 0.0, 1.0]] and places.tolist() == [1, 3]
