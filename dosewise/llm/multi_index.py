@@ -7,7 +7,7 @@ multi-sequence order) and is compared in double precision with all vectors there
 
 Number of cells visited: one in ``HELD_OUT`` sample rows has no part in the codebooks; these rows, turned by exactly the
 angle of ``COSINE`` in random directions, must be in the first cells visited by the row they came from, for a share
-``RECALL`` of them. Closer pairs are found more often. A sample too small to hold a row out has all cells visited. All
+``RECALL`` of them, however many cells that takes. Closer pairs are found more often. A sample too small to hold a row out has all cells visited. All
 rows are queries and all are indexed. ``k`` is the square root of a 32nd of the number of vectors, at least 4.
 
 Scale. The vectors of a cell and the queries that visit it are dealt to blocks of about ``SIDE`` rows, so a hot cell is many
@@ -38,6 +38,8 @@ COSINE, RECALL = 0.95, 0.99
 PER_CELL, SAMPLE_PER_CENTROID, SAMPLE = 32, 64, 40_000
 #: For the number of cells: of the sample, one row in so many; turns per row, and at least in all.
 HELD_OUT, TURNS, LEAST_TURNS = 8, 4, 2000
+#: First cells of all rows that are traversed at once, which bounds the memory.
+FIRST_CELLS = 1 << 16
 ROUNDS = 8
 SIDE = 2048
 
@@ -106,6 +108,26 @@ class Grid:
         return np.take_along_axis(cells, first, axis=1)
 
 
+def visits_needed(grid: Grid, x: np.ndarray, homes: np.ndarray) -> int:
+    """Cells to visit so that a share ``RECALL`` of the rows meets its cell in ``homes``; all cells at most.
+
+    The first cells of the rows that have not met theirs are doubled until enough have.
+    """
+    every = len(grid.left) * len(grid.right)
+    ranks = np.full(len(x), every)
+    wanted = math.ceil(RECALL * (len(x) - 1))  # place in the ascending ranks
+    open_ = np.arange(len(x))
+    visits = min(64, every)
+    while True:
+        for rows in np.array_split(open_, math.ceil(len(open_) * visits / FIRST_CELLS)):
+            seen = grid.traverse(x[rows], visits) == homes[rows]
+            ranks[rows[seen.any(axis=1)]] = seen.argmax(axis=1)[seen.any(axis=1)] + 1
+        open_ = np.flatnonzero(ranks > visits)
+        if len(x) - len(open_) > wanted or visits == every:
+            return int(np.sort(ranks)[wanted])
+        visits = min(2 * visits, every)
+
+
 def fit(x: np.ndarray, n: int) -> Grid:
     """The grid of a sample of the ``n`` vectors, in an order that has nothing to do with them, with the number of cells to visit."""
     held = x[HELD_OUT - 1 :: HELD_OUT]
@@ -118,24 +140,23 @@ def fit(x: np.ndarray, n: int) -> Grid:
         return grid
     rng = np.random.Generator(np.random.PCG64(6))
     chosen = held[:: max(1, len(held) // 500)]
-    ranks = []
-    most = min(k * k, 1024)
+    starts, homes = [], []
     for _ in range(max(TURNS, math.ceil(LEAST_TURNS / len(chosen)))):
         side = rng.normal(size=chosen.shape)
         side -= (side * chosen).sum(axis=1)[:, None] * chosen
         norm = np.sqrt((side * side).sum(axis=1))[:, None]
         turned = COSINE * chosen + math.sqrt(1 - COSINE**2) * side / np.maximum(norm, 1e-300)
-        home = grid.traverse(turned, 1)
-        seen = grid.traverse(chosen, most) == home
-        ranks.append(np.where(seen.any(axis=1), seen.argmax(axis=1) + 1, most))
-    grid.visits = int(np.quantile(np.concatenate(ranks), RECALL, method="higher"))
+        starts.append(chosen)
+        homes.append(grid.traverse(turned, 1))
+    grid.visits = visits_needed(grid, np.concatenate(starts), np.concatenate(homes))
     return grid
 
 
 def _assign(batches: Iterator[pa.RecordBatch], grid: Grid, visits: int) -> Iterator[pa.RecordBatch]:
+    rows = max(1, min(1024, FIRST_CELLS // visits))
     for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
             x, places = clean(part.column("embedding").to_pylist(), grid.dimension)
             if not len(x):
                 continue

@@ -260,3 +260,11 @@ def test_strays_take_no_others_along(spark):
     assert got == want
     x, places = multi_index.clean([[1.0, 2.0], [3.0, 0.0, 4.0], None, [0.0, 0.0, 2.0]], 3)
     assert x.tolist() == [[0.6, 0.0, 0.8], [0.0, 0.0, 1.0]] and places.tolist() == [1, 3]
+
+
+def test_visits_have_no_cap():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1600, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    grid = multi_index.fit(x[:1500], multi_index.PER_CELL * 1000 * 1000)
+    assert 1024 < grid.visits < 1000 * 1000 and share_met(grid, x[1500:], rng) >= 0.97
