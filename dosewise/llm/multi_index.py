@@ -11,8 +11,9 @@ angle of ``COSINE`` in random directions, must be in the first cells visited by
 rows are queries and all are indexed. ``k`` is the square root of a 32nd of the number of vectors, at least 4.
 
 Scale. The vectors of a cell and the queries that visit it are dealt to blocks of about ``SIDE`` rows, so a hot cell is many
-groups of two blocks each. A group gives per query its number of links, and the edges of a spanning forest of its links,
-which keeps all connections and is never longer than its two sides; no pairs of a group are emitted.
+groups of two blocks each. A group gives the number of links of each query, and of each indexed vector that does not itself
+visit the query's cell, so a link counts once at each end, whichever of the two found it. It also gives the edges of a
+spanning forest of its links, which keeps all connections and is never longer than its two sides; no pairs are emitted.
 
 Vectors that are null, empty, of length 0 or with null or non-finite components link with nothing and stand alone; so do
 those of another dimension than most of the sample. Rows that repeat an id are one vector (the least), which comes out
@@ -152,24 +153,23 @@ def fit(x: np.ndarray, n: int) -> Grid:
     return grid
 
 
-def _assign(batches: Iterator[pa.RecordBatch], grid: Grid, visits: int) -> Iterator[pa.RecordBatch]:
-    rows = max(1, min(1024, FIRST_CELLS // visits))
+def _assign(batches: Iterator[pa.RecordBatch], grid: Grid) -> Iterator[pa.RecordBatch]:
+    """The usable vectors with the cells that they visit; they are indexed in the first."""
+    rows = max(1, min(1024, FIRST_CELLS // grid.visits))
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
             x, places = clean(part.column("embedding").to_pylist(), grid.dimension)
             if not len(x):
                 continue
-            cells = grid.traverse(x, visits)
-            row = np.repeat(np.arange(len(x)), cells.shape[1])
-            vectors = x[row]
+            cells = grid.traverse(x, grid.visits)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(cells.ravel()),
-                    part.column("vec_id").take(pa.array(places[row])),
-                    pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), x.shape[1]).cast(pa.list_(pa.float64())),
+                    part.column("vec_id").take(pa.array(places)),
+                    pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), cells.shape[1]).cast(pa.list_(pa.int64())),
                 ],
-                names=["cell", "vec_id", "unit"],
+                names=["vec_id", "unit", "cells"],
             )
 
 
@@ -199,7 +199,7 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
 def _compare(queries: pa.Table, indexed: pa.Table) -> pa.Table:
-    """Per query ``(a, null, number of links)``, and edges ``(a, b, 0)``."""
+    """``(a, null, number of links)`` of queries, and of indexed vectors with queries they do not visit; edges ``(a, b, 0)``."""
     if not queries.num_rows or not indexed.num_rows:
         return _FOUND.empty_table()
     sides = []
@@ -208,12 +208,20 @@ def _compare(queries: pa.Table, indexed: pa.Table) -> pa.Table:
         sides.append((table.column("vec_id").to_numpy(), flat.reshape(table.num_rows, -1)))
     (q, x), (i, y) = sides
     linked = (x @ y.T >= COSINE) & (q[:, None] != i[None, :])
-    n = linked.sum(axis=1)
-    some = n > 0
-    edges = forest(linked, q, i) if some.any() else []
-    a = np.concatenate([q[some], np.array([e[0] for e in edges], np.int64)])
-    b = pa.array([None] * int(some.sum()) + [e[1] for e in edges], pa.int64())
-    counts = np.concatenate([n[some], np.zeros(len(edges), np.int64)])
+    if not linked.any():
+        return _FOUND.empty_table()
+    homes, home = np.unique(queries.column("home").to_numpy(), return_inverse=True)
+    cells = indexed.column("cells").combine_chunks().flatten().to_numpy().reshape(indexed.num_rows, -1)
+    place = np.minimum(np.searchsorted(homes, cells), len(homes) - 1)
+    row, column = np.nonzero(homes[place] == cells)
+    visited = np.zeros((len(i), len(homes)), bool)
+    visited[row, place[row, column]] = True
+    ids = np.concatenate([q, i])
+    n = np.concatenate([linked.sum(axis=1), (linked & ~visited[:, home].T).sum(axis=0)])
+    edges = forest(linked, q, i)
+    a = np.concatenate([ids[n > 0], np.array([e[0] for e in edges], np.int64)])
+    b = pa.array([None] * int((n > 0).sum()) + [e[1] for e in edges], pa.int64())
+    counts = np.concatenate([n[n > 0], np.zeros(len(edges), np.int64)])
     return pa.Table.from_arrays([pa.array(a), b, pa.array(counts)], schema=_FOUND)
 
 
@@ -240,9 +248,10 @@ def linked_vectors(table: DataFrame) -> DataFrame:
         grid = fit(x, n)
     else:
         grid = Grid(np.zeros((1, 0)), np.zeros((1, 0)))  # no vector has this dimension
-    schema = "cell bigint, vec_id bigint, unit array<double>"
-    indexed = vectors.mapInArrow(partial(_assign, grid=grid, visits=1), schema)
-    visiting = vectors.mapInArrow(partial(_assign, grid=grid, visits=grid.visits), schema)
+    schema = "vec_id bigint, unit array<double>, cells array<bigint>"
+    placed = materialize(vectors.mapInArrow(partial(_assign, grid=grid), schema), "index-cells")
+    indexed = placed.selectExpr("cells[0] as cell", "vec_id", "unit", "cells")
+    visiting = placed.selectExpr("explode(cells) as cell", "vec_id", "unit", "cells[0] as home")
 
     inside = indexed.groupBy("cell").agg(F.count("*").alias("n"))
     visits = visiting.groupBy("cell").agg(F.count("*").alias("m"))
@@ -251,11 +260,11 @@ def linked_vectors(table: DataFrame) -> DataFrame:
     own = "pmod(xxhash64(vec_id), {} + 1)"
     keys = ["cell", "i", "q"]
     left = visiting.join(blocks, "cell").selectExpr(
-        "cell", "explode(sequence(0L, last_i)) as i", own.format("last_q") + " as q", "vec_id", "unit"
+        "cell", "explode(sequence(0L, last_i)) as i", own.format("last_q") + " as q", "vec_id", "unit", "home"
     )
     right = indexed.join(blocks, "cell").selectExpr(
-        "cell", own.format("last_i") + " as i", "explode(sequence(0L, last_q)) as q", "vec_id", "unit"
-    )
+        "cell", own.format("last_i") + " as i", "explode(sequence(0L, last_q)) as q", "vec_id", "unit", "cells"
+    ).toDF("cell", "i", "q", "vec_id", "unit", "cells")  # columns of its own, as both sides come from one table
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare, "a bigint, b bigint, n bigint")
     found = materialize(found, "index-found")
     counts = found.filter("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))

@@ -268,3 +268,29 @@ def test_visits_have_no_cap():
     x /= np.linalg.norm(x, axis=1)[:, None]
     grid = multi_index.fit(x[:1500], multi_index.PER_CELL * 1000 * 1000)
     assert 1024 < grid.visits < 1000 * 1000 and share_met(grid, x[1500:], rng) >= 0.97
+
+
+@pytest.mark.parametrize("side", [2048, 16])
+def test_links_count_at_both_ends(spark, monkeypatch, side):
+    """With few cells visited, a link that one end alone finds still counts for the other."""
+    grids, fit = [], multi_index.fit
+
+    def short(x, n):
+        grids.append(fit(x, n))
+        grids[0].visits = 2
+        return grids[0]
+
+    monkeypatch.setattr(multi_index, "fit", short)
+    monkeypatch.setattr(multi_index, "SIDE", side)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(40, 8)), 10, axis=0) + 0.15 * rng.normal(size=(400, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in multi_index.linked_vectors(table).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cells = grids[0].traverse(unit, 2)
+    meets = (cells[:, None, :] == cells[None, :, :1]).any(axis=2)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert (linked & meets & ~meets.T).any()
+    assert [got[i]["n_links"] for i in range(400)] == (linked & (meets | meets.T)).sum(axis=1).tolist()
+    assert all(r["n_links"] for r in got.values() if r["component_id"] != r["vec_id"])
