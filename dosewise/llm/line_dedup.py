@@ -20,6 +20,7 @@ from dosewise.session import materialize
 
 WINDOW = 3
 KEY = ["_id", "_hash"]
+_WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -32,8 +33,8 @@ def _windows(docs: DataFrame) -> DataFrame:
     window = "concat_ws('\\n', lines[i], lines[i + 1], lines[i + 2])"
     starts = f"if(size(lines) >= {WINDOW}, sequence(0, size(lines) - {WINDOW}), cast(array() as array<int>))"
     spread = lines.selectExpr(*KEY, f"posexplode(transform({starts}, i -> {window})) as (at, passage)")
-    hashed = spread.selectExpr(
-        *KEY, "at", "xxhash64(passage) as h1", "xxhash64(3, passage) as h2", "trim(' \\t\\n\\x0B\\f\\r' from passage) > '' as used"
+    hashed = spread.select(
+        *KEY, "at", F.xxhash64("passage").alias("h1"), F.xxhash64(F.lit(3), "passage").alias("h2"), F.col("passage").rlike(_WORD).alias("used")
     )
     return hashed.filter("used").drop("used")
 

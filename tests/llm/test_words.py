@@ -132,6 +132,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r["doc_id"]: (r["text"], r["_lines"], r["_removed"]) for r in got.collect()} == brute_lines(rows)
 
 
+def test_line_dedup_white_space_and_letters_of_its_escapes(spark):
+    """Lines of the characters x, 0, B and f are words; vertical tabs and form feeds are not."""
+    texts = ["0\n0\n0", "0 0 0\nx\nB f", "\x0b\n\x0c\n\x0b\x0c", "\r\n\t\n \x0b"]
+    rows = [(i, t) for i, t in enumerate(2 * texts)]
+    got = {r["doc_id"]: (r["text"], r["_lines"], r["_removed"]) for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+    assert [got[i][2] for i in range(8)] == [0, 0, 0, 0, 3, 3, 0, 0]
+
+
 def test_line_dedup_edge_cases(spark):
     copy = "p\nq\nr\ns"
     rows = [(1, copy), (1, copy), (2, None), (None, copy), (3, copy + "\nnew"), (1, "p\nq\nr")]
