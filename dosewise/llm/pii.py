@@ -5,8 +5,10 @@ the Luhn test) and phone numbers (9 to 15 digits). A match that fails its test i
 
 Method for disguised data. A chain of transducers rewrites a text, each keeping for every output character the source span
 it stands for: (1) compatibility and lookalike characters become ASCII, zero-width characters vanish; (2) spelled digits
-in a row of at least ``SPELLED`` become digits, "plus" before them a plus sign; (3) "at" and "dot" in brackets, or both as
-words between words without brackets, become ``@`` and ``.``. The base patterns then run on the rewritten text, and each
+in a row of at least ``SPELLED`` become digits, "plus" before them a plus sign; so do shorter rows among the figures of a
+phone number, and one to three in each of four groups that dots join, in figures or spelled, the dots as well;
+(3) "at" and "dot" in brackets become ``@`` and ``.``; so does "at" as a word where a "dot" follows in the domain, and "dot"
+as a word in the local part and the domain around any at sign. The base patterns then run on the rewritten text, and each
 match is mapped back to source characters. It is added if at least one of its characters was rewritten and it overlaps
 no base span of its kind, so plain prose is left alone.
 
@@ -21,6 +23,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,10 +64,21 @@ _ROW = re.compile(
 )
 _PART = re.compile(rf"plus|{_ANY_NAME}", re.IGNORECASE)
 _BRACKETED = re.compile(r" ?[\[({<] ?(at|dot|punkt|punto|point|arobase|arroba) ?[\])}>] ?", re.IGNORECASE)
-_WORDS = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+(?!\w)", re.IGNORECASE
+_OCTET = rf"(?:[0-9]{{1,3}}(?![0-9])|{_ANY_NAME}(?:[ ,-]+{_ANY_NAME}){{0,2}}(?!\w)(?![ ,-]+{_ANY_NAME}(?!\w)))"
+_JOINT = r"(?:\.| dot | ?[\[({<] ?(?:dot|punkt|punto|point) ?[\])}>] ?)"
+_SPELLED_IP = re.compile(rf"(?<!\w){_OCTET}(?:{_JOINT}{_OCTET}){{3}}(?!\w)(?!{_JOINT}(?:[0-9]|{_ANY_NAME}(?!\w)))", re.IGNORECASE)
+_JOINTS = re.compile(_JOINT, re.IGNORECASE)
+#: What may not stand before a spelled address: it would be part of a longer number.
+_LONGER = re.compile(rf"(?:(?<!\w){_ANY_NAME}|[0-9])(?: dot |\.)$", re.IGNORECASE)
+_LONGER_NAMES = re.compile(rf"(?<!\w)(?:plus|{_ANY_NAME})[ ,-]+$", re.IGNORECASE)
+_MIXED = re.compile(
+    rf"(?:\+|(?<!\w)plus[ ,.-]+)(?:{_ANY_NAME}|[0-9]++)(?:[ ().-]+(?:{_ANY_NAME}(?!\w)|[0-9]++))+(?!\w)", re.IGNORECASE
 )
-_BETWEEN = re.compile(r" (at|dot) ", re.IGNORECASE)
+_FIGURES = re.compile(rf"plus|{_ANY_NAME}|[0-9]", re.IGNORECASE)
+# Words joined by "at" and "dot"; as no part can be given back, each text is read once.
+_LOCAL = r"[A-Za-z0-9._%+-]++(?!\w)"
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:(?: at | dot |@){_LOCAL})++", re.IGNORECASE)
+_BETWEEN = re.compile(r" at | dot |@", re.IGNORECASE)
 _AT_NAMES = {"at", "arobase", "arroba"}
 
 # Cheap signs, on a text in lower case, without which a step changes nothing.
@@ -72,9 +86,10 @@ _BRACKET_SIGN = re.compile(r"[\[({<] ?(?:at|dot|punkt|punto|point|arobase|arroba
 
 
 def _spelled_sign(lower: str) -> bool:
-    """Are there ``SPELLED`` names of digits in a row?"""
-    parts = lower.replace(",", " ").replace(".", " ").replace("-", " ").split()
-    return b"\1" * SPELLED in bytes(map(_NAME.__contains__, parts))
+    """Are there three names of digits or figures in a row, and a name at all?"""
+    parts = lower.replace(",", " ").replace(".", " ").replace("-", " ").replace("+", " ").split()
+    named = bytes(map(_NAME.__contains__, parts))
+    return 1 in named and b"\1\1\1" in bytes(map(or_, named, map(str.isdigit, parts)))
 
 
 def _plain_letters() -> dict[str, str]:
@@ -201,9 +216,46 @@ def _lookalikes(tape: Tape) -> Tape:
     return tape.rewrite([(*m.span(), _PLAIN[m[0]]) for m in _FOREIGN.finditer(tape.text)])
 
 
+def _digits(text: str, low: int, high: int) -> list[tuple[int, int, str]]:
+    """Edits that make digits of the names in a stretch; what separates names goes with the one after it."""
+    edits, last = [], None
+    for part in _FIGURES.finditer(text, low, high):
+        name = part[0].lower()
+        if name in _NAME or name == "plus":
+            edits.append((part.start() if last is None else last, part.end(), "+" if name == "plus" else _NAME[name]))
+            last = part.end()
+        else:  # a figure: what stands before it stays, unless it is the space after "plus"
+            if last is not None and edits[-1][2] == "+":
+                edits[-1] = (edits[-1][0], part.start(), "+")
+            last = None
+    return edits
+
+
+def _addresses(tape: Tape) -> Tape:
+    """IP addresses in four groups of figures or spelled digits, joined by dots of any form."""
+    edits = []
+    for m in _SPELLED_IP.finditer(tape.text):
+        before = tape.text[max(0, m.start() - 40) : m.start()]
+        if _LONGER.search(before) or not m[0][0].isdigit() and _LONGER_NAMES.search(before):
+            continue
+        low = m.start()
+        for joint in [*_JOINTS.finditer(tape.text, *m.span()), None]:
+            edits += _digits(tape.text, low, joint.start() if joint else m.end())
+            if joint:
+                edits += [(*joint.span(), ".")] if joint[0] != "." else []
+                low = joint.end()
+    return tape.rewrite(edits)
+
+
 def _spelled(tape: Tape) -> Tape:
     """Digits for spelled ones; what separates them goes with the digit after it."""
     edits = []
+    for row in _MIXED.finditer(tape.text):
+        figures = _FIGURES.findall(row[0])
+        if 9 <= sum(f.lower() != "plus" for f in figures) <= 15:
+            edits += _digits(tape.text, *row.span())
+    tape = tape.rewrite(edits)
+    edits = []
     for row in _ROW.finditer(tape.text):
         last = row.start()
         for part in _PART.finditer(tape.text, *row.span()):
@@ -213,14 +265,26 @@ def _spelled(tape: Tape) -> Tape:
 
 
 def _at_and_dot(tape: Tape) -> Tape:
-    tape = tape.rewrite(
-        [(*m.span(), "@" if m[1].lower() in _AT_NAMES else ".") for m in _BRACKETED.finditer(tape.text)]
-    )
-    edits = [
-        (*b.span(), "@" if b[1].lower() == "at" else ".")
-        for m in _WORDS.finditer(tape.text)
-        for b in _BETWEEN.finditer(tape.text, *m.span())
-    ]
+    text = tape.text
+    tape = tape.rewrite([(*m.span(), "@" if m[1].lower() in _AT_NAMES else ".") for m in _BRACKETED.finditer(text)])
+    edits = []
+    for chain in _CHAIN.finditer(tape.text):
+        joints = list(_BETWEEN.finditer(tape.text, *chain.span()))
+        dots = [j[0].lower() == " dot " for j in joints]
+        used = [False] * len(joints)
+        low = 0  # the first joint after the last at sign
+        for k, joint in enumerate(joints):
+            if dots[k]:
+                continue
+            end = k + 1
+            while end < len(joints) and dots[end]:
+                end += 1
+            domain = tape.text[joint.end() : joints[k + 1].start() if k + 1 < len(joints) else chain.end()]
+            # The word "at" needs a dot in its domain that was not typed.
+            if joint[0] == "@" or end > k + 1 or tape.source(joint.end(), joint.end() + len(domain))[2] and "." in domain:
+                used[low:end] = [True] * (end - low)
+            low = k + 1
+        edits += [(*j.span(), "." if dot else "@") for j, dot, u in zip(joints, dots, used) if u and j[0] != "@"]
     return tape.rewrite(edits)
 
 
@@ -230,9 +294,13 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
     if not text.isascii() and (_NEAR(text) or _FAR(text)):
         tape = _lookalikes(tape)
     lower = tape.text.lower()
-    if _spelled_sign(lower):
+    spelled = _spelled_sign(lower)
+    dotted = " dot " in lower or _BRACKET_SIGN(lower)
+    if spelled or dotted:
+        tape = _addresses(tape)
+    if spelled:
         tape = _spelled(tape)
-    if (" at " in lower and " dot " in lower) or _BRACKET_SIGN(lower):
+    if dotted:
         tape = _at_and_dot(tape)
     if tape.text == text:
         return {}

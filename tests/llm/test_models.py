@@ -146,6 +146,40 @@ def test_disguised(text, kind, found):
     assert {k: [text[a:b] for a, b in spans] for k, spans in added.items()} == {kind: [found]}
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("host 192 dot 168 dot 1 dot 1 is up", "ip", "192 dot 168 dot 1 dot 1"),
+        ("on 5, phone 192 dot 168 dot 1 dot 1 or", "ip", "192 dot 168 dot 1 dot 1"),
+        ("host one nine two dot one six eight dot one dot one.", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host 192.one six eight.1.1 and", "ip", "192.one six eight.1.1"),
+        ("host one zero [dot] 0 dot zero (dot) seven", "ip", "one zero [dot] 0 dot zero (dot) seven"),
+        ("call +49 one five one 2345678 now", "phone", "+49 one five one 2345678"),
+        ("call plus 49 151 two three 45678 now", "phone", "plus 49 151 two three 45678"),
+        ("mail joe@example dot com now", "email", "joe@example dot com"),
+        ("mail joe [at] example dot com now", "email", "joe [at] example dot com"),
+        ("mail joe at example [dot] com now", "email", "joe at example [dot] com"),
+        ("é joe dot smith at example dot com.", "email", "joe dot smith at example dot com"),
+        ("é joe dot smith [at] example (dot) com.", "email", "joe dot smith [at] example (dot) com"),
+    ],
+)
+def test_disguised_in_short_or_mixed_forms(text, kind, found):
+    added = pii.added_spans(text, pii.base_spans(text))
+    assert {k: [text[a:b] for a, b in spans] for k, spans in added.items()} == {kind: [found]}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I was at example.com today", "one dot two dot three", "1. 2. 3. 4", "section 1 dot 2", "plus one 20 30", "a dot b dot c",
+        "one two three four dot five", "see 192 dot 168 dot 1 dot 1 dot 7", "joe@example.com dot net", "999 dot 1 dot 1 dot 1",
+        "the dot " * 20_000, "a at b " * 20_000, "one " * 20_000 + "dot", "x dot @ dot y",
+    ],
+)
+def test_plain_dots_and_numbers_get_no_span(text):
+    assert pii.added_spans(text, pii.base_spans(text)) == {}
+
+
 @pytest.mark.parametrize("text", ["I was at home dot", "one two three words", "joe@example.com and 10.0.0.7", "a² + b² = c²", "at (dot) at", ""])
 def test_plain_text_gets_no_span(text):
     assert pii.added_spans(text, pii.base_spans(text)) == {}
