@@ -1,6 +1,7 @@
 """Corpus pipeline over the documents table: five stages, each written as Parquet and read again by the next.
 
-1. Language ID: documents without a letter, or without a language that has half of the posterior, go.
+1. Language ID: documents without a letter go, and those whose words have no sure language, whichever each word has. If no
+   row has a language to learn from, all documents with a letter stay.
 2. Line dedup: later occurrences of three-line passages are cut from the texts; a document with no word left goes.
 3. MinHash near-dedup: of each group of near-duplicates the document with the smallest id stays.
 4. Mixing: each document comes as often as the mix takes it, the last time perhaps in part; so ids may repeat or be absent.
@@ -18,14 +19,17 @@ from dosewise.llm import bpe, language, line_dedup, minhash, mixing
 from dosewise.llm.common import documents
 from dosewise.session import materialize
 
-#: Least share of a document's word posteriors that its language must have.
+#: Least mean, over a document's words, of the posterior of each word's best language.
 LEAST_SHARE = 0.5
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language the model is sure of."""
-    return language.labelled(docs, language.train(docs)).filter(
+    """The documents whose words' languages the model is sure of, a single one or several."""
+    model = language.train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike("\\p{L}"))
+    return language.labelled(docs, model, by_word=True).filter(
         (F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SHARE)
     ).select(*docs.columns)
 

@@ -266,7 +266,7 @@ def _labeller(model: Model) -> Labeller:
     return _OWN[key]
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, by_word: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         n = batch.num_rows
         names, scores = [UNKNOWN] * n, np.zeros(n)
@@ -276,7 +276,8 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             if len(filled):
                 sums = np.add.reduceat(post, starts[filled], axis=0)
                 best = sums.argmax(axis=1)
-                scores[filled] = np.minimum(1.0, sums[np.arange(len(filled)), best] / np.diff(starts)[filled])
+                most = np.add.reduceat(post.max(axis=1), starts[filled]) if by_word else sums[np.arange(len(filled)), best]
+                scores[filled] = np.minimum(1.0, most / np.diff(starts)[filled])
                 for i, y in zip(filled.tolist(), best.tolist()):
                     names[i] = model.languages[y]
         yield pa.RecordBatch.from_arrays(
@@ -308,10 +309,10 @@ def train(docs: DataFrame) -> Model | None:
     return fit([row for lang in taken.values() for row in lang])
 
 
-def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` with ``_lang_pred`` and ``_score``."""
+def labelled(docs: DataFrame, model: Model | None, by_word: bool = False) -> DataFrame:
+    """The rows of ``docs`` with ``_lang_pred`` and ``_score``; by word, the score is the mean of each word's greatest posterior."""
     schema = T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(partial(_predict, model=model), schema)
+    return docs.mapInArrow(partial(_predict, model=model, by_word=by_word), schema)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

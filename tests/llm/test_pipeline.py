@@ -146,3 +146,15 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), "empty")
     assert docs.count() == 0
+
+
+def test_language_stage_keeps_switching_and_unlabelled_texts(spark):
+    vocabulary = {"a": "der die das und nicht", "b": "the and of shall thing", "c": "el los por que donde", "d": "le des pour avec chez"}
+    rows = [(10 * n + i, f"{w} " * 6, lang, "s") for n, (lang, w) in enumerate(vocabulary.items()) for i in range(10)]
+    switching = " ".join(f"{w} {w}" for w in vocabulary.values())
+    rows += [(100, switching, None, "s"), (101, "12 ?!", "a", "s"), (102, None, "a", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {r[0] for r in rows} - {101, 102}
+    assert {r["doc_id"] for r in corpus_pipeline.in_a_language(spark, docs, SMALL).collect()} == want
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.in_a_language(spark, unlabelled, SMALL).collect()} == want
