@@ -3,7 +3,8 @@
 1. Language ID: documents without a letter go, and those whose words have no sure language, whichever each word has. If no
    row has a language to learn from, all documents with a letter stay.
 2. Line dedup: later occurrences of three-line passages are cut from the texts; a document with no word left goes.
-3. MinHash near-dedup: of each group of near-duplicates the document with the smallest id stays.
+3. MinHash near-dedup: of each group of near-duplicates the document with the smallest id stays. Rows of equal id and
+   different text are documents of their own; of those that are near-duplicates, the one with the smallest hash stays.
 4. Mixing: each document comes as often as the mix takes it, the last time perhaps in part; so ids may repeat or be absent.
 5. BPE: one row per document of the mix with its ids, and the text that they decode to.
 
@@ -46,8 +47,10 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near-duplicates, and those without an id."""
-    dropped = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    found = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    dropped = found.filter("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(dropped, "_key", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ Links are confirmed on the full shingle sets, never on signatures. No group is e
    several components, form a family. A family is dealt to blocks of about 1,024 documents; a task counts the common
    shingles of all pairs of two blocks and gives the edges of a spanning forest of their links, never the pairs.
 
-Nulls, empty texts and texts without words have an empty set and are linked with nothing. Repeated rows of one id are
-one document (the smallest text decides) and come out once per row. Extra columns do not matter. An empty table gives an
+Nulls, empty texts and texts without words have an empty set and are linked with nothing. Repeated rows of one id and
+text are one document and come out once per row. An id must not have several texts: components join its texts. Where it
+may, the id is to be a struct of id and text hash, as in the pipeline. Extra columns do not matter. An empty table gives an
 empty result.
 
 Hash width: two different shingles of a pair collide with probability below ``n**2 / 2**64``; the class fingerprint has

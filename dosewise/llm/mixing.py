@@ -201,15 +201,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, if there is such a column, is counted again.
     """
-    _, _, taken = mix(docs)
+    _, sources, taken = mix(docs)
     copies = taken.filter("from_word < to_word").groupBy("doc_id", "order", "size", "start", "source_no", "pass")
     copies = copies.agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"))
-    copies = copies.selectExpr(
-        "doc_id as _doc_id", "order as _place", "size as _size", "from_word as _from", "to_word as _to"
+    copies = copies.join(sources.select("source_no", F.col("source").alias("_source")), "source_no").selectExpr(
+        "_source", "doc_id as _doc_id", "order as _place", "size as _size", "from_word as _from", "to_word as _to"
     )
     rows = docs.withColumn("_order", F.xxhash64(F.lit(SEED), "doc_id", "text"))
     rows = rows.dropDuplicates(["doc_id", "source", "_order"])
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_order") == F.col("_place"))
+    same &= F.col("source").eqNullSafe(F.col("_source"))
     joined = rows.join(copies, same).select(*docs.columns, "_size", "_from", "_to")
     cut = joined.mapInArrow(_cut, joined.schema).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut

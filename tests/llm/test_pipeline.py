@@ -158,3 +158,25 @@ def test_language_stage_keeps_switching_and_unlabelled_texts(spark):
     assert {r["doc_id"] for r in corpus_pipeline.in_a_language(spark, docs, SMALL).collect()} == want
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["doc_id"] for r in corpus_pipeline.in_a_language(spark, unlabelled, SMALL).collect()} == want
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Of an id's texts only the near-duplicate one goes, be it an exact copy or not."""
+    text = lambda name, n=80: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(3, text("a")), (5, text("a")), (5, text("u")), (7, text("a") + " end"), (7, text("v")), (7, text("v"))]
+    rows += [(9, text("w")), (9, text("w") + " end"), (None, text("a")), (11, None), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, SMALL).collect()]
+    rest = [r for r in got if r[0] != 9]
+    assert sorted(map(str, rest)) == sorted(map(str, [rows[i] for i in (0, 2, 4, 5, 8, 9, 10)]))
+    assert len(got) == len(rest) + 1
+
+
+def test_mix_keeps_sources_apart(spark):
+    rows = [(1, "one two three", "a"), (1, "one two three", None), (2, "four five six", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = {}
+    for r in mixing.mixed_documents(docs).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    _, sources, _ = mixing.mix(docs)
+    assert words == {r["source"]: int(r["target"]) for r in sources.collect()}
