@@ -35,6 +35,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(start, end - start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in blocks whose texts hold about ``limit`` bytes, however small the batches are."""
+    held, size = [], 0
+    for part in slices(batches, text, limit):
+        more = pa.compute.sum(pa.compute.binary_length(part.column(text))).as_py() or 0
+        if held and size + more > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def raw_texts(batch: pa.RecordBatch, text: str) -> list[bytes | None]:
     """The texts as UTF-8 bytes, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(batch.schema.field(text).type) else pa.binary()

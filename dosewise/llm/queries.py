@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dosewise.llm import bpe, language, line_dedup, minhash, mixing, multi_index, pii, quality, simple8b, webp
+from dosewise.llm import bpe, language, line_dedup, minhash, mixing, multi_index, pii, quality, simple8b, token_counts, webp
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         pii.op8_disguised_pii,
         simple8b.op9_simple8b_tokens,
         mixing.op10_golden_ratio_mix,
+        token_counts.op11_pretoken_counts,
     )
 }
 ORACLE: dict[str, str] = {"op5_line_windows": line_dedup.OP5_SQL}
