@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,17 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterat
         yield pa.concat_batches(held)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**31 as compressed bytes, byte plane by byte plane."""
+    planes = values.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+
+
 def raw_texts(batch: pa.RecordBatch, text: str) -> list[bytes | None]:
     """The texts as UTF-8 bytes, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(batch.schema.field(text).type) else pa.binary()

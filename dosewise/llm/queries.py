@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from dosewise.llm import bpe, language, line_dedup, merkle, minhash, mixing, multi_index, pii, quality, simple8b, token_counts, webp
+from dosewise.llm import (
+    bpe,
+    collocations,
+    language,
+    line_dedup,
+    merkle,
+    minhash,
+    mixing,
+    multi_index,
+    pii,
+    quality,
+    simple8b,
+    token_counts,
+    webp,
+)
 
 QUERIES = {
     f.__name__: f
@@ -18,7 +32,12 @@ QUERIES = {
         simple8b.op9_simple8b_tokens,
         mixing.op10_golden_ratio_mix,
         token_counts.op11_pretoken_counts,
+        collocations.op12_suffix_collocations,
         merkle.op13_pointer_proofs,
     )
 }
-ORACLE: dict[str, str] = {"op5_line_windows": line_dedup.OP5_SQL, "op13_pointer_proofs": merkle.OP13_SQL}
+ORACLE: dict[str, str] = {
+    "op5_line_windows": line_dedup.OP5_SQL,
+    "op12_suffix_collocations": collocations.OP12_SQL,
+    "op13_pointer_proofs": merkle.OP13_SQL,
+}

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from dosewise.llm.bpe import byte_symbols
-from dosewise.llm.common import documents, gathered
+from dosewise.llm.common import documents, gathered, packed, unpacked
 from dosewise.llm.pool import Numbers
 from dosewise.session import materialize
 
@@ -153,22 +153,11 @@ class _Units(dict):
         return result
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed bytes, byte plane by byte plane."""
-    planes = values.astype("<i4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(planes.tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch], path: str, buckets: int) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch], path: str, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """One row per block: its documents, their pre-token frequencies, and the distinct pre-tokens by bucket."""
     pre = _pre_tokens(path)
     task = TaskContext.get().partitionId()
-    for at, batch in enumerate(gathered(batches, "text", BLOCK_BYTES)):
+    for at, batch in enumerate(gathered(batches, "text", block_bytes)):
         units = _Units(pre)
         texts = batch.column(1).to_pylist()
         found = [units.numbers(t) if t else np.empty(0, np.int64) for t in texts]
@@ -200,9 +189,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch], path: str, buckets: int) ->
                 pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), batch.column(0)),
                 pa.array([[len(t.encode()) if t else 0 for t in texts]], pa.list_(pa.int64())),
                 pa.array([literals.tolist()], pa.list_(pa.int64())),
-                pa.array([_packed(per_row)], pa.binary()),
-                pa.array([_packed(index)], pa.binary()),
-                pa.array([_packed(frequency)], pa.binary()),
+                pa.array([packed(per_row)], pa.binary()),
+                pa.array([packed(index)], pa.binary()),
+                pa.array([packed(frequency)], pa.binary()),
                 pa.array([chunks], pa.list_(pa.struct([("bucket", pa.int32()), ("tokens", pa.binary())]))),
             ],
             names=["block", "ids", "bytes", "literals", "per_row", "index", "frequency", "chunks"],
@@ -234,12 +223,12 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             cell = {name: batch.column(name)[row] for name in batch.schema.names}
             literals = np.array(cell["literals"].as_py(), np.int64)
-            per_row = _unpacked(cell["per_row"].as_py())
+            per_row = unpacked(cell["per_row"].as_py())
             pieces = np.frombuffer(b"".join(c["pieces"] for c in cell["counted"].as_py() or []), "<i4")
-            steps = _unpacked(cell["index"].as_py())
+            steps = unpacked(cell["index"].as_py())
             total = np.zeros(len(literals), np.int64)
             if len(steps):
-                weight = pieces[np.cumsum(steps)] * _unpacked(cell["frequency"].as_py())
+                weight = pieces[np.cumsum(steps)] * unpacked(cell["frequency"].as_py())
                 sums = np.concatenate([[0], np.cumsum(weight)])
                 ends = np.cumsum(per_row)
                 total = sums[ends] - sums[ends - per_row]
@@ -260,7 +249,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id: str = "doc_
         f"block long, ids array<{kind}>, bytes array<long>, literals array<long>, per_row binary, index binary, "
         "frequency binary, chunks array<struct<bucket: int, tokens: binary>>"
     )
-    blocks = materialize(docs.mapInArrow(partial(_frequencies, path=path, buckets=buckets), schema), "token-frequencies")
+    frequencies = partial(_frequencies, path=path, buckets=buckets, block_bytes=BLOCK_BYTES)
+    blocks = materialize(docs.mapInArrow(frequencies, schema), "token-frequencies")
     chunks = blocks.select("block", F.inline("chunks")).repartition("bucket").sortWithinPartitions("bucket")
     counted = chunks.mapInArrow(partial(_count_pieces, path=path), "block long, bucket int, pieces binary")
     back = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "pieces"))).alias("counted"))
