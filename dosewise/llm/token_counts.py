@@ -31,7 +31,7 @@ from dosewise.llm.common import documents, gathered, packed, unpacked
 from dosewise.llm.pool import Numbers
 from dosewise.session import materialize
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for each hash bucket of distinct pre-tokens, and the greatest number of buckets.
 BUCKET_BYTES, BUCKETS = 32 << 20, 4096
 #: Stands between pre-tokens; no UTF-8 text holds it.
@@ -134,7 +134,7 @@ class _Units(dict):
     def numbers(self, text: str) -> np.ndarray:
         """Numbers of the units of one text."""
         pieces = text.split(" ")
-        numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        numbers = np.fromiter(map(self.__getitem__, pieces), np.int32, len(pieces))
         is_open = np.fromiter(map(self.open.__getitem__, numbers.tolist()), bool, len(pieces))
         joined = np.flatnonzero(is_open)
         # The first unit has no space before it; an open piece is one unit with both its neighbours.
@@ -160,15 +160,18 @@ def _frequencies(batches: Iterator[pa.RecordBatch], path: str, buckets: int, blo
     for at, batch in enumerate(gathered(batches, "text", block_bytes)):
         units = _Units(pre)
         texts = batch.column(1).to_pylist()
-        found = [units.numbers(t) if t else np.empty(0, np.int64) for t in texts]
+        lengths = [len(t.encode()) if t else 0 for t in texts]
+        found = [units.numbers(t) if t else np.empty(0, np.int32) for t in texts]
+        del texts
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         unit = np.concatenate(found)
-        row = np.repeat(np.arange(len(found)), sizes)
-        ends = np.array(units.ends, np.int64)
-        flat = np.array(units.flat, np.int64)
+        row = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+        ends = np.array(units.ends, np.int32)
         counts = np.diff(ends)[unit]
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        token = flat[np.repeat(ends[unit], counts) + within]
+        place = np.repeat(ends[unit] - (np.cumsum(counts) - counts), counts)
+        place += np.arange(len(place))
+        token = np.array(units.flat, np.int32)[place]
+        del place
         literals = np.bincount(row, np.array(units.literals, np.int64)[unit], len(found)).astype(np.int64)
         # Distinct pre-tokens are numbered bucket by bucket, so counts that come back need no numbers with them.
         names = [token.encode() for token in units.tokens]
@@ -176,8 +179,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch], path: str, buckets: int, blo
         order = np.argsort(bucket, kind="stable")
         number = np.empty(len(names), np.int64)
         number[order] = np.arange(len(names))
-        width = max(1, len(names))
-        pair, frequency = np.unique(np.repeat(row, counts) * width + number[token], return_counts=True)
+        width = np.int64(max(1, len(names)))
+        pair = np.repeat(row, counts) * width
+        pair += number[token]
+        pair.sort()
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        frequency = np.diff(np.append(first, len(pair)))
+        pair = pair[first]
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         groups = np.split(order, cuts) if len(names) else []
         chunks = [{"bucket": int(bucket[g[0]]), "tokens": SEPARATOR.join([names[i] for i in g.tolist()])} for g in groups]
@@ -187,7 +195,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], path: str, buckets: int, blo
             [
                 pa.array([(task << 32) + at], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), batch.column(0)),
-                pa.array([[len(t.encode()) if t else 0 for t in texts]], pa.list_(pa.int64())),
+                pa.array([lengths], pa.list_(pa.int64())),
                 pa.array([literals.tolist()], pa.list_(pa.int64())),
                 pa.array([packed(per_row)], pa.binary()),
                 pa.array([packed(index)], pa.binary()),
