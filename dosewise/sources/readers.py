@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dosewise import schemas as S
 from dosewise.functions.text import first_non_empty, strip
+from dosewise.sources.split_json import split_documents
+
+
+#: Bytes up to which a document can be parsed as a variant.
+VARIANT_BYTES = 128 << 20
 
 
 def _is_json(doc: str) -> Column:
-    return F.try_parse_json(F.col(doc)).isNotNull()
+    """Whether a text is JSON, of any size: larger ones than a variant may have are only gone through."""
+    gone_through = F.json_array_length(doc).isNotNull() | F.json_object_keys(doc).isNotNull()
+    return F.try_parse_json(F.col(doc)).isNotNull() | ((F.octet_length(doc) > VARIANT_BYTES) & gone_through)
 
 
 def _is_blank(doc: str) -> Column:
@@ -19,31 +26,37 @@ def _is_blank(doc: str) -> Column:
 
 
 def rejected_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """The documents that are neither blank nor JSON, e.g. truncated files."""
+    """The documents, or parts of documents, that are neither blank nor JSON, e.g. truncated files."""
     return docs.filter(~_is_blank(doc) & ~_is_json(doc))
 
 
-def _checked(docs: DataFrame, doc: str, errors: str) -> DataFrame:
-    """The documents to parse. One that is no JSON raises an error, or is left to ``rejected_documents`` ("reject")."""
-    if errors == "reject":
-        return docs.filter(_is_json(doc))
-    if errors != "raise":
+def _checked(parsed: DataFrame, failed: Column, errors: str, doc: str = "_doc", out: str = "_parsed") -> DataFrame:
+    """The parsed documents. One that is no JSON raises an error, or is left to ``rejected_documents`` ("reject").
+
+    Only a document whose one parse has ``failed`` is looked at again: it may be JSON of another layout.
+    """
+    if errors not in ("raise", "reject"):
         raise ValueError("errors must be 'raise' or 'reject'")
-    failed = F.raise_error(F.concat(F.lit("not a JSON document: "), F.substring(doc, 1, 80)))
-    return docs.withColumn(doc, F.when(_is_blank(doc) | _is_json(doc), F.col(doc)).otherwise(failed))
+    broken = failed & ~_is_blank(doc) & ~_is_json(doc)
+    if errors == "reject":
+        return parsed.filter(~broken)
+    message = F.raise_error(F.concat(F.lit("not a JSON document: "), F.substring(doc, 1, 80)))
+    return parsed.withColumn(out, F.when(broken, message).otherwise(F.col(out)))
 
 
 def parse_scenarios(docs: DataFrame, doc: str = "doc", errors: str = "raise") -> DataFrame:
     """Scenario records of JSON documents that each hold an array of them."""
-    docs = _checked(docs, doc, errors)
+    parsed = docs.select(F.col(doc).alias("_doc"), F.from_json(F.col(doc), f"array<struct<{S.SCENARIO}>>").alias("_parsed"))
+    checked = _checked(parsed, F.col("_parsed").isNull(), errors)
     # The outer form of a generator has no inferred filter on its input, which would parse every document twice.
-    parsed = F.from_json(F.col(doc), f"array<struct<{S.SCENARIO}>>")
-    return docs.select(F.inline_outer(parsed)).filter(F.col("id").isNotNull())
+    return checked.select(F.inline_outer("_parsed")).filter(F.col("id").isNotNull())
 
 
-def read_scenarios(spark: SparkSession, path: str, lines: bool = False, errors: str = "raise") -> DataFrame:
-    """Scenario records of files holding a JSON array, or an array per line."""
-    return parse_scenarios(read_documents(spark, path, lines), errors=errors)
+def read_scenarios(
+    spark: SparkSession, path: str, lines: bool = False, errors: str = "raise", split: bool = False
+) -> DataFrame:
+    """Scenario records of files holding a JSON array, or an array per line, or a large array to be ``split``."""
+    return parse_scenarios(read_documents(spark, path, lines, split), errors=errors)
 
 
 def read_pair_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -90,9 +103,21 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     return lines.select("split", "_corrupt").filter(F.col("_corrupt").isNotNull())
 
 
-def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """JSON documents as text: one per file, or with ``lines`` one per line, so that no file has to fit one task."""
-    return spark.read.text(path, wholetext=not lines).withColumnRenamed("value", "doc")
+def read_documents(
+    spark: SparkSession, path: str, lines: bool = False, split: bool = False, wrapper: str | None = None
+) -> DataFrame:
+    """JSON documents as text: one per file, or with ``lines`` one per line.
+
+    With ``split`` a file's array or map comes as many documents of the same layout, with ``file``, ``part`` and the byte
+    ``offset`` of each, so that it need not fit one task; see ``split_documents``.
+    """
+    if split and lines:
+        raise ValueError("a file has either a document per line or one document to be split")
+    if split:
+        return split_documents(spark, path, wrapper)
+    texts = spark.read.text(path, wholetext=not lines)
+    marked = F.col("value").startswith("\ufeff")  # a byte order mark is no part of the document
+    return texts.select(F.when(marked, F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("doc"))
 
 
 def _all_experiments(run: Column) -> Column:
@@ -145,24 +170,34 @@ def flatten_runs(runs: DataFrame, model: str = "model_key", run: str = "run") ->
 
 def parse_model_map(docs: DataFrame, doc: str = "doc", errors: str = "raise") -> DataFrame:
     """``(model_key, run)`` rows of JSON documents holding a map by model, with or without a top key ``models``."""
-    docs = _checked(docs, doc, errors)
     wrapped = F.from_json(F.col(doc), f"models map<string,{S.RUN}>")["models"]
     plain = F.from_json(F.col(doc), f"map<string,{S.RUN}>")
-    return docs.select(F.explode_outer(F.coalesce(wrapped, plain)).alias("model_key", "run")).filter(
-        F.col("model_key").isNotNull()
-    )
+    # The text's beginning mostly tells the layout; only a wrapper behind other keys is found by a second parse.
+    begins = F.col(doc).rlike(r'\A\s*\{\s*"models"\s*:')
+    parsed = docs.select(F.col(doc).alias("_doc"), F.when(begins, F.coalesce(wrapped, plain)).otherwise(plain).alias("_parsed"))
+    hidden = F.map_contains_key("_parsed", F.lit("models"))
+    late = F.from_json(F.col("_doc"), f"models map<string,{S.RUN}>")["models"]
+    parsed = parsed.select("_doc", F.when(hidden, F.coalesce(late, "_parsed")).otherwise(F.col("_parsed")).alias("_parsed"))
+    checked = _checked(parsed, F.col("_parsed").isNull(), errors)
+    return checked.select(F.explode_outer("_parsed").alias("model_key", "run")).filter(F.col("model_key").isNotNull())
 
 
 def parse_single_run(docs: DataFrame, doc: str = "doc", errors: str = "raise") -> DataFrame:
     """``(model_key, run)`` rows of JSON documents that each hold one run."""
-    return _checked(docs, doc, errors).select(F.from_json(F.col(doc), S.RUN).alias("run")).select(
-        F.coalesce("run.model_key", "run.model").alias("model_key"), "run"
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    run = F.from_json(F.col(doc), S.RUN.removesuffix(">") + ",_corrupt:string>", options)
+    parsed = docs.select(F.col(doc).alias("_doc"), run.alias("_parsed"))
+    checked = _checked(parsed, F.col("_parsed._corrupt").isNotNull(), errors)
+    return checked.select(
+        F.coalesce("_parsed.model_key", "_parsed.model").alias("model_key"), F.col("_parsed").dropFields("_corrupt").alias("run")
     )
 
 
-def read_generations(spark: SparkSession, path: str, lines: bool = False, errors: str = "raise") -> DataFrame:
-    """Texts of files that map models to runs."""
-    return flatten_runs(parse_model_map(read_documents(spark, path, lines), errors=errors))
+def read_generations(
+    spark: SparkSession, path: str, lines: bool = False, errors: str = "raise", split: bool = False
+) -> DataFrame:
+    """Texts of files that map models to runs; with ``split`` each model's run is a task's work, not each file."""
+    return flatten_runs(parse_model_map(read_documents(spark, path, lines, split, "models"), errors=errors))
 
 
 def read_single_run(spark: SparkSession, path: str, lines: bool = False, errors: str = "raise") -> DataFrame:
@@ -187,13 +222,13 @@ def read_validation(spark: SparkSession, path: str, model: str) -> DataFrame:
 
 def parse_model_metrics(docs: DataFrame, doc: str = "doc", errors: str = "raise") -> DataFrame:
     """Metric rows of JSON documents that map models to maps of layers."""
-    docs = _checked(docs, doc, errors)
-    models = docs.select(F.explode_outer(F.from_json(F.col(doc), S.MODEL_METRICS)).alias("model", "v"))
+    parsed = docs.select(F.col(doc).alias("_doc"), F.from_json(F.col(doc), S.MODEL_METRICS).alias("_parsed"))
+    models = _checked(parsed, F.col("_parsed").isNull(), errors).select(F.explode_outer("_parsed").alias("model", "v"))
     return _layer_rows(models.filter(F.col("model").isNotNull()), F.col("v.layers"))
 
 
-def read_model_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return parse_model_metrics(read_documents(spark, path))
+def read_model_metrics(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
+    return parse_model_metrics(read_documents(spark, path, split=split))
 
 
 def merge_metrics(single: DataFrame, multi: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dosewise.functions import text as T
 from dosewise.operators import ablation as B, conditions as C, directions as D, splits as S
@@ -28,15 +28,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 # --- nested experiment documents ---
 
 
-def run_documents(spark, sf_dir, wrapped: bool, change=lambda doc: doc) -> DataFrame:
-    """One document per text: model -> run -> layer -> experiment -> condition -> two samples."""
+def run_struct() -> Column:
     condition = F.struct("alpha", F.array("text", "scenario").alias("samples"))
     experiment = F.struct("scenario", F.lit("t").alias("title"), F.array(condition).alias("conditions"))
-    run = F.struct(
+    return F.struct(
         F.col("model"),
         F.array(F.struct("layer", F.array(experiment).alias("experiments"))).alias("layer_results"),
     )
-    by_model = F.create_map(F.col("model"), run)
+
+
+def run_documents(spark, sf_dir, wrapped: bool, change=lambda doc: doc) -> DataFrame:
+    """One document per text: model -> run -> layer -> experiment -> condition -> two samples."""
+    by_model = F.create_map(F.col("model"), run_struct())
     doc = F.to_json(by_model)
     if wrapped:
         doc = F.when(F.col("sample") % 2 == 0, F.to_json(F.struct(by_model.alias("models")))).otherwise(doc)
@@ -341,6 +344,56 @@ def generation_files(spark, sf_dir):
     return flat(R.read_generations(spark, path, lines=True))
 
 
+def document_files(items: DataFrame, opens: str, closes: str, path: str) -> None:
+    """Files of one document each, with the ``item`` of up to 500 rows: a number of files that grows with the table."""
+    in_file = Window.partitionBy("file_no").orderBy("sample")
+    value = F.concat(
+        F.when(F.row_number().over(in_file) == 1, opens).otherwise(","),
+        "item",
+        F.when(F.lead("item").over(in_file).isNull(), closes).otherwise(""),
+    )
+    rows = items.withColumn("file_no", F.expr("sample div 500")).select("file_no", "sample", value.alias("value"))
+    rows.repartition("file_no").sortWithinPartitions("file_no", "sample").drop("sample").write.partitionBy("file_no").text(path)
+
+
+@query(
+    with_views("gen")
+    + """ SELECT model || sample AS model, layer, scenario, alpha, 0 AS sample, md5(text) AS text_md5 FROM gen
+    UNION ALL SELECT model || sample, layer, scenario, alpha, 1, md5(scenario) FROM gen"""
+)
+def split_generation_files(spark, sf_dir):
+    """Wrapped run documents of many models, each file dealt to tasks by its models."""
+    path = fresh_path(spark, "large-runs")
+    runs = v.generations(spark, sf_dir).withColumn("model", F.concat("model", F.col("sample").cast("string")))
+    document = F.to_json(F.create_map("model", run_struct()))
+    items = runs.select("sample", F.substring(document, F.lit(2), F.length(document) - 2).alias("item"))
+    document_files(items, '{"models": {', "}, \"note\": {}}", path)
+    return flat(R.read_generations(spark, path, split=True))
+
+
+@query(
+    """SELECT 's' || doc_id AS id, md5(text) AS description_md5, doc_id // 500 AS file_no, doc_id % 100 = 7 AS is_cut
+       FROM documents WHERE doc_id % 100 <> 7
+       UNION ALL SELECT NULL, NULL, doc_id // 500, true FROM documents WHERE doc_id % 100 = 7"""
+)
+def split_scenario_files(spark, sf_dir):
+    """Large scenario arrays with elements that are no JSON: the others are read, those are reported with their file."""
+    path = fresh_path(spark, "large-scenarios")
+    rows = v.scenarios(spark, sf_dir).withColumn("sample", F.substring("id", 2, 20).cast("bigint"))
+    item = F.to_json(F.struct("id", "title", "description", "objective"))
+    cut = F.when(F.col("sample") % 100 == 7, F.lit('{"id": "cut", "title": }')).otherwise(item)
+    document_files(rows.select("sample", cut.alias("item")), "[", "]", path)
+    parts = R.read_documents(spark, path, split=True).withColumn("file_no", F.regexp_extract("file", "file_no=([0-9]+)", 1).cast("bigint"))
+    good = R.parse_scenarios(parts, errors="reject").select(
+        "id", F.md5("description").alias("description_md5"), F.expr("cast(substring(id, 2) as bigint) div 500").alias("file_no"),
+        F.lit(False).alias("is_cut"),
+    )
+    none = F.lit(None).cast("string")
+    return good.unionByName(
+        R.rejected_documents(parts).select(none.alias("id"), none.alias("description_md5"), "file_no", F.lit(True).alias("is_cut"))
+    )
+
+
 @query("SELECT 's' || doc_id AS id, md5(text) AS description_md5 FROM documents")
 def scenario_files(spark, sf_dir):
     """Scenario arrays, one per line, through files."""
