@@ -60,8 +60,8 @@ def random_baseline(
         mixed = D.dimension_check(activations.filter(F.col("vec").isNotNull()), keys).filter("not uniform").first()
         if mixed is not None:
             raise ValueError(f"vectors of different dimensions in one group: {mixed.asDict()}")
-    scores = random_control.project_random(activations, n, dim, seed, [*keys, "label"], digits=digits)
-    summary = random_control.random_summary(random_control.random_metrics(scores, keys), keys)
+    trials = random_control.trial_metrics(activations, n, dim, keys, seed, digits=digits)
+    summary = random_control.random_summary(trials, keys)
     return random_control.compare_with_random(metrics, summary, keys)
 
 

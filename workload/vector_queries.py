@@ -338,9 +338,7 @@ RANDOM_SQL = (
 
 
 def random_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = v.test(spark, sf_dir)
-    scores = R.project_random(test, RANDOM_TRIALS, keep=[*v.GROUP, "label"], digits=v.DIGITS)
-    return R.random_metrics(scores, v.GROUP)
+    return R.trial_metrics(v.test(spark, sf_dir), RANDOM_TRIALS, keys=v.GROUP, digits=v.DIGITS)
 
 
 @query(
@@ -409,8 +407,7 @@ def random_mixed_dims(spark, sf_dir):
     """Random directions for models of different dimension: the vectors of one model are joined to themselves."""
     longer = F.when(F.col("model") == "m1", F.concat("vec", "vec")).otherwise(F.col("vec"))
     test = v.test(spark, sf_dir).withColumn("vec", longer)
-    scores = R.project_random(test, MIXED_TRIALS, keep=[*v.GROUP, "label"], digits=v.DIGITS)
-    return rounded(R.random_metrics(scores, v.GROUP).select(*v.GROUP, "trial", "auroc"))
+    return rounded(R.trial_metrics(test, MIXED_TRIALS, keys=v.GROUP, digits=v.DIGITS).drop("accuracy"))
 
 
 @query(
