@@ -2,39 +2,43 @@
 
 Rows are first reduced to distinct ``(group, value)`` pairs with counts, so a heavy tie is one row. The pairs are then
 cut into value ranges ("buckets") of about equal size; a window only ever sees one bucket of one group. What lies
-below a bucket is known from the bucket totals (at most ``buckets + 1`` rows per group) and enters the window as one
-extra row that sorts before all values. Any cut points give the same exact result; they only balance the work.
+below a bucket is known from the bucket totals (a row per bucket and group) and enters the window as one extra row that
+sorts before all values. The number of buckets follows the number of pairs, so they stay small however many there are. Any
+cut points give the same exact result; they only balance the work.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-BUCKETS = 1024
+#: Mean number of pairs in a value range, and how many sampled values lie in one: the more, the more even the ranges.
+RANGE_PAIRS, PER_RANGE = 16_384, 8
 
 
-def _cut_points(pairs: DataFrame, value: str, buckets: int) -> DataFrame:
-    """One row with a sorted sample of the values: the value of least hash in each of ``buckets`` hash slots.
+def _cut_points(pairs: DataFrame, value: str, range_pairs: int) -> DataFrame:
+    """One row with the sorted cut points and the steps of a binary search among them, for ranges of ``range_pairs`` on average.
 
-    The sample depends only on the data, so a recomputed partition sees the same cut points. Hashing every column
-    keeps the reduced rows identical to those of the main branch, whose exchange is then reused.
+    Values whose hash falls into one slot are the sample, so their number follows that of the pairs; every eighth is a cut
+    point, by which ranges of four times the mean are as good as excluded. The sample depends only on the data, so a
+    recomputed partition sees the same cut points. Hashing every column keeps the reduced rows identical to those of the
+    main branch, whose exchange is then reused.
     """
-    hashed = pairs.select(value, F.xxhash64(*pairs.columns).alias("_hash"))
-    return (
-        hashed.groupBy(F.pmod("_hash", F.lit(buckets)).alias("_slot"))
-        .agg(F.min_by(value, "_hash").alias("_cut"))
-        .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
+    slots = max(1, range_pairs // PER_RANGE)
+    sample = pairs.select(value, F.xxhash64(*pairs.columns).alias("_hash")).filter(F.pmod("_hash", F.lit(slots)) == 0)
+    cuts = sample.agg(F.array_sort(F.collect_list(value)).alias("_sample")).selectExpr(
+        f"filter(_sample, (v, i) -> i % {PER_RANGE} = {PER_RANGE - 1}) as points"
     )
+    steps = "if(size(points) = 0, array(), transform(sequence(cast(floor(log2(size(points))) as int), 0, -1), e -> shiftleft(1, e)))"
+    return cuts.select(F.struct("points", F.expr(steps).alias("steps")).alias("_cuts"))
 
 
-def _bucket_of(value: str, cuts: str, buckets: int) -> str:
+def _bucket_of(value: str, cuts: str) -> str:
     """Number of cut points below the value, by binary search."""
-    steps = ", ".join(str(2**e) for e in range(math.ceil(math.log2(buckets + 1)) - 1, -1, -1))
-    deeper = f"pos + step <= size({cuts}) and {cuts}[least(pos + step, size({cuts})) - 1] < `{value}`"
-    return f"aggregate(array({steps}), 0, (pos, step) -> if({deeper}, pos + step, pos))"
+    points = f"{cuts}.points"
+    deeper = f"pos + step <= size({points}) and {points}[least(pos + step, size({points})) - 1] < `{value}`"
+    return f"aggregate({cuts}.steps, 0, (pos, step) -> if({deeper}, pos + step, pos))"
 
 
 def rank_counts(
@@ -43,7 +47,7 @@ def rank_counts(
     value: str,
     counts: Mapping[str, str],
     sums: Mapping[str, str] | None = None,
-    buckets: int = BUCKETS,
+    range_pairs: int = RANGE_PAIRS,
 ) -> DataFrame:
     """Distinct ``(keys, value)`` rows with, for each count ``c``: ``c``, ``c_below`` and ``c_total`` of the group.
 
@@ -63,8 +67,8 @@ def rank_counts(
         .filter("_present > 0")
         .select(*keys, value, *names)
     )
-    placed = pairs.withColumn("_cuts", _cut_points(pairs, value, buckets).scalar()).selectExpr(
-        *keys, value, *names, f"{_bucket_of(value, '_cuts', buckets)} as _bucket"
+    placed = pairs.withColumn("_cuts", _cut_points(pairs, value, range_pairs).scalar()).selectExpr(
+        *keys, value, *names, f"{_bucket_of(value, '_cuts')} as _bucket"
     )
 
     by_key = ", ".join(f"`{k}`" for k in keys) or "1"

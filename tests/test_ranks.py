@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dosewise.operators.evaluation import best_layer, confusion, evaluate_scores, precision_recall, top_layers
+from dosewise.operators import ordering
 from dosewise.operators.ordering import average_ranks, exact_quantiles, rank_counts
 
 
@@ -34,9 +35,9 @@ def scores(spark, rows):
     return spark.createDataFrame(rows, "g string, label int, score double").repartition(5)
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 64, 1024])
-def test_counts_below_any_cut_points(scores, rows, buckets):
-    got = rank_counts(scores, ["g"], "score", {"n": "1", "pos": "label"}, buckets=buckets).collect()
+@pytest.mark.parametrize("pairs", [1, 8, 20, 100, 16384])
+def test_counts_below_any_cut_points(scores, rows, pairs):
+    got = rank_counts(scores, ["g"], "score", {"n": "1", "pos": "label"}, range_pairs=pairs).collect()
     for g in "abc":
         s = np.array([r[2] for r in rows if r[0] == g])
         y = np.array([r[1] for r in rows if r[0] == g])
@@ -140,3 +141,13 @@ def test_scores_are_evaluated_once(spark, scores, rows):
     counted = scores.withColumn("score", F.udf(touch, DoubleType())("score"))
     evaluate_scores(counted, ["g"]).collect()
     assert seen.value == len(rows)
+
+
+def test_ranges_follow_the_number_of_pairs(spark):
+    """A million pairs, a third of them in a narrow band: no range, and so no window, has more than 65,536."""
+    x = F.when(F.col("id") % 3 == 0, F.col("id") * 1e-12).otherwise(F.hash("id") * 1.0)
+    pairs = spark.range(1_000_000).select(F.lit("g").alias("g"), x.alias("score"), F.lit(1).alias("n"))
+    cuts = ordering._cut_points(pairs, "score", ordering.RANGE_PAIRS)
+    placed = pairs.withColumn("_cuts", cuts.scalar()).selectExpr(f"{ordering._bucket_of('score', '_cuts')} as b")
+    sizes = placed.groupBy("b").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    assert 40 <= sizes["n"] <= 90 and sizes["most"] <= 65_536
