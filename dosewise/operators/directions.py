@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dosewise.functions import vectors as V
-from dosewise.session import broadcast_vectors
+from dosewise.session import BROADCAST_LIMIT_BYTES, join_vectors
 
 FANOUT = 64
 
@@ -78,26 +78,33 @@ def project(
     vec: str = "vec",
     digits: int | None = None,
     keep: Sequence[str] = ("text_id", "label"),
+    limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Score of every vector on the direction of its group.
 
-    ``directions`` should be a stored table: it is measured and broadcast when small, otherwise joined by shuffle.
+    ``directions`` should be a stored table: it is measured and broadcast, in blocks of at most ``limit`` bytes.
     Groups without a direction are dropped by the inner join; a vector of another dimension raises an error. Only ``keys``, ``keep`` and ``score`` leave the operator.
     """
     usable = directions.filter(F.col("direction").isNotNull()).select(*keys, "direction")
     score: Column = V.same_size(F.col(vec), F.col("direction"), V.dot(F.col(vec), F.col("direction")))
     if digits is not None:
         score = F.round(score, digits)
-    return activations.join(broadcast_vectors(usable), list(keys)).select(*keys, *keep, score.alias("score"))
+    slim = activations.select(*dict.fromkeys([*keys, *keep, vec]))
+    return join_vectors(slim, usable, keys, limit=limit).select(*keys, *keep, score.alias("score"))
 
 
 def shift_vectors(
-    activations: DataFrame, directions: DataFrame, keys: Sequence[str], alpha: Column, vec: str = "vec"
+    activations: DataFrame,
+    directions: DataFrame,
+    keys: Sequence[str],
+    alpha: Column,
+    vec: str = "vec",
+    limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Vectors moved by ``alpha`` along the direction of their group."""
+    """Vectors moved by ``alpha`` along the direction of their group; directions are broadcast as in ``project``."""
     usable = directions.filter(F.col("direction").isNotNull()).select(*keys, "direction")
     return (
-        activations.join(broadcast_vectors(usable), list(keys))
+        join_vectors(activations, usable, keys, limit=limit)
         .withColumn("alpha", alpha.cast("double"))
         .withColumn(
             vec, V.same_size(F.col(vec), F.col("direction"), V.shift(F.col(vec), F.col("direction"), F.col("alpha")))

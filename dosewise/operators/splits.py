@@ -36,22 +36,22 @@ def hash_split(df: DataFrame, row_id: str, fraction: float = 0.7, seed: int = 42
     """Adds ``split``: exactly ``floor(fraction * n)`` rows of a seeded shuffle are train, the rest test.
 
     The shuffle position is a hash, so its cut-off value can be found by counting: first per leading hex digits (at
-    most ``16**digits`` counts), then, among the rows of the one group that holds the cut-off, per ``digits`` more, until
+    most ``16**digits`` counts, whose sum is the number of rows), then, among the rows of the one group that holds the cut-off, per ``digits`` more, until
     that group has at most ``WINDOW_COUNTS`` different keys. The rows themselves are never sorted or moved, and no
     window sees more counts than that. ``row_id`` must be unique; equal ids go to the same side.
     """
     key = shuffle_key(F.col(row_id), seed)
     keyed = df.select(key.alias("_key"))
-    running = Window.orderBy("_head")
+    running = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)
 
-    def located(counts: DataFrame, target) -> tuple[str, int, int] | None:
-        """Group that holds the cut-off, its rows, and how many of them are train."""
-        upto = F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, 0))
-        hit = counts.withColumn("_upto", upto).filter(F.col("_upto") > target).orderBy("_head").first()
-        return None if hit is None else (hit["_head"], hit["_n"], target - (hit["_upto"] - hit["_n"]))
+    def located(counts: DataFrame, target: int | None) -> tuple[str, int, int] | None:
+        """Group that holds the cut-off, its rows, and how many of them are train; a first target comes from the total."""
+        wanted = F.floor(F.lit(fraction) * F.sum("_n").over(Window.partitionBy())) if target is None else F.lit(target)
+        upto = counts.withColumns({"_upto": F.sum("_n").over(running), "_target": wanted})
+        hit = upto.filter(F.col("_upto") > F.col("_target")).orderBy("_head").first()
+        return None if hit is None else (hit["_head"], hit["_n"], hit["_target"] - (hit["_upto"] - hit["_n"]))
 
-    target = int(fraction * df.count())
-    head, rows, length = "", None, 0
+    head, rows, target, length = "", None, None, 0
     while True:
         length = min(32, length + digits)
         left = keyed.filter(F.col("_key").startswith(head)) if head else keyed
@@ -61,7 +61,7 @@ def hash_split(df: DataFrame, row_id: str, fraction: float = 0.7, seed: int = 42
             train = F.lit(True)
             break
         head, rows, target = found
-        if length == 32:
+        if length == 32 or target == 0:  # the whole group is test
             train = key < head
             break
         if rows <= WINDOW_COUNTS:

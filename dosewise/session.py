@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
+#: Most blocks in which a table of vectors is broadcast, and so most scans of the rows that it is joined with.
+BLOCKS = 16
 
 
 def build_session(
@@ -69,6 +73,32 @@ def broadcast_vectors(directions: DataFrame, vec: str = "direction", limit: int
     return F.broadcast(directions) if vectors_size(directions, vec) <= limit else directions
 
 
+def join_vectors(
+    rows: DataFrame, directions: DataFrame, keys: Sequence[str], vec: str = "direction", limit: int = BROADCAST_LIMIT_BYTES
+) -> DataFrame:
+    """``rows`` inner-joined with a stored table of one vector per group, without moving the rows.
+
+    A table above the limit is broadcast in blocks of groups, each measured to be below it, and each block meets the rows
+    of its groups in a scan of its own. Only beyond ``BLOCKS`` blocks, where one shuffle costs less than so many scans, or for
+    a single vector above the limit, is the rest joined by shuffle.
+    """
+    keys = list(keys)
+    if vectors_size(directions, vec) <= limit:
+        return rows.join(F.broadcast(directions), keys)
+    n, sizes = 1, {}
+    while n < BLOCKS and (not sizes or max(sizes.values()) > limit):
+        n *= 2
+        block = F.pmod(F.xxhash64(*keys), F.lit(n))
+        sizes = {r["b"]: r["n"] for r in directions.groupBy(block.alias("b")).agg((F.sum(F.size(vec)) * 8).alias("n")).collect()}
+    block = F.pmod(F.xxhash64(*keys), F.lit(n))
+    small = sorted(b for b, size in sizes.items() if size <= limit)
+    parts = [rows.filter(block == b).join(F.broadcast(directions.filter(block == b)), keys) for b in small]
+    large = sorted(set(sizes) - set(small))
+    if large:
+        parts.append(rows.filter(block.isin(large)).join(directions.filter(block.isin(large)), keys))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def broadcast_rows(stored: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """Hint a stored table of narrow rows for broadcast if its measured number of rows is below the limit, else leave it."""
     return F.broadcast(stored) if stored.count() <= limit else stored

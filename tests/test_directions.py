@@ -192,3 +192,23 @@ def test_models_of_different_dimension(spark):
     rows = [("a", 0, i, i % 2, [float(i), 1.0]) for i in range(6)] + [("b", 0, i, i % 2, [1.0, 2.0, float(i)]) for i in range(6)]
     scores = R.project_random(spark.createDataFrame(rows, SCHEMA), 4, keep=["model", "text_id"])
     assert {(r["model"], r["count"]) for r in scores.groupBy("model").count().collect()} == {("a", 24), ("b", 24)}
+
+
+def test_more_directions_than_the_limit_are_broadcast_in_blocks(spark, activations, monkeypatch):
+    """The vectors are not shuffled, whatever the directions' size; with too many blocks the rest is."""
+    rng = np.random.default_rng(4)
+    rows = [(m, int(x), i, i % 2, rng.normal(size=8).tolist()) for m in ("a", "b", None) for x in range(6) for i in range(9)]
+    many = spark.createDataFrame(rows, SCHEMA)
+    directions = A.fit_directions(many.filter("model is not null"), KEYS)
+    whole = sorted(map(str, D.project(many, directions, KEYS).collect()))
+    moved = sorted(map(str, D.shift_vectors(many, directions, KEYS, F.lit(2.0)).select(*KEYS, "text_id", "vec").collect()))
+    for limit in (400, 200):
+        part = D.project(many, directions, KEYS, limit=limit)
+        assert sorted(map(str, part.collect())) == whole and len(whole) == 108
+        shifted = D.shift_vectors(many, directions, KEYS, F.lit(2.0), limit=limit)
+        assert sorted(map(str, shifted.select(*KEYS, "text_id", "vec").collect())) == moved
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr("dosewise.session.BLOCKS", 2)
+    assert sorted(map(str, D.project(many, directions, KEYS, limit=200).collect())) == whole
+    assert sorted(map(str, D.project(many, directions, KEYS, limit=1).collect())) == whole

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dosewise.functions import rules, vectors as V
 from dosewise.operators import agreement, directions as D, evaluation as E, random_control as R
 from dosewise.plans import analyses as A
-from dosewise.session import broadcast_rows, materialize
+from dosewise.session import broadcast_rows, materialize, vectors_size
 from workload import views as v
 from workload.registry import AUROC_VIEWS, SCORE_VIEWS, query, r, rounded, with_views
 
@@ -167,6 +167,14 @@ def projection(spark, sf_dir):
     return rounded(test_scores(spark, sf_dir))
 
 
+@query(with_views(*SCORE_VIEWS) + f" SELECT model, layer, text_id, label, {r('score')} AS score FROM scores")
+def projection_blocks(spark, sf_dir):
+    """The projection with a limit that only three of the ten directions fit, so they are broadcast in blocks."""
+    directions = stored_directions(spark, sf_dir)
+    limit = vectors_size(directions) // 3
+    return rounded(D.project(v.test(spark, sf_dir), directions, v.GROUP, digits=v.DIGITS, limit=limit))
+
+
 @query(
     with_views(*SCORE_VIEWS)
     + f"""
