@@ -3,7 +3,8 @@
 Method. The distinct words of a slice of texts are laid out as one array of symbols with links to the left and right
 neighbour. An index maps the rank of every adjacent pair to all its positions. Active ranks are taken from a heap in
 ascending order; all positions of a rank are merged at once and only the lists of the pairs beside them are updated.
-A worker keeps the white-space-separated units it has encoded (up to ``CACHED_UNITS``, then it starts again), so each is merged once.
+A worker keeps the white-space-separated units it has encoded (up to ``CACHED_BYTES``, then it starts again; long ones are not
+kept), so each is merged once.
 
 The vocabulary is a public ``tokenizers`` file: NFC, lower case, words by a fixed pattern, bytes as symbols, an end-of-
 word mark. Its path is a parameter; it is read by the workers and never copied. The literals of its special tokens in a
@@ -21,19 +22,20 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
+from tokenizers import Tokenizer
 
 from dosewise.llm.common import slices
-from dosewise.llm.pool import UnitPool
+from dosewise.llm.pool import UnitPool, opened
 
 SLICE = 4 << 20
-CACHED_UNITS = 250_000
+CACHED_BYTES = 50 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -148,16 +150,15 @@ class Codec:
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
         self.decimals = [str(i) for i in range(len(self.tokens))]
         self.find = regex.compile(self.WORDS.replace("{L}", r"[\p{L}]").replace("{N}", r"[\p{N}]")).findall
-        # ``regex`` knows letters of a newer Unicode version; here a character unknown to Python is no letter or number.
-        unknown = "".join(c for c in map(chr, range(0x250, 0x110000)) if unicodedata.category(c) == "Cn")
-        newer = "".join(regex.findall(r"[\p{L}\p{N}]", unknown))
-        careful = self.WORDS.replace("{L}", rf"[\p{{L}}--[{newer}]]").replace("{N}", rf"[\p{{N}}--[{newer}]]")
-        self.find_carefully = regex.compile(careful).findall if newer else self.find
-        self.has_newer = regex.compile(f"[{newer}]").search if newer else None
         self.is_rare = regex.compile("[^\\x00-\u024f\u2010-\u2027]").search
+        # Python, ``regex`` and the library each know another version of Unicode; they agree on the characters that are not rare.
+        # Texts with others are normalised and cut by the library.
+        whole = Tokenizer.from_file(path)
+        self.normalise, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
+        self.bytes = {c: b for b, c in enumerate(byte_symbols())}
         self.special = special
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
-        self.pool = UnitPool(self._encode_units, CACHED_UNITS)
+        self.pool = UnitPool(self._encode_units, CACHED_BYTES)
         self.separators = regex.compile(r"\s+").split
         self.is_odd = re.compile("[\x1c-\x1f]").search  # white space for str.split, but not for the pattern
 
@@ -190,10 +191,10 @@ class Codec:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
-            # Lower case is taken letter by letter, so a final capital sigma has no form of its own.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if self.has_newer and self.is_rare(text) and self.has_newer(text):
-                return self.find_carefully(text.lower())
+            if self.is_rare(text):
+                cut = self.cut(self.normalise(text))
+                return [bytes(map(self.bytes.__getitem__, written)).decode() for written, _ in cut]
+            text = unicodedata.normalize("NFC", text)
         return self.find(text.lower())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,9 +209,8 @@ class Codec:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return opened(("bpe", path), lambda: Codec(path))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -5,10 +5,8 @@ word (lexicon), affixes of one to four characters, and character bigrams and tri
 transition matrix is learned with them. Forward-backward gives each word's posterior over the languages, so a text may
 switch between them; a text's language has the greatest sum of posteriors over its words, and the score is its share.
 
-Training. Sequences are lines, in parts of ``LINE`` words, of a sample of labelled rows: at most ``SAMPLE`` rows of each
-language, chosen by a hash of the id, and of a row at most ``LINES`` parts spread over the text. Every third part is
-joined to one of another language, so that transitions are learned from switches too. The likelihood with a quadratic
-penalty is climbed with Adam for a fixed number of steps.
+Training. Sequences are lines, in parts of ``LINE`` words, of a sample of labelled rows: of each language whole texts, in the
+order of a hash of id and text, until they have ``LEARNED`` words or are ``SAMPLE``. Every third part is joined to one of another language, so that transitions are learned from switches too. The likelihood with a quadratic penalty is climbed with Adam for a fixed number of steps.
 
 Scale. The model is fitted on the bounded sample and sent with the tasks (``BUCKETS`` x languages weights). Texts are
 labelled whole: long ones are cut into runs of ``RUN`` words, whose messages are joined exactly by the products of their
@@ -21,6 +19,7 @@ come out once per row; an empty table gives an empty result. Extra columns do no
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,17 +32,17 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dosewise.llm.common import slices
-from dosewise.llm.pool import Numbers
+from dosewise.llm.pool import Numbers, opened
 
 #: Hashed features.
 BUCKETS = 1 << 16
-#: Labelled rows of each language used for training, and parts of a row.
-SAMPLE, LINES, LINE = 200, 12, 40
+#: Labelled rows of each language used for training, words after which no further row is taken, and words of a sequence.
+SAMPLE, LEARNED, LINE = 200, 50_000, 40
 STEPS, RATE, PENALTY = 40, 0.1, 1e-5
 #: Of the ids, those whose checksum leaves 0 on division by this are held out.
 FOLDS = 5
 RUN = 64
-CACHED_WORDS = 150_000
+CACHED_BYTES = 40 << 20
 UNKNOWN = "und"
 
 _FIND = regex.compile(r"\p{L}[\p{L}\p{M}'’]*").findall
@@ -170,12 +169,12 @@ def _without_move(padded: np.ndarray, inside: np.ndarray, factors: np.ndarray) -
 
 
 def training_lines(text: str) -> list[list[str]]:
-    """Parts of a text's lines, at most ``LINES`` of them, spread over the text."""
+    """Parts of a text's lines."""
     parts = []
     for line in text.split("\n"):
         found = words(line)
         parts += [found[i : i + LINE] for i in range(0, len(found), LINE)]
-    return parts if len(parts) <= LINES else [parts[i * len(parts) // LINES] for i in range(LINES)]
+    return parts
 
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
@@ -236,17 +235,20 @@ class Labeller:
     def _clear(self) -> None:
         self.known = Numbers()
         self.factors = np.empty((0, len(self.model.languages)))
+        self.size = 0
 
     def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Posteriors of all words of all texts, and where each text starts, with the end as last entry."""
-        if len(self.known) > CACHED_WORDS:
+        if self.size > CACHED_BYTES:
             self._clear()
         found = [words(t) for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(f) for f in found])])
         word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(starts[-1]))
         if self.known.new:
-            self.factors = np.concatenate([self.factors, self.model.emissions(self.known.new)])
-            self.known.new = []
+            new, kept = self.known.taken()
+            factors = self.model.emissions(new)
+            self.factors = np.concatenate([self.factors, factors])
+            self.size += kept + factors.nbytes
         post = np.empty((int(starts[-1]), len(self.model.languages)))
         filled = np.flatnonzero(np.diff(starts))
         if len(filled):
@@ -254,16 +256,10 @@ class Labeller:
         return post, starts
 
 
-_OWN: dict[bytes, Labeller] = {}
-
-
 def _labeller(model: Model) -> Labeller:
-    """This worker's labeller of the model, kept between tasks; there is one at a time."""
-    key = model.weights.tobytes()[:4096] + model.moves.tobytes()
-    if key not in _OWN:
-        _OWN.clear()
-        _OWN[key] = Labeller(model)
-    return _OWN[key]
+    """This worker's labeller of the model, kept between tasks."""
+    digest = hashlib.sha256(model.weights.tobytes() + model.moves.tobytes()).digest()
+    return opened(("language", digest), lambda: Labeller(model))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, by_word: bool = False) -> Iterator[pa.RecordBatch]:
@@ -296,16 +292,19 @@ def train(docs: DataFrame) -> Model | None:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    # A share of each language's rows, a little above SAMPLE rows, by a hash of the id; then cut to SAMPLE.
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * SAMPLE / n))])
-    place = F.xxhash64(F.lit(7), "doc_id")
-    chosen = rows.filter(F.pmod(place, F.lit(1_000_000)) < 1_000_000 * shares[F.col("lang")])
-    found = chosen.select("lang", "text", place.alias("place"), "doc_id").collect()
-    found.sort(key=lambda r: (r["place"], r["doc_id"], r["text"]))
+    # A share of each language's rows, a little above SAMPLE rows, by a hash; repeated rows are one. Then as many as wanted.
+    ends = [(lang, int(-(2**63) + min(1.0, 1.5 * SAMPLE / n) * (2**64 - 1))) for lang, n in counts.items()]
+    shares = F.create_map(*[F.lit(x) for lang, end in ends for x in (lang, min(end, 2**63 - 1))])
+    place = F.xxhash64(F.lit(7), "doc_id", "text")
+    chosen = rows.select("lang", "text", place.alias("place")).filter(F.col("place") <= shares[F.col("lang")])
+    found = chosen.groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: (r["place"], r["text"]))
     taken: dict[str, list[tuple[str, str]]] = {lang: [] for lang in sorted(counts)}
+    learned = dict.fromkeys(taken, 0)
     for r in found:
-        if len(taken[r["lang"]]) < SAMPLE:
+        if len(taken[r["lang"]]) < SAMPLE and learned[r["lang"]] < LEARNED:
             taken[r["lang"]].append((r["text"], r["lang"]))
+            learned[r["lang"]] += len(words(r["text"]))
     return fit([row for lang in taken.values() for row in lang])
 
 

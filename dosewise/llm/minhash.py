@@ -27,7 +27,6 @@ Hash width: two different shingles of a pair collide with probability below ``n*
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dosewise.llm.common import connected, raw_texts, slices, words
 from dosewise.llm.multi_index import forest
+from dosewise.llm.pool import opened
 from dosewise.session import materialize
 
 WORDS_PER_SHINGLE = 5
@@ -76,9 +76,12 @@ def shingle_hashes(text: bytes | None) -> np.ndarray:
     return np.unique(out)
 
 
-@lru_cache(maxsize=1)
 def _circle() -> np.ndarray:
     """The second permutation, continued past its end by as many positions as there are shifts."""
+    return opened("minhash", _permuted)
+
+
+def _permuted() -> np.ndarray:
     order = np.random.Generator(np.random.PCG64(20_24)).permutation(POSITIONS).astype(np.int32)
     return np.concatenate([order, order[:COORDINATES]])
 

@@ -24,7 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dosewise.llm.common import slices
-from dosewise.llm.pool import UnitPool
+from dosewise.llm.pool import UnitPool, opened
 from dosewise.session import materialize, scratch_dir
 
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -42,7 +42,7 @@ ESCAPE = 0
 BLOCK = 65_536
 MAGIC = b"S8B1"
 END_ID = 0
-CACHED_UNITS = 600_000
+CACHED_BYTES = 120 << 20
 #: Units of one text given to the library.
 CHUNK = 50_000
 #: A space in the vocabulary's tokens (fixed value of its format).
@@ -213,7 +213,7 @@ class LibraryIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pool = UnitPool(self._library, CACHED_UNITS)
+        self.pool = UnitPool(self._library, CACHED_BYTES)
         self.is_odd = re.compile(r" [\s\x1c-\x1f\x85]").search
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(tokens.values()) + 1, bool)
@@ -261,9 +261,8 @@ class LibraryIds:
         return self.pool.lookup([self._units(t) for t in texts])
 
 
-@lru_cache(maxsize=2)
 def library(path: str) -> LibraryIds:
-    return LibraryIds(path)
+    return opened(("simple8b", path), lambda: LibraryIds(path))
 
 
 def _open(folder: str):

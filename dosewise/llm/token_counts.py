@@ -19,7 +19,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dosewise.llm.bpe import byte_symbols
 from dosewise.llm.common import documents, gathered, packed, unpacked
-from dosewise.llm.pool import Numbers
+from dosewise.llm.pool import Numbers, opened
 from dosewise.session import materialize
 
 BLOCK_BYTES = 8 << 20
@@ -99,9 +99,8 @@ class PreTokens:
         return np.fromiter(map(len, encoded), np.int32, len(tokens))
 
 
-@lru_cache(maxsize=1)
 def _pre_tokens(path: str) -> PreTokens:
-    return PreTokens(path)
+    return opened(("token_counts", path), lambda: PreTokens(path))
 
 
 class _Units(dict):

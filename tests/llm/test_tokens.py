@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from dosewise.llm import bpe, simple8b
+from dosewise.llm import bpe, pool, simple8b
 from dosewise.session import scratch_dir
 
 ODD = [
@@ -34,10 +34,34 @@ def test_bpe_equals_library():
         assert got == want and own.decode(got) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_equals_library_on_every_code_point():
+    """Alone between letters, and after a capital and a mark, in both of Unicode's lower planes and the last ones in use."""
+    own, library = bpe.Codec(bpe.default_vocabulary()), Tokenizer.from_file(bpe.default_vocabulary())
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)]]
+    for start in range(0, len(points), 20_000):
+        texts = [f"a{c}b É{c}\u0301 {c}" for c in points[start : start + 20_000]]
+        ids, starts = own.encode(texts)
+        for k, e in enumerate(library.encode_batch_fast(texts, add_special_tokens=False)):
+            assert ids[starts[k] : starts[k + 1]].tolist() == e.ids, ascii(texts[k])
+
+
+def test_pool_is_bounded_in_bytes():
+    """Long units are forgotten, and the store starts again; opening one store drops another."""
+    found = pool.UnitPool(lambda units: (np.arange(len(units), dtype=np.int32), np.arange(len(units) + 1)), 100_000)
+    for i in range(200):
+        ids, starts = found.lookup([[f"{i} " * 2000, "short", f"u{i}"], [], ["short"]])
+        assert starts.tolist() == [0, 3, 3, 4] and ids[1] == ids[3]
+        assert all(len(u) <= pool.LONG for u in found.known) and found.size <= 101_000
+    first = pool.opened("a", list)
+    assert pool.opened("a", list) is first
+    pool.opened("b", list)
+    assert list(pool._OPEN) == ["b"] and pool.opened("a", list) is not first
+
+
 def test_bpe_is_the_same_after_the_cache_starts_again(monkeypatch):
     own = bpe.Codec(bpe.default_vocabulary())
     first = own.encode(ODD)
-    own.pool.limit = 0
+    own.pool.limit = -1
     again = own.encode(ODD)
     assert (first[0] == again[0]).all() and (first[1] == again[1]).all()
 
