@@ -24,6 +24,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into row ranges whose texts hold about ``limit`` bytes; a longer text is a range of its own."""
     for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from dosewise.llm.common import slices
+from dosewise.llm.common import free, slices
 from dosewise.llm.pool import Numbers, opened
 
 #: Hashed features.
@@ -262,7 +262,9 @@ def _labeller(model: Model) -> Labeller:
     return opened(("language", digest), lambda: Labeller(model))
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, by_word: bool = False) -> Iterator[pa.RecordBatch]:
+def _predict(
+    batches: Iterator[pa.RecordBatch], model: Model | None, by_word: bool = False, added: tuple[str, str] = ("_lang_pred", "_score")
+) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         n = batch.num_rows
         names, scores = [UNKNOWN] * n, np.zeros(n)
@@ -278,7 +280,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, by_word: bo
                     names[i] = model.languages[y]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(names, pa.string()), pa.array(scores)],
-            names=[*batch.schema.names, "_lang_pred", "_score"],
+            names=[*batch.schema.names, *added],
         )
 
 
@@ -309,9 +311,13 @@ def train(docs: DataFrame) -> Model | None:
 
 
 def labelled(docs: DataFrame, model: Model | None, by_word: bool = False) -> DataFrame:
-    """The rows of ``docs`` with ``_lang_pred`` and ``_score``; by word, the score is the mean of each word's greatest posterior."""
-    schema = T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(partial(_predict, model=model, by_word=by_word), schema)
+    """The rows of ``docs`` with ``_lang_pred`` and ``_score`` as the last columns, with underscores more if there are such.
+
+    By word, the score is the mean of each word's greatest posterior.
+    """
+    added = (free("_lang_pred", docs.columns), free("_score", docs.columns))
+    schema = T.StructType([*docs.schema, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
+    return docs.mapInArrow(partial(_predict, model=model, by_word=by_word, added=added), schema)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -9,13 +9,15 @@ never covered by a later occurrence. Windows without any word (blank lines) are
 
 A null text stays null; texts of fewer than three lines are unchanged. Rows of equal id and text are one document and
 treated alike; rows of equal id and different text are different documents. A null id sorts first. An empty table gives
-an empty result. Other columns are kept. Lines end at a line feed only.
+an empty result. Other columns are kept, whatever their names: if one is called as a count here, the count gets an underscore
+more. Lines end at a line feed only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from dosewise.llm.common import free
 from dosewise.session import materialize
 
 WINDOW = 3
@@ -23,10 +25,6 @@ KEY = ["_id", "_hash"]
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text")})
-
-
 def _windows(docs: DataFrame) -> DataFrame:
     """``(_id, _hash, at, h1, h2)``: each window with a word in it, at its first line (from 0)."""
     lines = docs.select(*KEY, F.split("text", "\n").alias("lines"))
@@ -51,21 +49,28 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return starts.selectExpr(*KEY, f"array_distinct(flatten({steps})) as covered")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with later occurrences cut from ``text``, and with ``_lines`` and ``_removed`` counted."""
-    keyed = _keyed(docs)
+def cut_lines(docs: DataFrame) -> DataFrame:
+    """``(row, text, n_lines, n_removed)``: each row of ``docs`` as it was, and its text without later occurrences."""
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     covered = covered_lines(keyed.select(*KEY, "text")).withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"})
     same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
     marked = keyed.join(covered, same, "left").withColumn("_split", F.split("text", "\n"))
     kept = "transform(array_except(sequence(0, size(_split) - 1), covered), i -> _split[i])"
     return marked.select(
-        *[c for c in docs.columns if c != "text"],
+        "row",
         F.expr(f"if(covered is null, text, array_join({kept}, '\\n'))").alias("text"),
-        F.expr("if(text is null, 0, size(_split))").cast("bigint").alias("_lines"),
-        F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("_removed"),
+        F.expr("if(text is null, 0, size(_split))").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with later occurrences cut from ``text``, and with ``_lines`` and ``_removed`` counted."""
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"]
+    counts = [F.col(f"n{name}").alias(free(name, docs.columns)) for name in ("_lines", "_removed")]
+    return cut_lines(docs).select(*others, "text", *counts)
+
+
 def op5_line_windows(spark, sf_dir: str) -> DataFrame:
     """All documents without repeated passages, with the number of lines before and of lines removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -180,52 +181,63 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sizes, sources, spans(laid_out(sizes, sources), schedule(sources))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words ``from_word`` to ``to_word`` of each text; a whole text keeps its white space."""
+def _cut(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The words ``_from`` to ``_to`` of each text; a whole text keeps its white space."""
     import re
 
     word = re.compile("[^\x20\x09-\x0d]+")
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, text):
         out = []
-        for text, size, low, high in zip(*(batch.column(c).to_pylist() for c in ("text", "_size", "_from", "_to"))):
+        for whole, size, low, high in zip(*(batch.column(c).to_pylist() for c in (text, "_size", "_from", "_to"))):
             if high - low < size:
-                places = [m.span() for m in word.finditer(text)]
-                text = text[places[low][0] : places[high - 1][1]]
-            out.append(text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(out, pa.string()))
+                places = [m.span() for m in word.finditer(whole)]
+                whole = whole[places[low][0] : places[high - 1][1]]
+            out.append(whole)
+        at = batch.schema.get_field_index(text)
+        yield batch.set_column(at, text, pa.array(out, pa.string()))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents with the columns of ``docs``: each as often as it is taken, the last time perhaps in part.
 
-    ``n_chars``, if there is such a column, is counted again.
+    The rows come in the order of the schedule: a document stands where its first block has its slot, so the sources of any
+    stretch of rows are mixed as the schedule mixes them. ``n_chars``, if there is such a column, is counted again.
     """
     _, sources, taken = mix(docs)
     copies = taken.filter("from_word < to_word").groupBy("doc_id", "order", "size", "start", "source_no", "pass")
-    copies = copies.agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"))
+    copies = copies.agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"), F.min("slot").alias("slot"))
     copies = copies.join(sources.select("source_no", F.col("source").alias("_source")), "source_no").selectExpr(
-        "_source", "doc_id as _doc_id", "order as _place", "size as _size", "from_word as _from", "to_word as _to"
+        "_source", "doc_id as _doc_id", "order as _place", "size as _size", "from_word as _from", "to_word as _to", "slot as _slot"
     )
-    rows = docs.withColumn("_order", F.xxhash64(F.lit(SEED), "doc_id", "text"))
-    rows = rows.dropDuplicates(["doc_id", "source", "_order"])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_order") == F.col("_place"))
-    same &= F.col("source").eqNullSafe(F.col("_source"))
-    joined = rows.join(copies, same).select(*docs.columns, "_size", "_from", "_to")
-    cut = joined.mapInArrow(_cut, joined.schema).select(*docs.columns)
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
+    # The caller's columns go under names that none of these has.
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    doc_id, text, source = inner["doc_id"], inner["text"], inner["source"]
+    rows = docs.toDF(*inner.values()).withColumn("_order", F.xxhash64(F.lit(SEED), doc_id, text))
+    rows = rows.dropDuplicates([doc_id, source, "_order"])
+    same = F.col(doc_id).eqNullSafe(F.col("_doc_id")) & (F.col("_order") == F.col("_place"))
+    same &= F.col(source).eqNullSafe(F.col("_source"))
+    joined = rows.join(copies, same).select(*inner.values(), "_size", "_from", "_to", "_slot")
+    # Slots are numbers without gaps, so equal stretches of them are equal partitions.
+    slots = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.expr(f"cast(_slot div {max(1, -(-slots // parts))} as int)")
+    ordered = joined.repartitionById(parts, stretch).sortWithinPartitions("_slot", "_from", doc_id)
+    cut = ordered.mapInArrow(partial(_cut, text=text), ordered.schema).select(*inner.values())
+    if "n_chars" in inner:
+        cut = cut.withColumn(inner["n_chars"], F.length(text).cast("bigint"))
+    return cut.toDF(*docs.columns)
 
 
 def op10_golden_ratio_mix(spark, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document, and the first slot of the schedule that takes some."""
     sizes, sources, taken = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     words = F.coalesce(F.sum(F.greatest(F.col("to_word") - F.col("from_word"), F.lit(0))), F.lit(0))
-    with_words = taken.groupBy("doc_id", "size", "source_no", "start").agg(words.alias("taken"))
-    with_words = with_words.select("doc_id", "size", "source_no", "taken")
+    with_words = taken.groupBy("doc_id", "size", "source_no", "start").agg(words.alias("taken"), F.min("slot").alias("first_slot"))
+    with_words = with_words.select("doc_id", "size", "source_no", "taken", "first_slot")
     without = sizes.filter("size = 0").join(
         sources.select(F.col("source").alias("_source"), "source_no"), F.col("source").eqNullSafe(F.col("_source"))
     )
-    rows = with_words.unionAll(without.selectExpr("doc_id", "size", "source_no", "0L"))
+    rows = with_words.unionAll(without.selectExpr("doc_id", "size", "source_no", "0L", "cast(null as bigint)"))
     return rows.join(sources.select("source_no", "source_size", "target"), "source_no").select(
-        "doc_id", "size", "source_size", "target", "taken"
+        "doc_id", "size", "source_size", "target", "taken", "first_slot"
     )

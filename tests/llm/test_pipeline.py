@@ -91,7 +91,7 @@ def test_golden_step(n):
 
 def test_every_operator_has_a_query():
     registered = entry_points.queries()
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(registered) and set(ORACLE) <= set(QUERIES)
 
 
@@ -180,3 +180,31 @@ def test_mix_keeps_sources_apart(spark):
         words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
     _, sources, _ = mixing.mix(docs)
     assert words == {r["source"]: int(r["target"]) for r in sources.collect()}
+
+
+NAMES = """covered _lines _removed _id _hash _id2 _hash2 _split row n_lines n_removed lines at passage h1 h2 _size _source _doc_id _place
+    _order _from _to _slot c0 c1 slot start size pass block order source_no _score _lang_pred __score _key __key n_tokens""".split()
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """All names that a stage uses inside, and more, as the caller's own columns: with the same rows as without them."""
+    text = "the and of to in that is was for\nline b of it\nline c of it\nline d of it"
+    rows = [(i, f"{text} {i}\nthe and of {i} it is", "en", f"s{i % 2}", 5) for i in range(30)] + [(30, "la de que el en y a los", "es", "s1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in NAMES if n != "n_tokens"])
+    plain, full = stage(spark, docs, ""), stage(spark, extra, "")
+    key = lambda r: str((r["doc_id"], r["text"]))
+    assert sorted(map(key, plain.collect())) == sorted(map(key, full.collect()))
+    for r in full.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in NAMES if n != "n_tokens")
+
+
+def test_mixed_rows_come_in_the_order_of_the_schedule(spark):
+    """Files of the mix, read in order, hold each source in every stretch as often as its target says."""
+    docs = spark.createDataFrame([(i, f"{i} " + "w " * 1100, f"s{i % 4}") for i in range(400)], "doc_id long, text string, source string")
+    mixed = mixing.mixed_documents(docs).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    order = [r["source"] for r in mixed]
+    share = {s: order.count(s) / len(order) for s in set(order)}
+    worst = max(abs(order[a : a + 100].count(s) - 100 * p) for s, p in share.items() for a in range(0, len(order) - 100, 100))
+    assert worst <= 12
