@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosewise.llm import bpe, language, line_dedup, minhash, mixing
-from dosewise.llm.common import documents
+from dosewise.llm.common import documents, free
 from dosewise.session import materialize
 
 #: Least mean, over a document's words, of the posterior of each word's best language.
@@ -30,31 +30,33 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = language.train(docs)
     if model is None:
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    return language.labelled(docs, model, by_word=True).filter(
-        (F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SHARE)
-    ).select(*docs.columns)
+    found = language.labelled(docs, model, by_word=True)
+    predicted, score = found.columns[-2:]
+    sure = (F.col(f"`{predicted}`") != language.UNKNOWN) & (F.col(f"`{score}`") >= LEAST_SHARE)
+    return found.filter(sure).drop(predicted, score)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without later occurrences of passages; ``n_chars``, if present, is counted again."""
-    cut = line_dedup.dedup_lines(docs)
-    cut = cut.filter((F.col("_removed") == 0) | F.col("text").rlike(_WORD))
-    if "n_chars" in docs.columns:
+    cut = line_dedup.cut_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
+    values = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in values:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.col("_removed") > 0, changed).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        values["n_chars"] = F.when(F.col("n_removed") > 0, changed).otherwise(values["n_chars"])
+    return cut.select(*[value.alias(c) for c, value in values.items()])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near-duplicates, and those without an id."""
     key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
     found = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
-    dropped = found.filter("not kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(dropped, "_key", "left_anti").select(*docs.columns)
+    name = free("_key", docs.columns)
+    dropped = found.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(dropped, name, "left_anti").drop(name)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of sources takes them."""
+    """The documents as often as the mix of sources takes them, in the order of its schedule."""
     return mixing.mixed_documents(docs)
 
 
