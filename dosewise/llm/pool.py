@@ -33,21 +33,23 @@ class Numbers(dict):
 
     def __init__(self) -> None:
         self.new: list[str] = []
-        self.next = 0
 
     def __missing__(self, unit: str) -> int:
-        self[unit] = number = self.next
-        self.next += 1
+        self[unit] = number = len(self)
         self.new.append(unit)
         return number
 
     def taken(self) -> tuple[list[str], int]:
         """The new units, of which the long ones are forgotten again, and the bytes that keeping the others takes."""
         new, self.new = self.new, []
-        long = [u for u in new if len(u) > LONG]
-        for unit in long:
-            del self[unit]
-        return new, UNIT_BYTES * (len(new) - len(long)) + sum(map(len, new)) - sum(map(len, long))
+        sizes = list(map(len, new))
+        kept = UNIT_BYTES * len(new) + sum(sizes)
+        if max(sizes, default=0) > LONG:
+            for unit in (u for u, size in zip(new, sizes) if size > LONG):
+                number = self.pop(unit)
+                self[number] = number  # the place stays taken, so later numbers do not change
+                kept -= len(unit)
+        return new, kept
 
 
 class UnitPool:

@@ -42,7 +42,7 @@ ESCAPE = 0
 BLOCK = 65_536
 MAGIC = b"S8B1"
 END_ID = 0
-CACHED_BYTES = 120 << 20
+CACHED_BYTES = 150 << 20
 #: Units of one text given to the library.
 CHUNK = 50_000
 #: A space in the vocabulary's tokens (fixed value of its format).
