@@ -15,13 +15,13 @@ from dosewise.llm import (
     quality,
     simple8b,
     token_counts,
-    webp,
+    webp_media,
 )
 
 QUERIES = {
     f.__name__: f
     for f in (
-        webp.op1_lossless_webp,
+        webp_media.op1_lossless_webp,
         minhash.op2_circulant_minhash,
         bpe.op3_pair_index_bpe,
         line_dedup.op5_line_windows,
