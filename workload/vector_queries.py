@@ -578,19 +578,20 @@ def prf(spark, sf_dir):
     + RANKED_SQL
     + ", cc AS (SELECT model, layer, count(*) AS n, corr(score, true_score) AS pearson FROM rated GROUP BY ALL)"
     + P_SQL
-    + ", rho AS (SELECT model, layer, corr(rx, ry) AS spearman FROM rr GROUP BY ALL)"
+    + ", rho AS (SELECT model, layer, count(*) AS n, corr(rx, ry) AS pearson FROM rr GROUP BY ALL)"
+    + P_SQL.replace("tt", "tr").replace("pp", "pr").replace("FROM cc", "FROM rho")
     + EXTREMES
     + BINARISED.replace("sub ", "sub2 ").replace("med ", "med2 ").replace("cm ", "cm2 ")
     .replace("FROM sub GROUP", "FROM sub2 GROUP").replace("FROM sub JOIN", "FROM sub2 JOIN")
     + f"""
-    SELECT model, layer, n, {r('pearson')} AS pearson, {r('spearman')} AS spearman,
+    SELECT model, layer, pp.n, {r('pp.pearson')} AS pearson, {r('pr.pearson')} AS spearman,
            {r('(cm.tp + cm.tn) / (cm.tp + cm.tn + cm.fp + cm.fn)')} AS accuracy_extremes,
            {r('(cm2.tp + cm2.tn) / (cm2.tp + cm2.tn + cm2.fp + cm2.fn)')} AS accuracy_binarised,
-           {r('p')} AS pearson_p, abs(pearson) >= 0.4 AS target_reached
-    FROM pp JOIN rho USING (model, layer) JOIN cm USING (model, layer) JOIN cm2 USING (model, layer)"""
+           {r('pp.p')} AS pearson_p, {r('pr.p')} AS spearman_p, abs(pp.pearson) >= 0.4 AS target_reached
+    FROM pp JOIN pr USING (model, layer) JOIN cm USING (model, layer) JOIN cm2 USING (model, layer)"""
 )
 def rating_agreement(spark, sf_dir):
-    return rounded(A.rating_agreement(test_scores(spark, sf_dir), v.ratings(spark, sf_dir)).drop("spearman_p"))
+    return rounded(A.rating_agreement(test_scores(spark, sf_dir), v.ratings(spark, sf_dir)))
 
 
 @query(
