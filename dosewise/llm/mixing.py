@@ -207,16 +207,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     copies = taken.filter("from_word < to_word").groupBy("doc_id", "order", "size", "start", "source_no", "pass")
     copies = copies.agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"), F.min("slot").alias("slot"))
     copies = copies.join(sources.select("source_no", F.col("source").alias("_source")), "source_no").selectExpr(
-        "_source", "doc_id as _doc_id", "order as _place", "size as _size", "from_word as _from", "to_word as _to", "slot as _slot"
+        "struct(doc_id, _source as source, order) as _key", "size as _size", "from_word as _from", "to_word as _to", "slot as _slot"
     )
     # The caller's columns go under names that none of these has.
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     doc_id, text, source = inner["doc_id"], inner["text"], inner["source"]
-    rows = docs.toDF(*inner.values()).withColumn("_order", F.xxhash64(F.lit(SEED), doc_id, text))
-    rows = rows.dropDuplicates([doc_id, source, "_order"])
-    same = F.col(doc_id).eqNullSafe(F.col("_doc_id")) & (F.col("_order") == F.col("_place"))
-    same &= F.col(source).eqNullSafe(F.col("_source"))
-    joined = rows.join(copies, same).select(*inner.values(), "_size", "_from", "_to", "_slot")
+    order = F.xxhash64(F.lit(SEED), doc_id, text).alias("order")
+    # Structs of equal fields are equal, nulls too. One key, of one type, for both steps: the texts are shuffled once for them.
+    key = F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), order).cast(copies.schema["_key"].dataType)
+    rows = docs.toDF(*inner.values()).withColumn("_key", key)
+    joined = rows.dropDuplicates(["_key"]).join(copies, "_key").select(*inner.values(), "_size", "_from", "_to", "_slot")
     # Slots are numbers without gaps, so equal stretches of them are equal partitions.
     slots = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

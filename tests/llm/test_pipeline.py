@@ -208,3 +208,29 @@ def test_mixed_rows_come_in_the_order_of_the_schedule(spark):
     share = {s: order.count(s) / len(order) for s in set(order)}
     worst = max(abs(order[a : a + 100].count(s) - 100 * p) for s, p in share.items() for a in range(0, len(order) - 100, 100))
     assert worst <= 12
+
+
+def test_mix_shuffles_the_texts_twice(spark):
+    """Once to meet what the mix takes of them, once into the order of the schedule."""
+    rows = [(i % 300, f"{i % 300} " + "w " * 90, [None, "a", "b"][i % 3]) for i in range(600)] + [(None, "w v", "a")] * 2
+    docs = corpus_pipeline.materialize(spark.createDataFrame(rows, "doc_id long, text string, source string"), "texts")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables that are too large for it
+    try:
+        mixed = mixing.mixed_documents(docs)
+        plan = mixed._jdf.queryExecution().executedPlan().toString().splitlines()
+        words = {}
+        for r in mixed.collect():
+            words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # From the scan of the texts upwards, each step with less indentation.
+    nodes = [(len(line) - len(line.lstrip(" :+-")), line.lstrip(" :+-")) for line in plan]
+    at = next(k for k, (_, node) in enumerate(nodes) if node.startswith("FileScan") and "text#" in node)
+    depth, shuffles = nodes[at][0], 0
+    for indent, node in reversed(nodes[:at]):
+        if indent < depth:
+            depth, shuffles = indent, shuffles + node.startswith("Exchange")
+    assert shuffles == 2
+    _, sources, _ = mixing.mix(docs)
+    assert words == {r["source"]: int(r["target"]) for r in sources.collect()}
