@@ -8,8 +8,9 @@ with several groups of codes (an entropy image) are read symbol by symbol. Predi
 palette transforms are inverted in reverse order.
 
 Encoder. A payload becomes rows of 64 RGB pixels (192 bytes). Repetitions become back-references, other pixels hits of a
-colour cache or literals; few colours become a palette. The transforms can be asked for by parameter. Payloads of more
-than 16,383 rows become several images in a row. The stored form depends on the payload only.
+colour cache or literals; few colours become a palette. Other images have a predictor and a cross-colour element for each
+tile, green subtracted, both, or neither, whichever leaves the least information (``transformed``); ``encode`` takes any
+transforms by parameter. Payloads of more than 16,383 rows become several images in a row. The stored form depends on the payload only.
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ import numpy as np
 WIDTH = 64
 #: Longest prefix code that the encoder makes (the format allows 15), and shortest repetition, in pixels.
 LONGEST, REPETITION = 12, 6
+#: Tiles of ``2**TILE`` pixels have a predictor and an element each; factors of 1/32 that elements are chosen from.
+TILE, ELEMENTS = 5, (0, 8, 16, 32, -16)
+#: Share of the pixels' information up to which residuals get elements.
+REACH = 1.1
+#: Bits that an image of tiles takes by its codes, and those that a tile takes in both.
+_TILE_IMAGE, _TILE = 64, 12
+_NEVER = 1 << 60
 
 # Fixed values of the format.
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
@@ -387,35 +395,27 @@ def predicted(mode: int, left, top, top_right, top_left):
     }.get(mode, lambda: np.zeros_like(left) + np.array([0, 0, 0, 255]))()
 
 
-_WITHOUT_LEFT = {0, 2, 3, 4, 8, 9, 14, 15}
-
-
 def _unpredict(pixels: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
     height, width = pixels.shape
-    res = _channels(pixels).astype(np.int64)
-    out = np.zeros_like(res)
-    out[0, :, :] = np.cumsum(res[0], axis=0)
-    out[0, :, 3] += 255  # the first pixel is predicted as opaque black
-    out[0] &= 255
-    for y in range(1, height):
-        above = np.concatenate([out[y - 1], out[y, :1]])  # the last pixel's upper right is the row's first
-        out[y, 0] = (res[y, 0] + above[0]) & 255
-        above[width] = out[y, 0]
-        for t in range((width + (1 << tile) - 1) >> tile):
-            mode = int(modes[y >> tile, t])
-            low, high = max(1, t << tile), min(width, (t + 1) << tile)
-            if low >= high:
-                continue
-            if mode in _WITHOUT_LEFT:
-                p = predicted(mode, above[low - 1 : high - 1], above[low:high], above[low + 1 : high + 1], above[low - 1 : high - 1])
-                out[y, low:high] = (res[y, low:high] + p) & 255
-            elif mode == 1:
-                out[y, low:high] = (out[y, low - 1] + np.cumsum(res[y, low:high], axis=0)) & 255
-            else:
-                for x in range(low, high):
-                    p = predicted(mode, out[y, x - 1], above[x], above[x + 1], above[x - 1])
-                    out[y, x] = (res[y, x] + p) & 255
-    return _numbers(out.astype(np.uint8))
+    res = _channels(pixels).astype(np.int16)
+    of_pixel = _tiles(modes, height, width, tile)
+    out = res + np.array([0, 0, 0, 255], np.int16)  # what is predicted as opaque black, as the first pixel is
+    out[0, 1:] = out[0, :1] + np.cumsum(res[0, 1:], axis=0)
+    out[1:, 0] = out[:1, 0] + np.cumsum(res[1:, 0], axis=0)
+    out = (out & 255).reshape(-1, 4)
+    res = res.reshape(-1, 4)
+    # Pixels of equal x + 2 y need only those before; the last one's upper right is its row's first.
+    y, x = np.nonzero((of_pixel[1:, 1:] > 0) & (of_pixel[1:, 1:] < 14))
+    mode = of_pixel[y + 1, x + 1].astype(np.int64)
+    key = (x + 2 * y) * 16 + mode
+    order = np.argsort(key, kind="stable")
+    at = ((y + 1) * width + x + 1)[order]
+    cuts = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1)) if len(at) else [0]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        i = at[low:high]
+        p = predicted(int(mode[order[low]]), out[i - 1], out[i - width], out[i - width + 1], out[i - width - 1])
+        out[i] = (res[i] + p) & 255
+    return _numbers(out.astype(np.uint8).reshape(height, width, 4))
 
 
 def _tiles(image: np.ndarray, height: int, width: int, tile: int) -> np.ndarray:
@@ -916,6 +916,108 @@ def _coded(images: list[np.ndarray], widths: np.ndarray, cache_bits: int, top: b
     return [*parts, (image, values, sizes)]
 
 
+@lru_cache(maxsize=1)
+def _weights() -> np.ndarray:
+    return _weight(np.arange(3 << 2 * TILE))
+
+
+def _weight(counts: np.ndarray) -> np.ndarray:
+    return np.rint(1024 * counts * np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+
+def _bits(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Information of the bytes of each of ``n`` tiles or images, in whole 1024ths of a bit, so that sums are the same in any
+    order; ``of`` has 256 times their number."""
+    counts = np.bincount((of + values).ravel(), minlength=n * 256).reshape(n, 256)
+    weights = _weights()[counts] if counts.max(initial=0) < 3 << 2 * TILE else _weight(counts)
+    return _weight(counts.sum(axis=1)) - weights.sum(axis=1)
+
+
+def _best(candidates, of: np.ndarray, n: int) -> np.ndarray:
+    """For each tile the first candidate whose bytes have the least information; 0 without pixels."""
+    least, best = np.full(n, _NEVER), np.zeros(n, np.int64)
+    for k, values in candidates:
+        bits = sum(_bits(v, of, n) for v in values)
+        best[bits < least] = k
+        least = np.minimum(least, bits)
+    return best
+
+
+def transformed(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None, bool]]:
+    """The pixels, modes, elements and subtraction of green with which each image (``WIDTH`` to a row) is stored.
+
+    Each tile has the predictor, and then the cross-colour element, after which its bytes have the least information; elements
+    are tried where the predictors leave at most ``REACH`` times that of the pixels. An image is stored so, as it is, or either
+    with green subtracted, whichever has the least, with its tiles, over the whole image.
+    """
+    n = len(images)
+    heights = np.array([len(i) // WIDTH for i in images], np.int64)
+    starts = np.cumsum(heights) - heights
+    plain = _channels(np.concatenate(images).reshape(-1, WIDTH))
+    image = np.repeat(np.arange(n), heights)
+    row = np.arange(len(plain)) - starts[image]
+    across, down = -(-WIDTH >> TILE), (heights + (1 << TILE) - 1) >> TILE
+    first_tile = across * (np.cumsum(down) - down)
+    tiles = int(across * down.sum())
+    tile = (first_tile[image] + across * (row >> TILE))[:, None] + (np.arange(WIDTH) >> TILE)
+    of_image = np.broadcast_to(256 * image[:, None], tile.shape)
+
+    c = plain.astype(np.int16)
+    left, top, top_left, top_right = (np.zeros_like(c) for _ in range(4))
+    left[:, 1:], top[1:], top_left[1:, 1:] = c[:, :-1], c[:-1], c[:-1, :-1]
+    top_right[1:, :-1], top_right[1:, -1] = c[:-1, 1:], c[1:, 0]
+    below = np.flatnonzero(row)  # the first row of an image has no row above it
+    around = [near[below] for near in (left, top, top_right, top_left)]
+    own = c[below]
+
+    def residuals(mode: int) -> list[np.ndarray]:
+        res = (own - predicted(mode, *around)).astype(np.uint8)
+        return [res[..., k] for k in range(3)]
+
+    modes = _best(((m, residuals(m)) for m in range(14)), 256 * tile[below], tiles)
+    guess = np.zeros_like(c)
+    of_pixel = modes[tile]
+    for mode in np.unique(modes).tolist():
+        here = of_pixel == mode
+        guess[here] = predicted(mode, left[here], top[here], top_right[here], top_left[here])
+    guess[row > 0, 0] = top[row > 0, 0]
+    guess[row == 0] = left[row == 0]
+    guess[row == 0, 0] = [0, 0, 0, 255]
+    crossed = (c - guess).astype(np.uint8)
+
+    before, after = (sum(_bits(v[..., k], of_image, n) for k in range(3)) for v in (plain, crossed))
+    near = after <= REACH * before
+    to_red, to_blue, red_to_blue = (np.zeros(tiles, np.int64) for _ in range(3))
+    if near.any():
+        rows = np.flatnonzero(near[image])
+        at, of = tile[rows], 256 * tile[rows]
+        blue, green, red = (crossed[rows, :, k] for k in range(3))
+        signed_green, signed_red = _signed(green), _signed(red)
+        by_green = [(e, e * signed_green >> 5) for e in ELEMENTS]
+        to_red = _best(((e, [red - d & 255]) for e, d in by_green), of, tiles)
+        to_blue = _best(((e, [blue - d & 255]) for e, d in by_green), of, tiles)
+        blue = blue - (to_blue[at] * signed_green >> 5)
+        red_to_blue = _best(((e, [blue - (e * signed_red >> 5) & 255]) for e in ELEMENTS), of, tiles)
+        crossed[rows, :, 2] = red - (to_red[at] * signed_green >> 5) & 255
+        crossed[rows, :, 0] = blue - (red_to_blue[at] * signed_red >> 5) & 255
+    elements = _numbers(np.stack([to_red, to_blue, red_to_blue, np.full(tiles, 255)], axis=1).astype(np.uint8))
+
+    ways, bits = [], []
+    for channels, extra in ((plain, 0), (crossed, np.where(near, 1024 * (2 * _TILE_IMAGE + _TILE * across * down), _NEVER))):
+        common = _bits(channels[..., 1], of_image, n) + extra
+        for subtract in (False, True):
+            colours = [channels[..., k] - channels[..., 1] if subtract else channels[..., k] for k in (0, 2)]
+            ways.append((channels, subtract))
+            bits.append(common + 1024 * 3 * subtract + sum(_bits(v, of_image, n) for v in colours))
+    out = []
+    for k, way in enumerate(np.argmin(bits, axis=0).tolist()):
+        channels, subtract = ways[way]
+        pixels = _numbers(channels[starts[k] : starts[k] + heights[k]]).ravel()
+        t = slice(first_tile[k], first_tile[k] + across * down[k])
+        out.append((_add_green(pixels, -1) if subtract else pixels, *((modes[t], elements[t]) if way > 1 else (None, None)), subtract))
+    return out
+
+
 def encode_many(images: list[np.ndarray], cache_bits: int, palette: bool = False) -> list[bytes]:
     """WebP files of opaque images (flat ARGB numbers, ``WIDTH`` to a row), made all at once.
 
@@ -938,6 +1040,16 @@ def encode_many(images: list[np.ndarray], cache_bits: int, palette: bool = False
         number = np.fromiter(map(len, steps), np.int64, n)
         parts.append((every, 1 | PALETTE << 1 | number - 1 << 3, np.full(n, 11)))
         parts += _coded(steps, number, 0, False)
+    else:
+        images, modes, elements, subtract = map(list, zip(*transformed(images)))
+        used = np.array([k for k in range(n) if modes[k] is not None], np.int64)
+        for kind, tiles in ((PREDICTOR, modes), (CROSS_COLOUR, elements)):
+            if len(used):
+                own = [tiles[k].astype(np.uint32) << np.uint32(8) if kind == PREDICTOR else tiles[k] for k in used]
+                parts.append((used, np.full(len(used), 1 | kind << 1 | TILE - 2 << 3), np.full(len(used), 6)))
+                parts += [(used[r], *rest) for r, *rest in _coded(own, np.full(len(used), -(-WIDTH >> TILE)), 0, False)]
+        green = np.flatnonzero(subtract)
+        parts.append((green, np.full(len(green), 1 | SUBTRACT_GREEN << 1), np.full(len(green), 3)))
     parts.append((every, np.zeros(n, np.int64), np.ones(n, np.int64)))
     parts += _coded(images, widths, cache_bits, True)
     bits = sum(np.bincount(rows, size, n) for rows, _, size in parts).astype(np.int64)

@@ -37,7 +37,8 @@ def payload(text: bytes | None) -> bytes:
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """The images of each payload one after the other; those with few colours have a palette, the others a colour cache."""
+    """The images of each payload one after the other; those with few colours have a palette, the others the
+    transforms that leave the least information (``webp.transformed``) and a colour cache."""
     out: list[list[bytes]] = [[] for _ in payloads]
     #: Images of a kind (bits of the cache, 0 with a palette), with the places of their files.
     waiting: dict[int, list[tuple[list[bytes], int, np.ndarray]]] = {0: [], CACHE_BITS: [], LARGE_CACHE_BITS: []}

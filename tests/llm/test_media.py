@@ -381,3 +381,46 @@ def test_damage_among_others():
         else:
             assert (L.decode_streams([*good[:2], bytes(bad), *good[3:]])[2] == alone).all()
         assert all((a == W.decode_stream(b)).all() for a, b in zip(L.decode_streams(good), good))
+
+
+def smooth(rng, rows, share=1.0):
+    """Bytes of an image of small steps, whose red and blue follow green."""
+    green = np.cumsum(rng.integers(-2, 3, (rows, 64)), axis=1) + np.cumsum(rng.integers(-2, 3, (rows, 1)), axis=0) * 3
+    others = [green * share + rng.integers(0, 4, green.shape) for _ in range(2)]
+    return np.stack([others[0], green, others[1]], axis=2).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def transforms_of(data):
+    reader, found = SlowReader(W.stream_of(data)[0]), []
+    reader.read(40)
+    while reader.read(1):
+        kind = reader.read(2)
+        found.append(kind)
+        if kind == W.PALETTE:
+            break
+        if kind < 2:
+            assert reader.read(3) + 2 == W.TILE
+            found.append(reader.entropy_image(2, -(-((int.from_bytes(W.stream_of(data)[0][:5], "little") >> 22 & 0x3FFF) + 1) >> W.TILE)))
+    return found
+
+
+def test_payloads_get_the_transforms_that_shorten_them():
+    """Payloads are stored with predictors, cross-colour elements or green subtracted where these leave less information."""
+    rng = np.random.default_rng(8)
+    grey = np.repeat(rng.integers(0, 256, 64 * 12, dtype=np.uint8), 3).tobytes()
+    texts = [smooth(rng, 20), smooth(rng, 40, 0.5), grey, smooth(rng, 90), rng.bytes(192 * 9), b"plain words of a text, and more of them. " * 3]
+    payloads = [M.payload(t) for t in texts]
+    media = M.encode_payloads(payloads)
+    assert [b"".join(map(M.payload_of, i)) for i in M.images_of(media)] == payloads
+    assert media == [M.encode_payload(p) for p in payloads]
+    for data, want in zip(media[:3], payloads):
+        rows = SlowReader(W.stream_of(data)[0]).image()
+        assert b"".join(bytes(parts(p)[2::-1]) for row in rows for p in row) == want
+    found = [transforms_of(m) for m in media]
+    for predictor, modes, cross, elements, *_ in (found[0], found[1], found[3]):
+        assert (predictor, cross) == (W.PREDICTOR, W.CROSS_COLOUR) and any(m >> 8 & 15 for m in modes)
+    assert any(e & 0xFFFFFF for e in found[1][3])
+    assert found[2] == [W.SUBTRACT_GREEN]
+    for k in (0, 1, 2, 3):
+        pixels = np.concatenate([np.frombuffer(payloads[k], np.uint8).reshape(-1, 3)[:, ::-1], np.full((len(payloads[k]) // 3, 1), 255, np.uint8)], axis=1)
+        assert len(media[k]) < 0.8 * len(W.encode(W._numbers(pixels).reshape(-1, 64), cache_bits=6))
