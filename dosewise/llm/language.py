@@ -7,6 +7,7 @@ switch between them; a text's language has the greatest sum of posteriors over i
 
 Training. Sequences are lines, in parts of ``LINE`` words, of a sample of labelled rows: of each language whole texts, in the
 order of a hash of id and text, until they have ``LEARNED`` words or are ``SAMPLE``. Every third part is joined to one of another language, so that transitions are learned from switches too. The likelihood with a quadratic penalty is climbed with Adam for a fixed number of steps.
+A step sums over parts of ``PART`` words, so that the driver holds the sample but messages and transitions of one part only.
 
 Scale. The model is fitted on the bounded sample and sent with the tasks (``BUCKETS`` x languages weights). Texts are
 labelled whole: long ones are cut into runs of ``RUN`` words, whose messages are joined exactly by the products of their
@@ -39,6 +40,8 @@ BUCKETS = 1 << 16
 #: Labelled rows of each language used for training, words after which no further row is taken, and words of a sequence.
 SAMPLE, LEARNED, LINE = 200, 50_000, 40
 STEPS, RATE, PENALTY = 40, 0.1, 1e-5
+#: Words of the training sequences whose messages are in memory at once.
+PART = 1 << 15
 #: Of the ids, those whose checksum leaves 0 on division by this are held out.
 FOLDS = 5
 RUN = 64
@@ -177,6 +180,19 @@ def training_lines(text: str) -> list[list[str]]:
     return parts
 
 
+def _expected(factors: np.ndarray, word: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each distinct word is expected to have each label, and each label to follow each, in some sequences."""
+    emissions = factors[word]
+    post, forward, backward = posteriors(emissions, moves, starts)
+    expected = np.stack([np.bincount(word, post[:, y], len(factors)) for y in range(factors.shape[1])], axis=1)
+    inner = np.ones(len(word), bool)
+    inner[starts[:-1]] = False
+    later = np.flatnonzero(inner)
+    pairs = forward[later - 1][:, :, None] * np.exp(moves - moves.max()) * (emissions * backward)[later][:, None, :]
+    pairs /= pairs.sum(axis=(1, 2), keepdims=True)
+    return expected, pairs.sum(axis=0)
+
+
 def fit(rows: list[tuple[str, str]]) -> Model | None:
     """The model of ``(text, language)`` rows; None without a word."""
     languages = sorted({label for _, label in rows})
@@ -190,16 +206,16 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
         (a[0] + b[0], a[1] + b[1]) if i % 3 == 0 and a[1][0] != b[1][0] else a
         for i, (a, b) in enumerate(zip(lines, lines[1:] + lines[:1]))
     ]
-    found = list(chain.from_iterable(w for w, _ in joined))
-    labels = np.fromiter(chain.from_iterable(y for _, y in joined), np.int64)
     starts = np.concatenate([[0], np.cumsum([len(w) for w, _ in joined])])
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(found))}
-    word = np.fromiter((distinct[w] for w in found), np.int64, len(found))
+    labels = np.fromiter(chain.from_iterable(y for _, y in joined), np.int64, int(starts[-1]))
+    distinct: dict[str, int] = {}
+    word = np.fromiter((distinct.setdefault(w, len(distinct)) for w in chain.from_iterable(w for w, _ in joined)), np.int64, len(labels))
+    del lines, joined
     flat, feature_starts = feature_rows(list(distinct))
     owner = np.repeat(np.arange(len(distinct)), np.diff(feature_starts))
 
     k = len(languages)
-    inner = np.ones(len(found), bool)
+    inner = np.ones(len(word), bool)
     inner[starts[:-1]] = False
     later = np.flatnonzero(inner)
     seen_moves = np.bincount(labels[later - 1] * k + labels[later], minlength=k * k).reshape(k, k)
@@ -207,16 +223,18 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     state = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
     gold = np.zeros((len(distinct), k))
     np.add.at(gold, (word, labels), 1.0)
+    parts = [0, *(np.flatnonzero(np.diff(starts[:-1] // PART)) + 1).tolist(), len(starts) - 1]
     for step in range(1, STEPS + 1):
-        scores = np.add.reduceat(weights[flat], feature_starts[:-1], axis=0)
-        factors = np.exp(scores - scores.max(axis=1, keepdims=True))[word]
-        post, forward, backward = posteriors(factors, moves, starts)
-        expected = np.stack([np.bincount(word, post[:, y], len(distinct)) for y in range(k)], axis=1)
-        slope = (gold - expected)[owner]
-        grad = np.stack([np.bincount(flat, slope[:, y], BUCKETS) for y in range(k)], axis=1) / len(found)
-        pairs = forward[later - 1][:, :, None] * np.exp(moves - moves.max()) * (factors * backward)[later][:, None, :]
-        pairs /= pairs.sum(axis=(1, 2), keepdims=True)
-        grad_moves = (seen_moves - pairs.sum(axis=0)) / len(found)
+        scores = np.stack([np.add.reduceat(weights[:, y][flat], feature_starts[:-1]) for y in range(k)], axis=1)
+        factors = np.exp(scores - scores.max(axis=1, keepdims=True))
+        slope, moved = gold.copy(), np.zeros((k, k))
+        for first, last in zip(parts, parts[1:]):  # sums over sequences: the arrays of one part of them at a time
+            own = slice(starts[first], starts[last])
+            expected, passed = _expected(factors, word[own], moves, starts[first : last + 1] - starts[first])
+            slope -= expected
+            moved += passed
+        grad = np.stack([np.bincount(flat, slope[:, y][owner], BUCKETS) for y in range(k)], axis=1) / len(word)
+        grad_moves = (seen_moves - moved) / len(word)
         for value, g, m, v in ((weights, grad, *state[:2]), (moves, grad_moves, *state[2:])):
             g = g - PENALTY * value
             m += 0.1 * (g - m)

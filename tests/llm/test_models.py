@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -72,6 +73,33 @@ def test_language_held_out_accuracy(spark):
     assert r["n"] > 100 and r["right"] >= 0.98
 
 
+def sample_rows(n):
+    """Texts of about ``n`` words of four made-up languages."""
+    rng = random.Random(5)
+    known = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(500)] for lang, letters in zip("abcd", ("abcdefg", "efghijk", "klmnopq", "qrstuvw"))}
+    return [(" ".join(rng.choices(w, k=500)), lang) for _ in range(n // 2000) for lang, w in known.items()]
+
+
+def test_fit_holds_messages_of_one_part_only(monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 1)
+    rows = sample_rows(200_000)
+    tracemalloc.start()
+    language.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 137 MB with the messages of the whole sample
+
+
+@pytest.mark.parametrize("part", [1, 100, 1000])
+def test_fit_does_not_depend_on_parts(monkeypatch, part):
+    rows = sample_rows(4000)
+    monkeypatch.setattr(language, "STEPS", 5)
+    whole = language.fit(rows)
+    monkeypatch.setattr(language, "PART", part)
+    cut = language.fit(rows)
+    assert np.abs(whole.weights - cut.weights).max() < 1e-4 and np.abs(whole.moves - cut.moves).max() < 1e-9
+
+
 def test_quality_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
     scored = quality.op4_pu_quality(spark, DATA).filter("held_out").join(labels, "doc_id").collect()
