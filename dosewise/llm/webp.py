@@ -566,7 +566,7 @@ def _settled(sizes: list[int], ideal: list[float], room: int, longest: int) -> l
         k = max((i for i in range(len(sizes)) if sizes[i] < longest), key=lambda i: (sizes[i], ideal[i]))
         room += 1 << (longest - sizes[k] - 1)
         sizes[k] += 1
-    order = sorted(range(len(sizes)), key=lambda k: ideal[k] - sizes[k]) if room else []
+    order = sorted(range(len(sizes)), key=[i - s for i, s in zip(ideal, sizes)].__getitem__) if room else []
     while room > 0:
         for k in order:
             cost = 1 << (longest - sizes[k])
@@ -918,7 +918,7 @@ def _coded(images: list[np.ndarray], widths: np.ndarray, cache_bits: int, top: b
 
 @lru_cache(maxsize=1)
 def _weights() -> np.ndarray:
-    return _weight(np.arange(3 << 2 * TILE))
+    return _weight(np.arange(1 + (1 << 2 * TILE)))
 
 
 def _weight(counts: np.ndarray) -> np.ndarray:
@@ -926,25 +926,54 @@ def _weight(counts: np.ndarray) -> np.ndarray:
 
 
 def _bits(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Information of the bytes of each of ``n`` tiles or images, in whole 1024ths of a bit, so that sums are the same in any
+    """Information of the bytes of each of ``n`` images, in whole 1024ths of a bit, so that sums are the same in any
     order; ``of`` has 256 times their number."""
     counts = np.bincount((of + values).ravel(), minlength=n * 256).reshape(n, 256)
-    weights = _weights()[counts] if counts.max(initial=0) < 3 << 2 * TILE else _weight(counts)
-    return _weight(counts.sum(axis=1)) - weights.sum(axis=1)
+    small = counts.max(initial=0) < len(_weights())
+    return _weight(counts.sum(axis=1)) - (_weights()[counts] if small else _weight(counts)).sum(axis=1)
 
 
 def _best(candidates, of: np.ndarray, n: int) -> np.ndarray:
-    """For each tile the first candidate whose bytes have the least information; 0 without pixels."""
-    least, best = np.full(n, _NEVER), np.zeros(n, np.int64)
-    for k, values in candidates:
-        bits = sum(_bits(v, of, n) for v in values)
-        best[bits < least] = k
-        least = np.minimum(least, bits)
+    """For each tile the first candidate whose bytes have the least information; 0 without pixels.
+
+    A tile has as many bytes by each candidate, so that only the weights of their counts differ.
+    """
+    most, best = np.full(n, -1), np.zeros(n, np.int64)
+    for k, planes in candidates:
+        weight = np.zeros(n, np.int64)
+        for values in planes:
+            counts = np.bincount((of + values).ravel(), minlength=n * 256)
+            weight += _weights().take(counts).reshape(n, 256).sum(axis=1)
+        best[weight > most] = k
+        np.maximum(most, weight, out=most)
     return best
 
 
+def _mean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_half`` of bytes."""
+    return (a & b) + ((a ^ b) >> 1)
+
+
+def _all_residuals(own, left, top, top_right, top_left) -> np.ndarray:
+    """What each predictor leaves of opaque pixels, as bytes: predictors x blue, green, red x pixels."""
+    left_mean, right_mean, mean = _mean(left, top_left), _mean(top, top_right), _mean(left, top)
+    by_left, by_top = (
+        (np.maximum(near, top_left) - np.minimum(near, top_left)).sum(axis=0, dtype=np.uint16) for near in (top, left)
+    )
+    signed_left = top_left.astype(np.int16)
+    half = mean - signed_left
+    half += half < 0
+    half >>= 1  # halved towards 0
+    predictions = [
+        np.uint8(0), left, top, top_right, top_left, _mean(_mean(left, top_right), top), left_mean, mean, _mean(top_left, top),
+        right_mean, _mean(left_mean, right_mean), np.where(by_left < by_top, left, top),
+        np.clip(left + (top - signed_left), 0, 255).astype(np.uint8), np.clip(mean + half, 0, 255).astype(np.uint8),
+    ]
+    return np.stack([own - p for p in predictions])
+
+
 def transformed(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None, bool]]:
-    """The pixels, modes, elements and subtraction of green with which each image (``WIDTH`` to a row) is stored.
+    """The pixels, modes, elements and subtraction of green with which each opaque image (``WIDTH`` to a row) is stored.
 
     Each tile has the predictor, and then the cross-colour element, after which its bytes have the least information; elements
     are tried where the predictors leave at most ``REACH`` times that of the pixels. An image is stored so, as it is, or either
@@ -953,68 +982,68 @@ def transformed(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray |
     n = len(images)
     heights = np.array([len(i) // WIDTH for i in images], np.int64)
     starts = np.cumsum(heights) - heights
-    plain = _channels(np.concatenate(images).reshape(-1, WIDTH))
+    #: Planes of blue, green and red, which are quicker to count than bytes of pixels.
+    c = np.ascontiguousarray(np.moveaxis(_channels(np.concatenate(images).reshape(-1, WIDTH))[..., :3], -1, 0))
     image = np.repeat(np.arange(n), heights)
-    row = np.arange(len(plain)) - starts[image]
+    row = np.arange(len(image)) - starts[image]
     across, down = -(-WIDTH >> TILE), (heights + (1 << TILE) - 1) >> TILE
     first_tile = across * (np.cumsum(down) - down)
     tiles = int(across * down.sum())
     tile = (first_tile[image] + across * (row >> TILE))[:, None] + (np.arange(WIDTH) >> TILE)
-    of_image = np.broadcast_to(256 * image[:, None], tile.shape)
+    of_image = np.repeat(256 * image[:, None], WIDTH, axis=1)
 
-    c = plain.astype(np.int16)
     left, top, top_left, top_right = (np.zeros_like(c) for _ in range(4))
-    left[:, 1:], top[1:], top_left[1:, 1:] = c[:, :-1], c[:-1], c[:-1, :-1]
-    top_right[1:, :-1], top_right[1:, -1] = c[:-1, 1:], c[1:, 0]
+    left[..., 1:], top[:, 1:], top_left[:, 1:, 1:] = c[..., :-1], c[:, :-1], c[:, :-1, :-1]
+    top_right[:, 1:, :-1], top_right[:, 1:, -1] = c[:, :-1, 1:], c[:, 1:, 0]
     below = np.flatnonzero(row)  # the first row of an image has no row above it
-    around = [near[below] for near in (left, top, top_right, top_left)]
-    own = c[below]
-
-    def residuals(mode: int) -> list[np.ndarray]:
-        res = (own - predicted(mode, *around)).astype(np.uint8)
-        return [res[..., k] for k in range(3)]
-
-    modes = _best(((m, residuals(m)) for m in range(14)), 256 * tile[below], tiles)
-    guess = np.zeros_like(c)
-    of_pixel = modes[tile]
-    for mode in np.unique(modes).tolist():
-        here = of_pixel == mode
-        guess[here] = predicted(mode, left[here], top[here], top_right[here], top_left[here])
-    guess[row > 0, 0] = top[row > 0, 0]
-    guess[row == 0] = left[row == 0]
-    guess[row == 0, 0] = [0, 0, 0, 255]
-    crossed = (c - guess).astype(np.uint8)
-
-    before, after = (sum(_bits(v[..., k], of_image, n) for k in range(3)) for v in (plain, crossed))
-    near = after <= REACH * before
+    residuals = _all_residuals(*(x[:, below] for x in (c, left, top, top_right, top_left)))
+    modes = _best(enumerate(residuals), 256 * tile[below], tiles)
+    crossed = c - left  # as in the first rows
+    crossed[:, below] = np.take_along_axis(residuals, modes[tile[below]][None, None], axis=0)[0]
+    crossed[:, below, 0] = c[:, below, 0] - top[:, below, 0]
+    del residuals
+
+    plain_bits, crossed_bits = ([_bits(v, of_image, n) for v in planes] for planes in (c, crossed))
+    near = sum(crossed_bits) <= REACH * sum(plain_bits)
     to_red, to_blue, red_to_blue = (np.zeros(tiles, np.int64) for _ in range(3))
-    if near.any():
-        rows = np.flatnonzero(near[image])
-        at, of = tile[rows], 256 * tile[rows]
-        blue, green, red = (crossed[rows, :, k] for k in range(3))
+    some = np.flatnonzero(near)
+    rows = np.flatnonzero(near[image])
+    if len(some):
+        own_tiles = np.flatnonzero(np.repeat(near, across * down))
+        at = tile[rows]
+        of = 256 * np.searchsorted(own_tiles, at)
+        blue, green, red = crossed[:, rows]
         signed_green, signed_red = _signed(green), _signed(red)
-        by_green = [(e, e * signed_green >> 5) for e in ELEMENTS]
-        to_red = _best(((e, [red - d & 255]) for e, d in by_green), of, tiles)
-        to_blue = _best(((e, [blue - d & 255]) for e, d in by_green), of, tiles)
-        blue = blue - (to_blue[at] * signed_green >> 5)
-        red_to_blue = _best(((e, [blue - (e * signed_red >> 5) & 255]) for e in ELEMENTS), of, tiles)
-        crossed[rows, :, 2] = red - (to_red[at] * signed_green >> 5) & 255
-        crossed[rows, :, 0] = blue - (red_to_blue[at] * signed_red >> 5) & 255
+        by_green = [(e, (e * signed_green >> 5).astype(np.uint8)) for e in ELEMENTS]
+        to_red[own_tiles] = _best(((e, [red - d]) for e, d in by_green), of, len(own_tiles))
+        to_blue[own_tiles] = _best(((e, [blue - d]) for e, d in by_green), of, len(own_tiles))
+        blue = blue - (to_blue[at] * signed_green >> 5).astype(np.uint8)
+        by_red = ((e, [blue - (e * signed_red >> 5).astype(np.uint8)]) for e in ELEMENTS)
+        red_to_blue[own_tiles] = _best(by_red, of, len(own_tiles))
+        crossed[2, rows] = red - (to_red[at] * signed_green >> 5).astype(np.uint8)
+        crossed[0, rows] = blue - (red_to_blue[at] * signed_red >> 5).astype(np.uint8)
     elements = _numbers(np.stack([to_red, to_blue, red_to_blue, np.full(tiles, 255)], axis=1).astype(np.uint8))
 
-    ways, bits = [], []
-    for channels, extra in ((plain, 0), (crossed, np.where(near, 1024 * (2 * _TILE_IMAGE + _TILE * across * down), _NEVER))):
-        common = _bits(channels[..., 1], of_image, n) + extra
-        for subtract in (False, True):
-            colours = [channels[..., k] - channels[..., 1] if subtract else channels[..., k] for k in (0, 2)]
-            ways.append((channels, subtract))
-            bits.append(common + 1024 * 3 * subtract + sum(_bits(v, of_image, n) for v in colours))
+    #: As it is, with green subtracted, and both after the tiles' transforms.
+    bits = np.full((4, n), _NEVER)
+    blue, green, red = c
+    bits[0] = sum(plain_bits)
+    bits[1] = plain_bits[1] + 1024 * 3 + _bits(blue - green, of_image, n) + _bits(red - green, of_image, n)
+    if len(some):
+        of = 256 * np.repeat(np.searchsorted(some, image[rows])[:, None], WIDTH, axis=1)
+        blue, green, red = crossed[:, rows]
+        common = _bits(green, of, len(some)) + 1024 * (2 * _TILE_IMAGE + _TILE * across * down[some])
+        bits[2, some] = common + _bits(blue, of, len(some)) + _bits(red, of, len(some))
+        bits[3, some] = common + 1024 * 3 + _bits(blue - green, of, len(some)) + _bits(red - green, of, len(some))
     out = []
     for k, way in enumerate(np.argmin(bits, axis=0).tolist()):
-        channels, subtract = ways[way]
-        pixels = _numbers(channels[starts[k] : starts[k] + heights[k]]).ravel()
-        t = slice(first_tile[k], first_tile[k] + across * down[k])
-        out.append((_add_green(pixels, -1) if subtract else pixels, *((modes[t], elements[t]) if way > 1 else (None, None)), subtract))
+        pixels, own_modes, own_elements = images[k], None, None
+        if way > 1:
+            planes = crossed[:, starts[k] : starts[k] + heights[k]].astype(np.uint32)
+            pixels = (planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16)).ravel()
+            t = slice(first_tile[k], first_tile[k] + across * down[k])
+            own_modes, own_elements = modes[t], elements[t]
+        out.append((_add_green(pixels, -1) if way & 1 else pixels, own_modes, own_elements, bool(way & 1)))
     return out
 
 
