@@ -46,6 +46,8 @@ PART = 1 << 15
 FOLDS = 5
 RUN = 64
 CACHED_BYTES = 40 << 20
+#: Texts are labelled in slices of about this many bytes: the messages of their words take some 50 times as much.
+LABELLED_BYTES = 1 << 20
 UNKNOWN = "und"
 
 _FIND = regex.compile(r"\p{L}[\p{L}\p{M}'’]*").findall
@@ -283,7 +285,7 @@ def _labeller(model: Model) -> Labeller:
 def _predict(
     batches: Iterator[pa.RecordBatch], model: Model | None, by_word: bool = False, added: tuple[str, str] = ("_lang_pred", "_score")
 ) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", LABELLED_BYTES):
         n = batch.num_rows
         names, scores = [UNKNOWN] * n, np.zeros(n)
         if model:

@@ -6,6 +6,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,17 @@ def test_fit_does_not_depend_on_parts(monkeypatch, part):
     assert np.abs(whole.weights - cut.weights).max() < 1e-4 and np.abs(whole.moves - cut.moves).max() < 1e-9
 
 
+def test_labelling_holds_messages_of_a_small_slice_only(model):
+    text = " ".join(LINES.values()) + " "
+    batch = pa.RecordBatch.from_arrays([pa.array([text * 100] * 400)], names=["text"])
+    next(language._predict(iter([batch.slice(0, 1)]), model))  # so that the words are known
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in language._predict(iter([batch]), model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 400 and peak < 100e6  # 193 MB with slices of 4 MB, now 66
+
+
 def test_quality_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
     scored = quality.op4_pu_quality(spark, DATA).filter("held_out").join(labels, "doc_id").collect()
