@@ -23,7 +23,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
 from dosewise.llm.common import slices
-from dosewise.llm.pool import UnitPool, opened
+from dosewise.llm.pool import Numbers, UnitPool, opened
 
 SLICE = 4 << 20
-CACHED_BYTES = 50 << 20
+CACHED_BYTES = 100 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -86,6 +85,7 @@ class PairIndex:
         left[ends - sizes] = -1
         current = np.full(n, _NONE, np.int32)
         alive = np.ones(n, bool)
+        renewed = np.zeros(n, bool)
 
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -100,21 +100,23 @@ class PairIndex:
                 return
             order = np.argsort(found, kind="stable")
             at, found = at[order], found[order]
-            cuts = np.flatnonzero(np.diff(found)) + 1
-            for r, places in zip(found[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
+            cuts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist()]
+            for r, start, end in zip(found[cuts].tolist(), cuts, [*cuts[1:], len(at)]):
                 if r not in index:
                     index[r] = []
                     heapq.heappush(active, r)
-                index[r].append(places)
+                index[r].append(at[start:end])
 
         refresh(np.flatnonzero(right >= 0).astype(np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
-            at = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
-            at = at[current[at] == r]
+            at = np.concatenate(lists) if len(lists) > 1 else lists[0]
+            at = np.sort(at[current[at] == r])
             if not len(at):
                 continue
+            if len(lists) > 1:  # a pair that came back is in several lists
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])]
             if self.doubles[r]:  # in a run of equal symbols every second position is taken, from the left
                 runs = np.concatenate([[True], right[at[:-1]] != at[1:]])
                 first = np.maximum.accumulate(np.where(runs, np.arange(len(at)), 0))
@@ -129,11 +131,21 @@ class PairIndex:
             inside = after >= 0
             left[after[inside]] = at[inside]
             before = left[at]
-            refresh(np.unique(np.concatenate([at[inside], before[before >= 0]])))
+            before = before[before >= 0]
+            at = at[inside]
+            renewed[at] = True  # a position that is merged too can be the one before another
+            refresh(np.concatenate([at, before[~renewed[before]]]))
+            renewed[at] = False
         kept = np.concatenate([[0], np.cumsum(alive)])
         return symbol[alive], kept[np.concatenate([[0], ends])]
 
 
+def _gathered(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of an array one after the other, and where each starts, with the end as last entry."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class Codec:
     """A vocabulary file with the words encoded so far."""
 
@@ -150,7 +162,12 @@ class Codec:
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
         self.decimals = [str(i) for i in range(len(self.tokens))]
         self.find = regex.compile(self.WORDS.replace("{L}", r"[\p{L}]").replace("{N}", r"[\p{N}]")).findall
-        self.is_rare = regex.compile("[^\\x00-\u024f\u2010-\u2027]").search
+        self.is_rare = re.compile("[^\\x00-\u024f\u2010-\u2027]").search
+        # Words and line feeds of a text in lower case without rare characters; of these NFC leaves all as they are.
+        common = {c for x in [*range(0x250), *range(0x2010, 0x2028)] for c in chr(x) + chr(x).lower()}
+        space, letter, number = ("".join(sorted(c for c in common if regex.match(k, c))) for k in (r"\s", r"\p{L}", r"\p{N}"))
+        lines = self.WORDS.removeprefix("(?V1)").replace(r"[^\s{L}{N}]", f"[^{space}{letter}{number}]") + r"|\n"
+        self.find_lines = re.compile(lines.replace("{L}", f"[{letter}]").replace("{N}", f"[{number}]")).findall
         # Python, ``regex`` and the library each know another version of Unicode; they agree on the characters that are not rare.
         # Texts with others are normalised and cut by the library.
         whole = Tokenizer.from_file(path)
@@ -163,23 +180,39 @@ class Codec:
         self.is_odd = re.compile("[\x1c-\x1f]").search  # white space for str.split, but not for the pattern
 
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self._words(u) for u in units]
-        distinct = list(dict.fromkeys(chain.from_iterable(found)))
-        place = dict(zip(distinct, range(len(distinct))))
-        plain = [w for w in distinct if w not in self.special]
+        """Ids of units without a line feed. They are cut together, with line feeds between them, which stand for no id.
+
+        Units with rare characters, or with what may be a special token, are cut one by one and follow the others.
+        """
+        joined, alone = "\n".join(units), []
+        if "<|" in joined or self.is_rare(joined):
+            alone = [k for k, u in enumerate(units) if "<|" in u or self.is_rare(u)]
+            rest = list(units)
+            for k in alone:
+                rest[k] = ""
+            joined = "\n".join(rest)
+        found = self.find_lines(joined.lower())
+        for k in alone:
+            found += ["\n", *self._words(units[k])]
+        numbers = Numbers()
+        numbers["\n"] = 0
+        word = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+        plain = [w for w in numbers.new if w not in self.special]
         ids, starts = self.index.encode([w.encode() for w in plain])
-        at = dict(zip(plain, range(len(plain))))
-        # Special tokens follow the plain words in the array.
-        ids = np.concatenate([ids, np.array(list(self.special.values()), np.int32)])
-        starts = np.concatenate([starts, starts[-1] + 1 + np.arange(len(self.special))])
-        at |= {t: len(plain) + k for k, t in enumerate(self.special)}
-        order = np.fromiter((at[w] for w in distinct), np.int64, len(distinct))
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        word = order[np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))]
-        sizes = starts[word + 1] - starts[word]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.repeat(starts[word] - ends[:-1], sizes) + np.arange(ends[-1])
-        return ids[flat], ends[np.concatenate([[0], np.cumsum(counts)])]
+        starts = np.concatenate([[0], starts])
+        if len(plain) < len(numbers.new):
+            # Special tokens follow the plain words in the array.
+            at = dict(zip(["\n", *plain, *self.special], range(1 + len(plain) + len(self.special))))
+            ids = np.concatenate([ids, np.array(list(self.special.values()), np.int32)])
+            starts = np.concatenate([starts, starts[-1] + 1 + np.arange(len(self.special))])
+            word = np.fromiter(map(at.__getitem__, numbers), np.int64, len(numbers))[word]
+        ids, ends = _gathered(ids, starts[word], np.diff(starts)[word])
+        ends = ends[np.concatenate([[0], np.flatnonzero(word == 0), [len(word)]])]
+        if alone:
+            row = np.arange(len(units))
+            row[alone] = len(units) + np.arange(len(alone))
+            ids, ends = _gathered(ids, ends[row], np.diff(ends)[row])
+        return ids, ends
 
     def _words(self, text: str) -> list[str]:
         """Words of a text, in which literals of special tokens are words of their own."""

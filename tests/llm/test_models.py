@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from dosewise.llm import language, multi_index, pii, quality
@@ -53,6 +55,40 @@ def test_code_switched_text(model):
     assert starts.tolist()[1:4] == [12, 12, 12] and (post[12:].argmax(axis=1) == 2).mean() > 0.99
 
 
+def word_features(word):
+    """Hash buckets of a word's features, one by one."""
+    marked = f"<{word}>"
+    names = ["w" + word]
+    for n in range(1, min(4, len(word)) + 1):
+        names += ["p" + word[:n], "s" + word[-n:]]
+    names += [marked[i : i + 2] for i in range(len(marked) - 1)]
+    names += [marked[i : i + 3] for i in range(len(marked) - 2)]
+    return [zlib.crc32(f.encode()) % language.BUCKETS for f in names]
+
+
+def test_features_of_all_words_are_made_together(monkeypatch):
+    """Equal to those of single words, with one checksum of bytes a word and two of marks; also for longer characters."""
+    rng = random.Random(8)
+    alphabet = "abcdefghéßñłя日本語한𝒜𝒷'’"
+    words = ["".join(rng.choices(alphabet, k=n)) for n in range(1, 12) for _ in range(40)] + ["x" * 700, "日" * 300, "a", "𝒜"]
+    want = [word_features(w) for w in words]
+    calls, checksum = [], zlib.crc32
+    monkeypatch.setattr(language.zlib, "crc32", lambda *of: calls.append(of) or checksum(*of))
+    flat, starts = language.feature_rows(words)
+    assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:])] == want and len(starts) == len(words) + 1
+    assert len(calls) <= len(words) + 10
+    assert [x.tolist() for x in language.feature_rows([])] == [[], [0]]
+
+
+def test_words_equal_pattern():
+    """Texts without rare characters are searched by another library, and find the same words."""
+    find = regex.compile(r"\p{L}[\p{L}\p{M}'’]*").findall
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000)]):
+        text = f"a{c}b {c} É{c}'x’ 1{c.upper()}2"
+        assert language.words(text) == find(text.lower()), ascii(c)
+    assert language.words(None) == language.words("") == []
+
+
 def test_language_edge_cases(spark, model):
     rows = [(1, None, "a", 1.0), (2, "", "a", 1.0), (3, "12 ?!", "a", 1.0), (None, LINES["b"], "a", 1.0), (4, LINES["b"], None, 1.0), (4, LINES["b"], None, 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")

@@ -45,6 +45,18 @@ def test_bpe_equals_library_on_every_code_point():
             assert ids[starts[k] : starts[k + 1]].tolist() == e.ids, ascii(texts[k])
 
 
+def test_bpe_cuts_units_together(monkeypatch):
+    """Only units with rare characters or what may be a special token are cut one by one; ids are the library's."""
+    own, library, alone = bpe.Codec(bpe.default_vocabulary()), Tokenizer.from_file(bpe.default_vocabulary()), []
+    cut = own._words
+    monkeypatch.setattr(own, "_words", lambda unit: alone.append(unit) or cut(unit))
+    texts = ["İt's été, Ⱥ 12½ <|endoftext|> naïve’s", "日本語 x<|endoftext|>y the <|end", "ΑΣ. don't", "", "aaaa a\x1cb"]
+    ids, starts = own.encode(texts)
+    for k, text in enumerate(texts):
+        assert ids[starts[k] : starts[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert sorted(alone) == sorted(["<|endoftext|>", "日本語", "x<|endoftext|>y", "<|end", "ΑΣ."])
+
+
 def test_pool_is_bounded_in_bytes():
     """Long units are forgotten, and the store starts again; opening one store drops another."""
     found = pool.UnitPool(lambda units: (np.arange(len(units), dtype=np.int32), np.arange(len(units) + 1)), 100_000)
